@@ -9,37 +9,49 @@ from pyspark.sql import functions as F
 
 from strataframe.operators.frame import filter_time_slots
 
-# A key is hot when it holds more than one part in MAX_HOT of all rows, so there are never more
-# than MAX_HOT hot keys: the table of hot keys has a fixed bound and can be broadcast.
-MAX_HOT = 10_000
-# Below this many rows a key is not worth splitting.
+# Keys with more rows than this are split over several tasks.
 MIN_HOT_ROWS = 1_000_000
+# Only the largest keys are listed, so the list has a fixed bound. A key that is not among the
+# MAX_HOT largest holds less than one part in MAX_HOT of all rows.
+MAX_HOT = 10_000
+
+HotKeys = list[tuple[object, int]]
+
+
+def hot_keys(df: DataFrame, on: str, min_hot_rows: int = MIN_HOT_ROWS) -> HotKeys:
+    """(key, number of parts) of the largest keys. Reads the key column, combined map-side."""
+    return _largest(df.groupBy(on).agg(F.count("*").alias("_n")), on, min_hot_rows)
+
+
+def _largest(counts: DataFrame, on: str, min_hot_rows: int) -> HotKeys:
+    top = (counts.filter(F.col("_n") > min_hot_rows)
+           .orderBy(F.col("_n").desc()).limit(MAX_HOT).collect())
+    return [(row[on], -(-row["_n"] // min_hot_rows)) for row in top]
 
 
 def left_join_unique(df: DataFrame, right: DataFrame, on: str, spread_by: Sequence[str],
-                     min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                     hot: HotKeys) -> DataFrame:
     """Left join with a side that has one row per key, safe against hot and null keys.
 
-    Rows of a hot key are spread over several tasks by a hash of `spread_by`, and the one matching
-    row on the right is repeated for each; rows without a key are spread the same way. The key
-    counts come from one map-side combined aggregate that reads the key column only.
+    Without hot keys this is a plain left join. Otherwise rows of a hot key are spread by a hash of
+    `spread_by`, with the one matching row repeated for each part, and rows without a key are
+    spread over all tasks.
     """
-    counts = df.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
-    share = F.greatest(
-        F.floor(counts.agg(F.sum("_n")).scalar() / MAX_HOT), F.lit(min_hot_rows))
-    hot = (counts.withColumn("_share", share)
-           .filter(F.col("_n") > F.col("_share"))
-           .select(on, F.ceil(F.col("_n") / F.col("_share")).cast("int").alias("_salts")))
+    if not hot:
+        return df.join(right, on, "left")
+    spark = df.sparkSession
+    key_type = df.schema[on].dataType.simpleString()
+    # At most MAX_HOT rows.
+    parts = F.broadcast(spark.createDataFrame(
+        [(key, n) for key, n in hot if key is not None], f"`{on}` {key_type}, _parts long"))
     spread = F.xxhash64(*[F.col(c) for c in spread_by])
-    left = (df.join(F.broadcast(hot), on, "left")
-            .withColumn("_salt", F.when(F.col(on).isNull(), spread)
-                        .when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts")))
-                        .otherwise(F.lit(0)))
-            .drop("_salts"))
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    repeated = (right.join(F.broadcast(hot), on, "left")
-                .withColumn("_salt", F.explode(copies).cast("long"))
-                .drop("_salts"))
+    salt = (F.when(F.col(on).isNull(), spread)
+            .when(F.col("_parts").isNotNull(), F.pmod(spread, F.col("_parts")))
+            .otherwise(F.lit(0).cast("long")))
+    left = df.join(parts, on, "left").withColumn("_salt", salt).drop("_parts")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    copies = F.explode(F.sequence(zero, F.coalesce(F.col("_parts"), one) - 1))
+    repeated = right.join(parts, on, "left").withColumn("_salt", copies).drop("_parts")
     return left.join(repeated, [on, "_salt"], "left").drop("_salt")
 
 
@@ -80,7 +92,7 @@ def lookup_join(df: DataFrame, lookup: DataFrame, key: str, id_col: str = "sampl
     unique = unique_lookup(lookup, F.col(key), key, values, order)
     unique = unique.select(key, *_guarded(values, on_duplicate, F.col(key)),
                            F.lit(True).alias("_hit"))
-    joined = left_join_unique(df, unique, key, [id_col], min_hot_rows)
+    joined = left_join_unique(df, unique, key, [id_col], hot_keys(df, key, min_hot_rows))
     joined = joined.select(*df.columns, *values, "_hit")
     if on_miss == "error":
         joined = _required(joined, "_hit", values, key)
@@ -100,27 +112,44 @@ def tiered_lookup_join(df: DataFrame, lookup: DataFrame, key: str, tiers: Sequen
     counted from 1, null without a match; the key column keeps its own value.
 
     Tiers are resolved for the distinct keys, not for the rows. The wide rows then move once, in
-    the join with the resolved keys.
+    the join with the resolved keys. Hot keys, exact and rounded, are counted up front in two
+    small jobs.
     """
     values = [c for c in lookup.columns if c != key]
-    resolved = df.filter(F.col(key).isNotNull()).select(key).distinct()
-    for number, (digits, restrict) in enumerate(tiers, start=1):
-        source = restrict(lookup) if restrict else lookup
+    keys = df.filter(F.col(key).isNotNull()).select(key).distinct()
+    rounded = {n: F.col(key) if digits is None else F.round(F.col(key), digits)
+               for n, (digits, _) in enumerate(tiers, start=1)}
+    hot = _hot_tiers(keys, {n: rounded[n] for n, (d, _) in enumerate(tiers, start=1) if d is not None},
+                     min_hot_rows)
+    resolved = keys.select(key, *[expr.alias(f"_key_{n}") for n, expr in rounded.items()])
+    for number, (_, restrict) in enumerate(tiers, start=1):
         tier_key = f"_key_{number}"
-        rounded = F.col(key) if digits is None else F.round(F.col(key), digits)
-        unique = unique_lookup(source, rounded, tier_key, values, order)
+        source = restrict(lookup) if restrict else lookup
+        unique = unique_lookup(source, rounded[number], tier_key, values, order)
         unique = unique.select(
             tier_key, F.struct(F.lit(number).alias("match_tier"), "_rows", *values).alias(f"_hit_{number}"))
-        resolved = left_join_unique(
-            resolved.withColumn(tier_key, rounded), unique, tier_key, [key], min_hot_rows)
-    hit = F.coalesce(*[F.col(f"_hit_{n}") for n in range(1, len(tiers) + 1)])
+        resolved = left_join_unique(resolved, unique, tier_key, [key], hot.get(number, []))
+    hit = F.coalesce(*[F.col(f"_hit_{n}") for n in rounded])
     resolved = (resolved.select(key, hit.alias("_hit")).select(key, "_hit.*")
                 .select(key, "match_tier", *_guarded(values, on_duplicate, F.col(key))))
-    joined = left_join_unique(df, resolved, key, [id_col], min_hot_rows)
+    joined = left_join_unique(df, resolved, key, [id_col], hot_keys(df, key, min_hot_rows))
     joined = joined.select(*df.columns, *values, "match_tier")
     return _required(joined, "match_tier", values, key) if on_miss == "error" else joined
 
 
+def _hot_tiers(keys: DataFrame, rounded: dict[int, Column], min_hot_rows: int) -> dict[int, HotKeys]:
+    """Rounded keys that stand for very many distinct keys, for all tiers in one pass."""
+    if not rounded:
+        return {}
+    entries = F.array(*[F.struct(F.lit(n).alias("_tier"), expr.alias("_key")) for n, expr in rounded.items()])
+    counts = keys.select(F.inline(entries)).groupBy("_tier", "_key").agg(F.count("*").alias("_n"))
+    top = counts.filter(F.col("_n") > min_hot_rows).orderBy(F.col("_n").desc()).limit(MAX_HOT).collect()
+    hot: dict[int, HotKeys] = {}
+    for row in top:
+        hot.setdefault(row["_tier"], []).append((row["_key"], -(-row["_n"] // min_hot_rows)))
+    return hot
+
+
 def prefiltered_build(lookup: DataFrame, ts_col: str, hours: Sequence[int], minute: int = 0) -> DataFrame:
     """The part of the lookup that lies in the given time slots."""
     return filter_time_slots(lookup, ts_col, hours, minute)
