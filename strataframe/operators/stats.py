@@ -66,8 +66,10 @@ def long_stats(long: DataFrame, quantile: str = "approx", accuracy: int = ACCURA
         sketch = F.kll_sketch_agg_double(x, SKETCH_K).alias("_sketch")
         stats = long.groupBy("column").agg(*_moments(x), sketch)
         ranks = F.array(*[F.lit(q) for q in QUARTILES])
-        quartiles = F.kll_sketch_get_quantile_double("_sketch", ranks).alias("_q")
-        stats = stats.select("*", quartiles).select(
+        # A column without values has an empty sketch, which refuses to be asked.
+        quartiles = F.when(F.kll_sketch_get_n_double("_sketch") > 0,
+                           F.kll_sketch_get_quantile_double("_sketch", ranks))
+        stats = stats.select("*", quartiles.alias("_q")).select(
             "*", *[F.col("_q")[i].alias(f"q{i + 1}") for i in range(3)])
     elif quantile == "exact":
         quartiles = (exact_quantiles(long, QUARTILES, accuracy).groupBy("column")
