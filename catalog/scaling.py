@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import (
     SAMPLE_COLUMNS, SAMPLES, query, r6, rounded, samples, stats_sql, table)
 from strataframe.functions.scaling import collect_stats, make_scaler, scale, scale_vector
-from strataframe.operators.stats import column_stats, long_levels, long_stats
+from strataframe.operators.stats import column_stats, level_stats
 from strataframe.schema import natural_key
 
 # SQL of each method over {c} with statistics {c}__*.
@@ -61,13 +61,12 @@ SELECT vec_id, CAST(x.level AS INTEGER) AS level, round((x - mean) / greatest(st
 FROM x JOIN st ON x.level = st.level""")
 def vector(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
-    stats = collect_stats(long_stats(long_levels(emb, ["embedding"])))
+    stats = collect_stats(level_stats(emb, ["embedding"]))
     levels = [stats[f"embedding_{i}"] for i in range(len(stats))]
-    v = F.col("embedding").cast("array<double>")
-    standard = scale_vector(v, "standard", levels)
-    zipped = F.arrays_zip(
-        standard.alias("standard"), scale_vector(v, "minmax", levels).alias("minmax"),
-        scale_vector(standard, "standard", levels, reverse=True).alias("restored"))
+    emb = emb.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    emb = emb.withColumns({n: scale_vector("v", n, levels) for n in ("standard", "minmax")})
+    emb = emb.withColumn("restored", scale_vector("standard", "standard", levels, reverse=True))
+    zipped = F.arrays_zip("standard", "minmax", "restored")
     exploded = emb.select("vec_id", F.posexplode(zipped).alias("level", "z"))
     return exploded.select("vec_id", "level", *[
         r6(F.col("z")[n]).alias(n) for n in ("standard", "minmax", "restored")])

@@ -26,7 +26,7 @@ FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 
 
 def _inputs():
-    return [F.col("embedding")[i] for i in range(LEVELS)]
+    return [f"embedding[{i}]" for i in range(LEVELS)]
 
 
 @query("score_linear", f"SELECT vec_id, y_0, y_1 FROM ({_score_sql('a', 0.0)})")
@@ -48,7 +48,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, round(slope, 6) AS slope, round(inte
        round(slope * l_quantity + intercept, 6) AS fitted FROM lineitem, f""")
 def fitted(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    model = fit_linear(lines, ["l_quantity"], [F.col("l_extendedprice") / 10000])
+    model = fit_linear(lines, ["l_quantity"], ["l_extendedprice / 10000"])
     slope, intercept = float(model.weights[0, 0]), float(model.bias[0])
     return rounded(lines.select(
         "l_orderkey", "l_linenumber", "l_partkey", F.lit(slope).alias("slope"), F.lit(intercept).alias("intercept"),

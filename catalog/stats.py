@@ -8,7 +8,7 @@ from catalog.registry import SAMPLE_COLUMNS, SAMPLES, query, r6, rounded, sample
 from strataframe.operators.frame import row_batches
 from strataframe.operators.splits import batch_plan, holdout_split, split_counts
 from strataframe.operators.stats import (
-    MATRIX_ROWS, column_stats, describe, exp_rate, group_mean, long_levels, long_stats,
+    MATRIX_ROWS, column_stats, describe, exp_rate, group_mean, level_stats,
     quality_report, stats_matrix)
 from strataframe.functions.scaling import STAT_NAMES
 
@@ -45,7 +45,7 @@ SELECT "column", round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std,
        round(sqrt(avg(x * x)), 6) AS std_y
 FROM x GROUP BY "column" """)
 def stats_vec(spark, sf_dir):
-    return rounded(long_stats(long_levels(table(spark, sf_dir, "embeddings"), ["embedding"]), "exact"))
+    return rounded(level_stats(table(spark, sf_dir, "embeddings"), ["embedding"], "exact"))
 
 
 @query("exp_rate", """

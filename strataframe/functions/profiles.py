@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strataframe.schema import ProfileSchema, family_columns
 from strataframe.functions.scalar import cyclic_features
+from strataframe.functions.text import array, columns, project, quoted
 
 
 def pack_families(df: DataFrame, families: Iterable[str]) -> DataFrame:
@@ -18,18 +19,17 @@ def pack_families(df: DataFrame, families: Iterable[str]) -> DataFrame:
     if absent:
         raise ValueError(f"no columns for families {absent}")
     packed = {c for cols in members.values() for c in cols}
-    return df.select(
-        *[F.col(f"`{c}`") for c in df.columns if c not in packed],
-        *[F.array(*[F.col(f"`{c}`") for c in cols]).alias(f) for f, cols in members.items()])
+    exprs = columns([c for c in df.columns if c not in packed])
+    exprs.update({f: array(map(quoted, cols)) for f, cols in members.items()})
+    return project(df, exprs)
 
 
 def unpack_families(df: DataFrame, families: Iterable[str], levels: int) -> DataFrame:
     """One array column `f` becomes `f_0 .. f_<levels-1>`; short arrays give null."""
     families = list(families)
-    return df.select(
-        *[F.col(f"`{c}`") for c in df.columns if c not in families],
-        *[F.get(F.col(f"`{f}`"), F.lit(i)).alias(f"{f}_{i}")
-          for f in families for i in range(levels)])
+    exprs = columns([c for c in df.columns if c not in families])
+    exprs.update({f"{f}_{i}": f"get({quoted(f)}, {i})" for f in families for i in range(levels)})
+    return project(df, exprs)
 
 
 def _vector(names: Sequence[str], families: Iterable[str], element: str) -> Column:

@@ -1,4 +1,4 @@
-"""Reversible scalers as column expressions over collected per-column statistics."""
+"""Reversible scalers as expressions over collected per-column statistics."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataframe.functions.text import array, columns, number, project
 from strataframe.schema import resolve_targets
 
 EPS = 1e-52
@@ -22,11 +23,11 @@ class Affine:
     center: float
     spread: float
 
-    def forward(self, x: Column, eps: float) -> Column:
-        return (x - F.lit(self.center)) / F.lit(max(self.spread, eps))
+    def forward(self, x: str, eps: float = EPS) -> str:
+        return f"(({x} - {number(self.center)}) / {number(max(self.spread, eps))})"
 
-    def reverse(self, x: Column) -> Column:
-        return x * F.lit(self.spread) + F.lit(self.center)
+    def reverse(self, x: str) -> str:
+        return f"({x} * {number(self.spread)} + {number(self.center)})"
 
 
 @dataclass(frozen=True)
@@ -35,16 +36,13 @@ class Exponential:
 
     rate: float
 
-    def forward(self, x: Column, eps: float) -> Column:
-        return F.lit(1.0) - F.exp(F.lit(-self.rate) * x)
+    def forward(self, x: str, eps: float = EPS) -> str:
+        return f"(1D - exp({number(-self.rate)} * {x}))"
 
-    def reverse(self, x: Column) -> Column:
-        rest = F.lit(1.0) - x
+    def reverse(self, x: str) -> str:
         # Spark's ln is null outside its domain; keep the IEEE results there.
-        log = (F.when(rest > 0, F.ln(rest))
-               .when(rest == 0, F.lit(-math.inf))
-               .when(rest < 0, F.lit(math.nan)))
-        return -log / F.lit(self.rate)
+        return (f"(CASE WHEN {x} < 1 THEN -ln(1D - {x}) WHEN {x} = 1 THEN {number(math.inf)} "
+                f"WHEN {x} > 1 THEN {number(math.nan)} END / {number(self.rate)})")
 
 
 def _num(value) -> float:
@@ -81,44 +79,38 @@ def _as_dict(stats) -> Mapping[str, Mapping[str, float]]:
     return collect_stats(stats) if isinstance(stats, DataFrame) else stats
 
 
-def scale_expressions(columns: Iterable[str], methods: Mapping[str, Iterable[str] | None], stats,
-                      reverse: bool = False, eps: float = EPS,
-                      start: Mapping[str, Column] | None = None) -> dict[str, Column]:
-    """Scaled expression of each target column; `start` gives inputs that are not plain columns."""
+def scale_expressions(exprs: Mapping[str, str], methods: Mapping[str, Iterable[str] | None], stats,
+                      reverse: bool = False, eps: float = EPS) -> dict[str, str]:
+    """`exprs` (name to expression text) with the listed columns or families scaled."""
     stats = _as_dict(stats)
-    columns = list(columns)
-    exprs: dict[str, Column] = dict(start or {})
-    touched: dict[str, Column] = {}
+    scaled = dict(exprs)
     for method, names in methods.items():
-        for name in resolve_targets(columns, names or ()):
+        for name in resolve_targets(list(exprs), names or ()):
             scaler = make_scaler(method, stats[name])
-            x = exprs.get(name, F.col(f"`{name}`"))
-            exprs[name] = touched[name] = scaler.reverse(x) if reverse else scaler.forward(x, eps)
-    return touched
+            x = scaled[name]
+            scaled[name] = scaler.reverse(x) if reverse else scaler.forward(x, eps)
+    return scaled
 
 
 def scale(df: DataFrame, methods: Mapping[str, Iterable[str] | None], stats,
           reverse: bool = False, eps: float = EPS) -> DataFrame:
     """Scale the listed columns or families in one projection; all other columns pass through."""
-    exprs = scale_expressions(df.columns, methods, stats, reverse, eps)
-    return df.select(*[exprs[c].alias(c) if c in exprs else F.col(f"`{c}`") for c in df.columns])
+    return project(df, scale_expressions(columns(df.columns), methods, stats, reverse, eps))
 
 
-def scale_vector(profile: Column, method: str, level_stats: Iterable[Mapping[str, float]],
+def scale_vector(profile: str, method: str, level_stats: Iterable[Mapping[str, float]],
                  reverse: bool = False, eps: float = EPS) -> Column:
-    """Scale a packed profile, one set of statistics per level."""
+    """Scale the packed profile `profile` (expression text), one set of statistics per level."""
     scalers = [make_scaler(method, stats) for stats in level_stats]
     if method == "exp":
-        rates = F.array(*[F.lit(s.rate) for s in scalers])
+        rates = array(number(s.rate) for s in scalers)
         if reverse:
-            return F.zip_with(profile, rates, lambda x, r: F.when(
-                x < 1, -F.ln(F.lit(1.0) - x) / r).otherwise(
-                F.when(x == 1, F.lit(math.inf) / r).when(x > 1, F.lit(math.nan))))
-        return F.zip_with(profile, rates, lambda x, r: F.lit(1.0) - F.exp(-r * x))
-    pairs = F.array(*[
-        F.struct(F.lit(s.center).alias("center"),
-                 F.lit(s.spread if reverse else max(s.spread, eps)).alias("spread"))
-        for s in scalers])
-    if reverse:
-        return F.zip_with(profile, pairs, lambda x, p: x * p["spread"] + p["center"])
-    return F.zip_with(profile, pairs, lambda x, p: (x - p["center"]) / p["spread"])
+            body = Exponential(1.0).reverse("x") + " / r"
+        else:
+            body = "1D - exp(-r * x)"
+        return F.expr(f"zip_with({profile}, {rates}, (x, r) -> {body})")
+    pairs = array(
+        f"struct({number(s.center)} AS c, {number(s.spread if reverse else max(s.spread, eps))} AS s)"
+        for s in scalers)
+    body = "x * p.s + p.c" if reverse else "(x - p.c) / p.s"
+    return F.expr(f"zip_with({profile}, {pairs}, (x, p) -> {body})")

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataframe.functions.text import aliased, project, quoted
 from strataframe.operators.frame import union_all
 from strataframe.operators.metrics import top_k
 
@@ -34,11 +35,11 @@ def ensemble_top_k(scores: DataFrame, preds: Mapping[str, DataFrame], columns: S
     unknown = {run for runs in chosen.values() for run in runs} - set(preds)
     if unknown:
         raise ValueError(f"no predictions for runs {sorted(unknown)}")
-    missing = F.lit(None).cast("double")
     parts = []
     for run, df in preds.items():
-        used = [c for c in columns if run in chosen[c]]
+        used = {c for c in columns if run in chosen[c]}
         if used:
-            parts.append(df.select(id_col, *[
-                (F.col(f"`{c}`").cast("double") if c in used else missing).alias(c) for c in columns]))
-    return union_all(parts).groupBy(id_col).agg(*[F.avg(f"`{c}`").alias(c) for c in columns])
+            read = {c: f"CAST({quoted(c) if c in used else 'NULL'} AS DOUBLE)" for c in columns}
+            parts.append(project(df, {id_col: quoted(id_col), **read}))
+    means = [F.expr(text) for text in aliased({c: f"avg({quoted(c)})" for c in columns})]
+    return union_all(parts).groupBy(id_col).agg(*means)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.functions.scalar import in_time_slots
+from strataframe.functions.text import project, quoted
 from strataframe.schema import natural_key
 
 
@@ -26,9 +27,8 @@ def suffix_all(df: DataFrame, suffix: str) -> DataFrame:
 
 def cast_floats(df: DataFrame) -> DataFrame:
     """Doubles, and only those, to single precision."""
-    return df.select(*[
-        F.col(f"`{c}`").cast("float").alias(c) if t == "double" else F.col(f"`{c}`")
-        for c, t in df.dtypes])
+    return project(df, {
+        c: f"CAST({quoted(c)} AS FLOAT)" if t == "double" else quoted(c) for c, t in df.dtypes})
 
 
 def with_literal(df: DataFrame, name: str, value) -> DataFrame:

@@ -78,9 +78,8 @@ def _guarded(values: Sequence[str], on_duplicate: str, key: Column) -> list[Colu
 def _required(df: DataFrame, marker: str, values: Sequence[str], key: str) -> DataFrame:
     """Fail on rows that found no match."""
     message = F.concat(F.lit("no lookup row for key "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    return df.select(*[
-        F.when(F.col(marker).isNull(), F.raise_error(message)).otherwise(F.col(c)).alias(c)
-        if c in values else F.col(f"`{c}`") for c in df.columns])
+    return df.withColumns({
+        c: F.when(F.col(marker).isNull(), F.raise_error(message)).otherwise(F.col(c)) for c in values})
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str, id_col: str = "sample_id",

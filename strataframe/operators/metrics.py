@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataframe.functions.text import array, quoted, string
 from strataframe.schema import natural_key
 
 # Fixed value: an R2 below this counts as broken.
@@ -21,10 +22,10 @@ def column_mask(weights: DataFrame, unused: Iterable[str] = ()) -> DataFrame:
 
 def long_pairs(df: DataFrame, labels: Sequence[str], id_col: str, suffix: str = "_label") -> DataFrame:
     """Wide predictions with suffixed labels -> (id, column, y, pred)."""
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"{c}{suffix}").cast("double").alias("y"),
-                 F.col(c).cast("double").alias("pred")) for c in labels])
-    return df.select(id_col, F.inline(pairs))
+    pairs = array(
+        f"struct({string(c)} AS column, CAST({quoted(c + suffix)} AS DOUBLE) AS y, "
+        f"CAST({quoted(c)} AS DOUBLE) AS pred)" for c in labels)
+    return df.selectExpr(quoted(id_col), f"inline({pairs})")
 
 
 def r2_by_column(long: DataFrame, by: Sequence[str] = ("column",)) -> DataFrame:

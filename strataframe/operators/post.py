@@ -4,24 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from strataframe.functions.scaling import scale_expressions
-from strataframe.functions.scalar import clip_lower
+from strataframe.functions.text import columns as plain_columns
+from strataframe.functions.text import number, project, quoted
 from strataframe.operators.frame import suffix_all
 from strataframe.operators.joins import attach_by_key
 from strataframe.schema import CLOSED_FORM, CLOSED_FORM_DIVISOR, NON_NEGATIVE
 
-Exprs = dict[str, Column]
+# Column name to expression text. Each step rewrites some of them; one projection applies them all.
+Exprs = dict[str, str]
 
 
 def _columns(df: DataFrame) -> Exprs:
-    return {c: F.col(f"`{c}`") for c in df.columns}
-
-
-def _project(df: DataFrame, exprs: Mapping[str, Column]) -> DataFrame:
-    return df.select(*[e.alias(c) for c, e in exprs.items()])
+    return plain_columns(df.columns)
 
 
 def collect_constants(df: DataFrame, key: str = "column", value: str = "weight") -> dict[str, float]:
@@ -30,20 +27,24 @@ def collect_constants(df: DataFrame, key: str = "column", value: str = "weight")
 
 
 def _fill(exprs: Exprs, broken: Iterable[str], means: Mapping[str, float]) -> Exprs:
-    return {**exprs, **{c: F.lit(float(means[c])) for c in broken}}
+    return {**exprs, **{c: number(means[c]) for c in broken}}
 
 
 def _clip(exprs: Exprs, columns: Iterable[str], lower: float) -> Exprs:
-    return {**exprs, **{c: clip_lower(exprs[c], lower) for c in columns if c in exprs}}
+    return {**exprs, **{
+        c: f"CASE WHEN {exprs[c]} IS NOT NULL THEN greatest({exprs[c]}, {number(lower)}) END"
+        for c in columns if c in exprs}}
 
 
-def _closed_form(exprs: Exprs, mapping: Mapping[str, str], divisor: float,
-                 below: float | None) -> Exprs:
-    def value(target: str, source: str) -> Column:
-        computed = -F.col(source) / F.lit(divisor)
+def _closed_form(exprs: Exprs, mapping: Mapping[str, str], divisor: float, below: float | None,
+                 weights: Mapping[str, float] | None = None) -> Exprs:
+    def value(target: str, source: str) -> str:
+        computed = f"(-{quoted(source)} / {number(divisor)})"
+        if weights:
+            computed = f"({computed} * {number(weights[target])})"
         if below is None:
             return computed
-        return F.when(F.col(source) < below, computed).otherwise(exprs[target])
+        return f"CASE WHEN {quoted(source)} < {number(below)} THEN {computed} ELSE {exprs[target]} END"
 
     return {**exprs, **{t: value(t, s) for t, s in mapping.items()}}
 
@@ -52,21 +53,21 @@ def _weigh(exprs: Exprs, weights: Mapping[str, float]) -> Exprs:
     absent = [c for c in weights if c not in exprs]
     if absent:
         raise ValueError(f"no predictions for weighted columns {absent}")
-    return {**exprs, **{c: exprs[c] * F.lit(float(w)) for c, w in weights.items()}}
+    return {**exprs, **{c: f"({exprs[c]} * {number(w)})" for c, w in weights.items()}}
 
 
 def fill_broken(df: DataFrame, broken: Iterable[str], means: Mapping[str, float]) -> DataFrame:
     """Whole columns replaced by the training mean of the label."""
-    return _project(df, _fill(_columns(df), broken, means))
+    return project(df, _fill(_columns(df), broken, means))
 
 
 def clip_columns(df: DataFrame, columns: Iterable[str] = NON_NEGATIVE, lower: float = 0.0) -> DataFrame:
-    return _project(df, _clip(_columns(df), columns, lower))
+    return project(df, _clip(_columns(df), columns, lower))
 
 
 def apply_weights(df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     """Each label times its weight; every weighted column must exist."""
-    return _project(df, _weigh(_columns(df), weights))
+    return project(df, _weigh(_columns(df), weights))
 
 
 def override_closed_form(df: DataFrame, inputs: DataFrame, mapping: Mapping[str, str] = CLOSED_FORM,
@@ -79,17 +80,7 @@ def override_closed_form(df: DataFrame, inputs: DataFrame, mapping: Mapping[str,
     weighted, for tables whose other columns already are.
     """
     joined = attach_by_key(df, inputs.select(id_col, *sorted(set(mapping.values()))), id_col)
-    exprs = _columns(df)
-    if weights:
-        plain = _closed_form(exprs, mapping, divisor, None)
-        weighted = {t: plain[t] * F.lit(float(weights[t])) for t in mapping}
-        if below is not None:
-            weighted = {t: F.when(F.col(s) < below, weighted[t]).otherwise(exprs[t])
-                        for t, s in mapping.items()}
-        exprs = {**exprs, **weighted}
-    else:
-        exprs = _closed_form(exprs, mapping, divisor, below)
-    return _project(joined, exprs)
+    return project(joined, _closed_form(_columns(df), mapping, divisor, below, weights))
 
 
 def post_process(df: DataFrame, methods: Mapping[str, Iterable[str] | None], stats,
@@ -102,20 +93,19 @@ def post_process(df: DataFrame, methods: Mapping[str, Iterable[str] | None], sta
     One projection, after one join if `inputs` is given. The order of `weights` is the order of
     the result's columns.
     """
-    exprs = _columns(df)
-    exprs.update(scale_expressions(df.columns, methods, stats, reverse=True))
+    exprs = scale_expressions(_columns(df), methods, stats, reverse=True)
     exprs = _fill(exprs, broken, means)
     exprs = _clip(exprs, clipped, 0.0)
     if inputs is not None:
         df = attach_by_key(df, inputs.select(id_col, *sorted(set(mapping.values()))), id_col)
         exprs = _closed_form(exprs, mapping, divisor, None)
     exprs = _weigh(exprs, weights)
-    return _project(df, {c: exprs[c] for c in (id_col, *weights)})
+    return project(df, {c: exprs[c] for c in (id_col, *weights)})
 
 
 def evaluation_table(labels: DataFrame, preds: DataFrame, columns: Sequence[str],
                      id_col: str = "sample_id") -> DataFrame:
     """Labels suffixed `_label` beside predictions of the same names, all in scaled units."""
     suffixed = suffix_all(labels.select(id_col, *columns), "_label")
-    keyed = preds.select(F.col(id_col).alias(f"{id_col}_label"), *columns)
+    keyed = preds.select(id_col, *columns).withColumnRenamed(id_col, f"{id_col}_label")
     return attach_by_key(suffixed, keyed, f"{id_col}_label")

@@ -7,20 +7,23 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, types as T
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, types as T
+
+from strataframe.functions.text import array, project, quoted
 
 PredictFn = Callable[[np.ndarray], np.ndarray]
 
 
-def _vector(columns: Sequence[str | Column]) -> Column:
-    return F.array(*[(F.col(c) if isinstance(c, str) else c).cast("double") for c in columns])
+def _vector(exprs: Sequence[str], name: str) -> str:
+    return f"CAST({array(exprs)} AS ARRAY<DOUBLE>) AS {name}"
 
 
-def score_many(df: DataFrame, models: Mapping[str, PredictFn], input_cols: Sequence[str | Column],
+def score_many(df: DataFrame, models: Mapping[str, PredictFn], input_cols: Sequence[str],
                label_cols: Sequence[str], id_col: str = "sample_id") -> DataFrame:
     """(model, id, labels...) for every model, in one pass over the rows.
 
+    `input_cols` are column names or expressions.
+
     Rows reach Python as Arrow batches: the id and one array of inputs. Models travel as one
     broadcast variable.
     """
@@ -48,12 +51,12 @@ def score_many(df: DataFrame, models: Mapping[str, PredictFn], input_cols: Seque
     out = T.StructType([
         T.StructField("model", T.StringType()), T.StructField("id", id_type),
         T.StructField("y", T.ArrayType(T.DoubleType()))])
-    scored = df.select(F.col(id_col).alias("id"), _vector(input_cols).alias("x")).mapInPandas(run, out)
-    return scored.select("model", F.col("id").alias(id_col),
-                         *[F.col("y")[i].alias(c) for i, c in enumerate(label_cols)])
+    rows = df.selectExpr(f"{quoted(id_col)} AS id", _vector(input_cols, "x"))
+    labels = {c: f"y[{i}]" for i, c in enumerate(label_cols)}
+    return project(rows.mapInPandas(run, out), {"model": "model", id_col: "id", **labels})
 
 
-def score(df: DataFrame, predict: PredictFn, input_cols: Sequence[str | Column],
+def score(df: DataFrame, predict: PredictFn, input_cols: Sequence[str],
           label_cols: Sequence[str], id_col: str = "sample_id") -> DataFrame:
     """(id, labels...) of one model."""
     return score_many(df, {"model": predict}, input_cols, label_cols, id_col).drop("model")
@@ -87,9 +90,9 @@ def _sum_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(*keys).mapInPandas(add, df.schema)
 
 
-def fit_linear(df: DataFrame, input_cols: Sequence[str | Column], label_cols: Sequence[str | Column],
+def fit_linear(df: DataFrame, input_cols: Sequence[str], label_cols: Sequence[str],
                ridge: float = 0.0, fan_in: int = 64) -> LinearModel:
-    """Multi-target ridge regression with an unpenalised intercept.
+    """Multi-target ridge regression with an unpenalised intercept, on columns or expressions.
 
     Every task adds up X'X and X'Y of its rows with numpy and sends the rows of that one small
     matrix on; two rounds of streamed sums follow. The driver solves a system whose size is the
@@ -116,7 +119,7 @@ def fit_linear(df: DataFrame, input_cols: Sequence[str | Column], label_cols: Se
             yield pandas.DataFrame({"i": range(len(total)), "part": part_id, "v": list(total)})
 
     schema = "i long, part long, v array<double>"
-    rows = df.select(_vector(input_cols).alias("x"), _vector(label_cols).alias("y"))
+    rows = df.selectExpr(_vector(input_cols, "x"), _vector(label_cols, "y"))
     partial = rows.mapInPandas(blocks, schema)
     summed = _sum_rows(_sum_rows(partial, ["i", "part"]), ["i"])
     found = {row["i"]: row["v"] for row in summed.collect()}

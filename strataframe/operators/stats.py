@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.functions.scaling import STAT_NAMES
+from strataframe.functions.text import array, number, project, quoted, string
 from strataframe.operators.frame import union_all
 
 # Row names of the wide statistics matrix, in the order of STAT_NAMES.
@@ -35,19 +37,23 @@ def rms(x: Column) -> Column:
     return F.sqrt(F.avg(x * x))
 
 
-def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, x) for every value of the given columns."""
-    as_double = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    return as_double.unpivot([], list(columns), "column", "x")
+def _positions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, x) for every value, with the position of the column for its name.
+
+    One array per row, exploded: the rows and the grouping key stay small.
+    """
+    values = array(f"CAST({quoted(c)} AS DOUBLE)" for c in columns)
+    return df.selectExpr(f"posexplode({values}) AS (column, x)")
 
 
-def long_levels(df: DataFrame, families: Sequence[str]) -> DataFrame:
-    """(column, x) for every level of packed profiles; `f` at level i is column `f_i`."""
-    parts = [
-        df.select(F.posexplode(F.col(f).cast("array<double>")).alias("_level", "x"))
-        .select(F.concat(F.lit(f"{f}_"), F.col("_level").cast("string")).alias("column"), "x")
-        for f in families]
-    return union_all(parts)
+def _named(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Positions under `column` back to names."""
+    return df.withColumn("column", F.expr(f"element_at({array(map(string, names))}, column + 1)"))
+
+
+def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, x) for every value of the given columns."""
+    return _named(_positions(df, columns), columns)
 
 
 def _moments(x: Column) -> list[Column]:
@@ -87,10 +93,19 @@ def column_stats(df: DataFrame, columns: Sequence[str], quantile: str = "approx"
 
     Each chunk scans its own columns only, so a columnar source is read once in total.
     """
-    columns = list(columns)
-    parts = [
-        long_stats(long_values(df, columns[i:i + chunk]), quantile, accuracy)
-        for i in range(0, len(columns), chunk)]
+    chunks = [list(columns[i:i + chunk]) for i in range(0, len(columns), chunk)]
+    return union_all([
+        _named(long_stats(_positions(df, names), quantile, accuracy), names) for names in chunks])
+
+
+def level_stats(df: DataFrame, families: Sequence[str], quantile: str = "approx",
+                accuracy: int = ACCURACY) -> DataFrame:
+    """The same for every level of packed profiles; `f` at level i is column `f_i`."""
+    parts = []
+    for f in families:
+        levels = df.selectExpr(f"posexplode(CAST({quoted(f)} AS ARRAY<DOUBLE>)) AS (column, x)")
+        name = F.concat(F.lit(f"{f}_"), F.col("column").cast("string"))
+        parts.append(long_stats(levels, quantile, accuracy).withColumn("column", name))
     return union_all(parts)
 
 
@@ -185,19 +200,15 @@ def quality_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     """
     columns = list(columns or df.columns)
     types = dict(df.dtypes)
-    flags = [F.struct(F.lit(None).cast("string").alias("column"), F.lit("rows").alias("kind"))]
+    flags = ["struct(CAST(NULL AS STRING) AS column, 'rows' AS kind)"]
     for c in columns:
-        value = F.col(f"`{c}`")
-
-        def flag(kind: str, name: str = c) -> Column:
-            return F.struct(F.lit(name).alias("column"), F.lit(kind).alias("kind"))
-
-        bad = F.when(value.isNull(), flag("null"))
+        value, name = quoted(c), string(c)
+        tests = [(f"{value} IS NULL", "null")]
         if types[c] in ("double", "float"):
-            bad = (bad.when(F.isnan(value), flag("nan"))
-                   .when(F.abs(value) == float("inf"), flag("infinite")))
-        flags.append(bad)
-    tally = (df.select(F.inline(F.array_compact(F.array(*flags))))
+            tests += [(f"isnan({value})", "nan"), (f"abs({value}) = {number(math.inf)}", "infinite")]
+        cases = " ".join(f"WHEN {test} THEN struct({name} AS column, '{kind}' AS kind)" for test, kind in tests)
+        flags.append(f"CASE {cases} END")
+    tally = (df.selectExpr(f"inline(array_compact({array(flags)}))")
              .groupBy("column", "kind").agg(F.count("*").alias("n")))
     rows = F.coalesce(tally.agg(F.sum(F.when(F.col("kind") == "rows", F.col("n")))).scalar(), F.lit(0))
     spark = df.sparkSession

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataframe.functions.text import project, quoted
 from strataframe.operators.ensemble import ensemble_top_k
 from strataframe.operators.frame import sort_by_id
 from strataframe.operators.metrics import (
@@ -19,17 +20,20 @@ from strataframe.sources.files import write_csv
 from strataframe.sources.runs import load_predictions, load_scores
 from strataframe.sources.shards import save_manifest
 
+# Fixed value: the one output that is set from its input again after averaging, without a weight.
+LAST_CLOSED_FORM = {"ptend_q0002_27": CLOSED_FORM["ptend_q0002_27"]}
 
-def _flat_inputs(schema: ProfileSchema) -> list[Column]:
+
+def _flat_inputs(schema: ProfileSchema) -> list[str]:
     return _flat(schema.in_scalars, schema.in_families, schema.levels)
 
 
-def _flat_labels(schema: ProfileSchema) -> list[Column]:
+def _flat_labels(schema: ProfileSchema) -> list[str]:
     return _flat(schema.out_scalars, schema.out_families, schema.levels)
 
 
-def _flat(scalars: Sequence[str], families: Sequence[str], levels: int) -> list[Column]:
-    return [F.col(s) for s in scalars] + [F.col(f)[i] for f in families for i in range(levels)]
+def _flat(scalars: Sequence[str], families: Sequence[str], levels: int) -> list[str]:
+    return [quoted(s) for s in scalars] + [f"{quoted(f)}[{i}]" for f in families for i in range(levels)]
 
 
 def fit_phase(packed: DataFrame, schema: ProfileSchema, ridge: float = 1.0) -> LinearModel:
@@ -43,8 +47,8 @@ def predict_packed(packed: DataFrame, predict: PredictFn, schema: ProfileSchema)
 
 
 def unpacked_labels(packed: DataFrame, schema: ProfileSchema) -> DataFrame:
-    return packed.select(schema.id_col, *[
-        c.cast("double").alias(n) for c, n in zip(_flat_labels(schema), schema.label_columns)])
+    labels = zip(schema.label_columns, _flat_labels(schema))
+    return project(packed, {schema.id_col: quoted(schema.id_col), **{n: f"CAST({e} AS DOUBLE)" for n, e in labels}})
 
 
 def validate_phase(packed: DataFrame, predict: PredictFn, schema: ProfileSchema, out: str,
@@ -68,17 +72,18 @@ def validate_phase(packed: DataFrame, predict: PredictFn, schema: ProfileSchema,
 def submit_phase(packed_test: DataFrame, raw_test: DataFrame, predict: PredictFn,
                  schema: ProfileSchema, methods: Mapping[str, Iterable[str] | None], stats,
                  label_means: Mapping[str, float], broken: Iterable[str],
-                 weights: Mapping[str, float], out: str) -> None:
+                 weights: Mapping[str, float], out: str,
+                 mapping: Mapping[str, str] = CLOSED_FORM) -> None:
     """Predictions of one run, post-processed, sorted by id, as the submission CSV."""
     preds = predict_packed(packed_test, predict, schema)
     final = post_process(preds, methods, stats, broken, label_means, weights, raw_test,
-                         mapping=CLOSED_FORM, id_col=schema.id_col)
+                         mapping=mapping, id_col=schema.id_col)
     write_csv(sort_by_id(final, schema.id_col), out, [schema.id_col, *weights])
 
 
 def ensemble_phase(spark: SparkSession, runs: Mapping[str, str], schema: ProfileSchema,
                    weights: DataFrame, raw_test: DataFrame, out: str, k: int = 3,
-                   overridden: Sequence[str] = ("ptend_q0002_27",)) -> None:
+                   mapping: Mapping[str, str] = LAST_CLOSED_FORM) -> None:
     """Best `k` runs per column, then the closed form for the columns that need no model.
 
     `runs` maps a run name to its folder, which holds `each_r2_score` and one `submission*`.
@@ -89,6 +94,5 @@ def ensemble_phase(spark: SparkSession, runs: Mapping[str, str], schema: Profile
     preds = load_predictions(spark, runs, type(table_schema)(fields))
     scores = load_scores(spark, {run: f"{path}/each_r2_score" for run, path in runs.items()})
     mean = ensemble_top_k(scores, preds, columns, k, id_col=schema.id_col)
-    mapping = {c: CLOSED_FORM[c] for c in overridden}
     final = override_closed_form(mean, raw_test, mapping, id_col=schema.id_col)
     write_csv(sort_by_id(final, schema.id_col), out, [schema.id_col, *columns])

@@ -7,9 +7,10 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataframe.functions import text
 from strataframe.functions.scalar import calendar, sample_number, year_index
 from strataframe.functions.scaling import collect_stats, scale_expressions
-from strataframe.operators.frame import row_batches
+from strataframe.operators.frame import cast_floats, row_batches
 from strataframe.operators.joins import (
     MIN_HOT_ROWS, Tier, lookup_join, prefiltered_build, tiered_lookup_join)
 from strataframe.operators.splits import holdout_split
@@ -48,40 +49,49 @@ def feature_table(df: DataFrame, lookup: DataFrame, is_test: bool = False, key:
         *[expr.alias(name) for name, expr in calendar(F.col("timestamp")).items()])
 
 
-def pack_scaled(features: DataFrame, schema: ProfileSchema,
-                methods: Mapping[str, Iterable[str] | None], stats, labels: bool = True,
-                carry: Sequence[str] = ()) -> DataFrame:
-    """Scale, cast doubles to float, pack families and order columns, as one projection."""
-    scaled = scale_expressions(features.columns, methods, stats)
-    doubles = {c for c, t in features.dtypes if t == "double"}
-
-    def flat(name: str):
-        value = scaled.get(name, F.col(f"`{name}`"))
-        return value.cast("float") if name in doubles else value
+def pack_scaled(raw: DataFrame, schema: ProfileSchema, methods: Mapping[str, Iterable[str] | None],
+                stats, labels: bool = True, carry: Mapping[str, str] | None = None) -> DataFrame:
+    """Scale, cast doubles to float and pack families, as one projection.
 
+    `carry` adds columns, name to expression, that are neither scaled nor cast.
+    """
+    types = dict(raw.dtypes)
+    flat = {c: f"CAST({expr} AS FLOAT)" if types[c] == "double" else expr
+            for c, expr in scale_expressions(text.columns(list(types)), methods, stats).items()}
     families = set(schema.families)
-    return features.select(*[
-        F.array(*[flat(c) for c in family_columns(features.columns, name)]).alias(name)
-        if name in families else flat(name).alias(name)
-        for name in schema.packed_columns(labels)], *carry)
+    names = [c for c in schema.packed_columns(labels) if c not in schema.aux]
+    packed = {name: text.array(flat[c] for c in family_columns(flat, name)) if name in families else flat[name]
+              for name in names}
+    return text.project(raw, {**packed, **(carry or {})})
 
 
 def build_dataset(raw: DataFrame, lookup: DataFrame, stats, schema: ProfileSchema,
                   methods: Mapping[str, Iterable[str] | None] | None = None, is_test: bool = False,
-                  **feature_options) -> DataFrame:
-    """Raw wide samples to the packed, scaled table. Every column is `standard` by default."""
+                  key: str = LOOKUP_KEY, carry: Sequence[str] = (), **feature_options) -> DataFrame:
+    """Raw wide samples to the packed, scaled table. Every column is `standard` by default.
+
+    Scaling and packing need no other row, so they run before the join: what the join moves is a
+    few float arrays per sample instead of a thousand doubles. The raw key goes along beside them.
+    """
     methods = methods or {"standard": [*schema.in_scalars, *schema.in_families,
                                        *schema.out_scalars, *schema.out_families]}
-    features = feature_table(raw, lookup, is_test, id_col=schema.id_col, **feature_options)
-    return pack_scaled(features, schema, methods, stats, labels=not is_test)
+    carried = {"_key": text.quoted(key), **text.columns(carry)}
+    packed = pack_scaled(raw, schema, methods, stats, labels=not is_test, carry=carried)
+    features = feature_table(packed, lookup.withColumnRenamed(key, "_key"), is_test, key="_key",
+                             id_col=schema.id_col, **feature_options)
+    ordered = features.select(*schema.packed_columns(labels=not is_test), *carry)
+    return cast_floats(ordered)
 
 
 def split_phase(spark: SparkSession, train_csv, test_csv, out: str, schema: ProfileSchema,
                 batch_size: int = 100_000) -> None:
-    """CSV to Parquet: the training rows in batch folders, the test rows beside them."""
+    """CSV to Parquet: the training rows with their batch, the test rows beside them.
+
+    The batch is a column, not a folder: rows come in id order, so a filter on it skips row groups.
+    """
     train = ingest_csv(spark, train_csv, schema.raw_struct())
     train = row_batches(train.withColumn("_n", sample_number(F.col(schema.id_col))), "_n", batch_size)
-    write_parquet(train.drop("_n"), f"{out}/raw_train", partition_by=["batch_id"])
+    write_parquet(train.drop("_n"), f"{out}/raw_train")
     csv_to_parquet(spark, test_csv, f"{out}/raw_test", schema.raw_struct(labels=False))
 
 
@@ -108,9 +118,9 @@ def generate_phase(spark: SparkSession, out: str, lookup: DataFrame, schema: Pro
     if_exists = "overwrite" if overwrite else "skip"
     stats = collect_stats(scan_parquet(spark, f"{out}/stats"))
     save_manifest(methods_table(spark, methods), f"{out}/{dataset}/scaler_methods")
-    features = feature_table(scan_parquet(spark, f"{out}/raw_train"), lookup, id_col=schema.id_col)
-    train = pack_scaled(features, schema, methods, stats, carry=("batch_id", "start", "end"))
-    write_parquet(train, f"{out}/{dataset}/processed_train", if_exists, partition_by=["batch_id"])
+    train = build_dataset(scan_parquet(spark, f"{out}/raw_train"), lookup, stats, schema, methods,
+                          carry=("batch_id", "start", "end"))
+    write_parquet(train, f"{out}/{dataset}/processed_train", if_exists)
     test = build_dataset(scan_parquet(spark, f"{out}/raw_test"), lookup, stats, schema, methods,
                          is_test=True)
     write_parquet(test.orderBy(schema.id_col), f"{out}/{dataset}/processed_test", if_exists)

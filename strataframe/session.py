@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    # Without this every Column call in Python walks the stack, which adds up at a thousand columns.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Wide rows make large batches; keep the Arrow buffers of Python tasks small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
