@@ -52,14 +52,15 @@ def natural_order(df: DataFrame, name_col: str) -> DataFrame:
     return df.orderBy(*natural_key(F.col(name_col)))
 
 
-def row_batches(df: DataFrame, position: str, batch_size: int) -> DataFrame:
+def row_batches(df: DataFrame, position: str, batch_size: int, n_rows: int | None = None) -> DataFrame:
     """Batches of `batch_size` consecutive positions, with first and last position of each.
 
     The position comes from the id, so no row has to know how many rows come before it. The last
-    batch ends at the highest position there is.
+    batch ends at the highest position there is; finding it scans that column once more unless
+    `n_rows` is given.
     """
     batch = F.floor(F.col(position) / F.lit(batch_size))
-    last = df.agg(F.max(position)).scalar()
+    last = df.agg(F.max(position)).scalar() if n_rows is None else F.lit(n_rows - 1)
     return df.withColumns({
         "batch_id": batch,
         "start": batch * batch_size,

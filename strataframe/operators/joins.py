@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from strataframe.operators.frame import filter_time_slots
@@ -20,13 +20,15 @@ HotKeys = list[tuple[object, int]]
 
 def hot_keys(df: DataFrame, on: str, min_hot_rows: int = MIN_HOT_ROWS) -> HotKeys:
     """(key, number of parts) of the largest keys. Reads the key column, combined map-side."""
-    return _largest(df.groupBy(on).agg(F.count("*").alias("_n")), on, min_hot_rows)
+    counts = df.groupBy(on).agg(F.count("*").alias("_n"))
+    return [(row[on], row["_parts"]) for row in _largest(counts, min_hot_rows)]
 
 
-def _largest(counts: DataFrame, on: str, min_hot_rows: int) -> HotKeys:
-    top = (counts.filter(F.col("_n") > min_hot_rows)
-           .orderBy(F.col("_n").desc()).limit(MAX_HOT).collect())
-    return [(row[on], -(-row["_n"] // min_hot_rows)) for row in top]
+def _largest(counts: DataFrame, min_hot_rows: int) -> list[Row]:
+    """Rows of `counts` above the limit, the MAX_HOT largest of them, with their number of parts."""
+    parts = F.ceil(F.col("_n") / min_hot_rows).alias("_parts")
+    return (counts.filter(F.col("_n") > min_hot_rows).select("*", parts)
+            .orderBy(F.col("_n").desc()).limit(MAX_HOT).collect())
 
 
 def left_join_unique(df: DataFrame, right: DataFrame, on: str, spread_by: Sequence[str],
@@ -56,20 +58,27 @@ def left_join_unique(df: DataFrame, right: DataFrame, on: str, spread_by: Sequen
 
 
 def unique_lookup(lookup: DataFrame, key: Column, key_name: str, values: Sequence[str],
-                  order: Sequence[str]) -> DataFrame:
-    """One row per key: the first by `order`, with the number of rows that share the key."""
+                  on_duplicate: str, order: Sequence[str]) -> DataFrame:
+    """One row per key, with the number of rows that share it under `_rows`.
+
+    `error` only needs the values of keys that are unique, so plain minima do and Spark can
+    hash-aggregate. `first` keeps the whole first row by `order`, ties by the values themselves.
+    """
+    keyed = lookup.withColumn(key_name, key).filter(F.col(key_name).isNotNull()).groupBy(key_name)
+    rows = F.count("*").alias("_rows")
+    if on_duplicate == "error":
+        return keyed.agg(rows, *[F.min(c).alias(c) for c in values])
+    if on_duplicate != "first":
+        raise ValueError(f"on_duplicate is 'error' or 'first', not {on_duplicate!r}")
     ordered = F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"_v_{c}") for c in values])
-    return (lookup.withColumn(key_name, key).filter(F.col(key_name).isNotNull())
-            .groupBy(key_name).agg(F.min(ordered).alias("_first"), F.count("*").alias("_rows"))
-            .select(key_name, "_rows", *[F.col("_first")[f"_v_{c}"].alias(c) for c in values]))
+    return keyed.agg(rows, F.min(ordered).alias("_first")).select(
+        key_name, "_rows", *[F.col("_first")[f"_v_{c}"].alias(c) for c in values])
 
 
 def _guarded(values: Sequence[str], on_duplicate: str, key: Column) -> list[Column]:
     """Values of a match; a match with more than one lookup row fails unless `first` is wanted."""
     if on_duplicate == "first":
         return [F.col(c) for c in values]
-    if on_duplicate != "error":
-        raise ValueError(f"on_duplicate is 'error' or 'first', not {on_duplicate!r}")
     message = F.concat(F.lit("lookup has more than one row for key "), key.cast("string"))
     return [F.when(F.col("_rows") > 1, F.raise_error(message)).otherwise(F.col(c)).alias(c)
             for c in values]
@@ -88,7 +97,7 @@ def lookup_join(df: DataFrame, lookup: DataFrame, key: str, id_col: str = "sampl
                 min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Left equi-join on a float key. A missing or ambiguous match stops the job by default."""
     values = [c for c in lookup.columns if c != key]
-    unique = unique_lookup(lookup, F.col(key), key, values, order)
+    unique = unique_lookup(lookup, F.col(key), key, values, on_duplicate, order)
     unique = unique.select(key, *_guarded(values, on_duplicate, F.col(key)),
                            F.lit(True).alias("_hit"))
     joined = left_join_unique(df, unique, key, [id_col], hot_keys(df, key, min_hot_rows))
@@ -124,7 +133,7 @@ def tiered_lookup_join(df: DataFrame, lookup: DataFrame, key: str, tiers: Sequen
     for number, (_, restrict) in enumerate(tiers, start=1):
         tier_key = f"_key_{number}"
         source = restrict(lookup) if restrict else lookup
-        unique = unique_lookup(source, rounded[number], tier_key, values, order)
+        unique = unique_lookup(source, rounded[number], tier_key, values, on_duplicate, order)
         unique = unique.select(
             tier_key, F.struct(F.lit(number).alias("match_tier"), "_rows", *values).alias(f"_hit_{number}"))
         resolved = left_join_unique(resolved, unique, tier_key, [key], hot.get(number, []))
@@ -142,10 +151,9 @@ def _hot_tiers(keys: DataFrame, rounded: dict[int, Column], min_hot_rows: int) -
         return {}
     entries = F.array(*[F.struct(F.lit(n).alias("_tier"), expr.alias("_key")) for n, expr in rounded.items()])
     counts = keys.select(F.inline(entries)).groupBy("_tier", "_key").agg(F.count("*").alias("_n"))
-    top = counts.filter(F.col("_n") > min_hot_rows).orderBy(F.col("_n").desc()).limit(MAX_HOT).collect()
     hot: dict[int, HotKeys] = {}
-    for row in top:
-        hot.setdefault(row["_tier"], []).append((row["_key"], -(-row["_n"] // min_hot_rows)))
+    for row in _largest(counts, min_hot_rows):
+        hot.setdefault(row["_tier"], []).append((row["_key"], row["_parts"]))
     return hot
 
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, types as T
 
-from strataframe.functions.text import array, project, quoted
+from strataframe.functions.text import aliased, array, project, quoted
 
 PredictFn = Callable[[np.ndarray], np.ndarray]
 
@@ -19,17 +19,19 @@ def _vector(exprs: Sequence[str], name: str) -> str:
 
 
 def score_many(df: DataFrame, models: Mapping[str, PredictFn], input_cols: Sequence[str],
-               label_cols: Sequence[str], id_col: str = "sample_id") -> DataFrame:
+               label_cols: Sequence[str], id_col: str = "sample_id",
+               carry: Mapping[str, str] | None = None) -> DataFrame:
     """(model, id, labels...) for every model, in one pass over the rows.
 
-    `input_cols` are column names or expressions.
-
-    Rows reach Python as Arrow batches: the id and one array of inputs. Models travel as one
-    broadcast variable.
+    `input_cols` are column names or expressions. `carry` adds columns of the input, name to
+    expression, so that they need no join afterwards. Rows reach Python as Arrow batches: the id,
+    one array of inputs and what is carried. Models travel as one broadcast variable.
     """
     shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(dict(models)))
     width = len(label_cols)
-    id_type = df.schema[id_col].dataType
+    carry = dict(carry or {})
+    rows = df.selectExpr(f"{quoted(id_col)} AS id", _vector(input_cols, "x"), *aliased(carry))
+    kept = list(carry)
 
     def run(batches: Iterable):
         import pickle
@@ -46,20 +48,21 @@ def score_many(df: DataFrame, models: Mapping[str, PredictFn], input_cols: Seque
                 y = numpy.asarray(predict(x), dtype="float64")
                 if y.shape != (len(x), width):
                     raise ValueError(f"model {name} gave {y.shape}, not {(len(x), width)}")
-                yield pandas.DataFrame({"model": name, "id": batch["id"], "y": list(y)})
+                scored = pandas.DataFrame({"model": name, "id": batch["id"], "y": list(y)})
+                yield pandas.concat([scored, batch[kept]], axis=1)
 
     out = T.StructType([
-        T.StructField("model", T.StringType()), T.StructField("id", id_type),
-        T.StructField("y", T.ArrayType(T.DoubleType()))])
-    rows = df.selectExpr(f"{quoted(id_col)} AS id", _vector(input_cols, "x"))
+        T.StructField("model", T.StringType()), rows.schema["id"],
+        T.StructField("y", T.ArrayType(T.DoubleType())), *[rows.schema[c] for c in kept]])
     labels = {c: f"y[{i}]" for i, c in enumerate(label_cols)}
-    return project(rows.mapInPandas(run, out), {"model": "model", id_col: "id", **labels})
+    passed = {c: quoted(c) for c in kept}
+    return project(rows.mapInPandas(run, out), {"model": "model", id_col: "id", **labels, **passed})
 
 
-def score(df: DataFrame, predict: PredictFn, input_cols: Sequence[str],
-          label_cols: Sequence[str], id_col: str = "sample_id") -> DataFrame:
+def score(df: DataFrame, predict: PredictFn, input_cols: Sequence[str], label_cols: Sequence[str],
+          id_col: str = "sample_id", carry: Mapping[str, str] | None = None) -> DataFrame:
     """(id, labels...) of one model."""
-    return score_many(df, {"model": predict}, input_cols, label_cols, id_col).drop("model")
+    return score_many(df, {"model": predict}, input_cols, label_cols, id_col, carry).drop("model")
 
 
 @dataclass(frozen=True)

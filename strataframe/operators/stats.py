@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.functions.scaling import STAT_NAMES
-from strataframe.functions.text import array, number, project, quoted, string
+from strataframe.functions.text import array, quoted, string
 from strataframe.operators.frame import union_all
 
 # Row names of the wide statistics matrix, in the order of STAT_NAMES.
@@ -193,33 +193,25 @@ def describe(df: DataFrame, col: str, accuracy: int = ACCURACY) -> DataFrame:
 
 
 def quality_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, rows, null_count, nan_count, infinite_count) for each column.
-
-    One pass. A clean row contributes one entry, a bad row one more per bad value, and all
-    entries are combined before the shuffle.
-    """
+    """(column, rows, null_count, nan_count, infinite_count) for each column, in one pass."""
     columns = list(columns or df.columns)
     types = dict(df.dtypes)
-    flags = ["struct(CAST(NULL AS STRING) AS column, 'rows' AS kind)"]
-    for c in columns:
-        value, name = quoted(c), string(c)
-        tests = [(f"{value} IS NULL", "null")]
+
+    def value(c: str) -> str:
         if types[c] in ("double", "float"):
-            tests += [(f"isnan({value})", "nan"), (f"abs({value}) = {number(math.inf)}", "infinite")]
-        cases = " ".join(f"WHEN {test} THEN struct({name} AS column, '{kind}' AS kind)" for test, kind in tests)
-        flags.append(f"CASE {cases} END")
-    tally = (df.selectExpr(f"inline(array_compact({array(flags)}))")
-             .groupBy("column", "kind").agg(F.count("*").alias("n")))
-    rows = F.coalesce(tally.agg(F.sum(F.when(F.col("kind") == "rows", F.col("n")))).scalar(), F.lit(0))
-    spark = df.sparkSession
-    names = spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "position int, column string")
-    bad = (tally.filter(F.col("kind") != "rows").groupBy("column")
-           .agg(*[F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k)
-                  for k in ("null", "nan", "infinite")]))
-    return (names.join(bad, "column", "left").orderBy("position")
-            .select("column", rows.alias("rows"),
-                    *[F.coalesce(F.col(k), F.lit(0)).alias(f"{k}_count")
-                      for k in ("null", "nan", "infinite")]))
+            return f"CAST({quoted(c)} AS DOUBLE)"
+        return f"IF({quoted(c)} IS NULL, NULL, 0D)"
+
+    x = F.col("x")
+    values = df.selectExpr(f"posexplode({array(map(value, columns))}) AS (position, x)")
+    counts = values.groupBy("position").agg(
+        F.count("*").alias("rows"), F.count_if(x.isNull()).alias("null_count"),
+        F.count_if(F.isnan(x)).alias("nan_count"),
+        F.count_if(F.abs(x) == math.inf).alias("infinite_count"))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "position int, column string")
+    return names.join(counts, "position", "left").orderBy("position").select(
+        "column", *[F.coalesce(c, F.lit(0)).alias(c)
+                    for c in ("rows", "null_count", "nan_count", "infinite_count")])
 
 
 def quality_check(df: DataFrame, expected_rows: int | None = None,

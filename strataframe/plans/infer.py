@@ -7,13 +7,12 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.functions.text import project, quoted
+from strataframe.functions.text import array, project, quoted
 from strataframe.operators.ensemble import ensemble_top_k
 from strataframe.operators.frame import sort_by_id
 from strataframe.operators.metrics import (
     broken_columns, column_mask, huber_loss, long_pairs, r2_by_column, r2_summary)
-from strataframe.operators.post import (
-    collect_constants, evaluation_table, override_closed_form, post_process)
+from strataframe.operators.post import collect_constants, override_closed_form, post_process
 from strataframe.operators.scoring import LinearModel, PredictFn, fit_linear, score
 from strataframe.schema import CLOSED_FORM, ProfileSchema
 from strataframe.sources.files import write_csv
@@ -55,9 +54,15 @@ def validate_phase(packed: DataFrame, predict: PredictFn, schema: ProfileSchema,
                    weights: DataFrame | None = None, unused: Iterable[str] = ()) -> DataFrame:
     """Evaluation table and score sidecars of one run; returns the one-row summary."""
     spark = packed.sparkSession
-    preds = predict_packed(packed, predict, schema)
-    table = evaluation_table(unpacked_labels(packed, schema), preds, schema.label_columns, schema.id_col)
     id_label = f"{schema.id_col}_label"
+    labels = [f"CAST({e} AS DOUBLE)" for e in _flat_labels(schema)]
+    # Labels ride along as one array: the evaluation table takes no join.
+    scored = score(packed, predict, _flat_inputs(schema), schema.label_columns, schema.id_col,
+                   carry={"_labels": array(labels)})
+    table = project(scored, {
+        id_label: quoted(schema.id_col),
+        **{f"{c}_label": f"_labels[{i}]" for i, c in enumerate(schema.label_columns)},
+        **{c: quoted(c) for c in schema.label_columns}})
     table.write.mode("overwrite").parquet(f"{out}/evaluation")
     table = spark.read.parquet(f"{out}/evaluation")
     mask = column_mask(weights, unused) if weights is not None else None

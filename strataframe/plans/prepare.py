@@ -84,13 +84,15 @@ def build_dataset(raw: DataFrame, lookup: DataFrame, stats, schema: ProfileSchem
 
 
 def split_phase(spark: SparkSession, train_csv, test_csv, out: str, schema: ProfileSchema,
-                batch_size: int = 100_000) -> None:
+                batch_size: int = 100_000, n_rows: int | None = None) -> None:
     """CSV to Parquet: the training rows with their batch, the test rows beside them.
 
     The batch is a column, not a folder: rows come in id order, so a filter on it skips row groups.
+    With `n_rows`, the number of training rows, the CSV is read once; without, its ids are read
+    twice.
     """
     train = ingest_csv(spark, train_csv, schema.raw_struct())
-    train = row_batches(train.withColumn("_n", sample_number(F.col(schema.id_col))), "_n", batch_size)
+    train = row_batches(train.withColumn("_n", sample_number(F.col(schema.id_col))), "_n", batch_size, n_rows)
     write_parquet(train.drop("_n"), f"{out}/raw_train")
     csv_to_parquet(spark, test_csv, f"{out}/raw_test", schema.raw_struct(labels=False))
 
