@@ -95,7 +95,7 @@ COUNTS = {"train": 8, "val": 2}
 def _exported(spark, sf_dir, name):
     path = scratch_path(spark, name)
     rows = holdout_split(_batched(spark, sf_dir), 5).select("o_orderkey", "split")
-    export_shards(rows, path, "o_orderkey", COUNTS, rows_per_file=500)
+    export_shards(rows, path, "o_orderkey", COUNTS, rows_per_file=5000)
     return path
 
 

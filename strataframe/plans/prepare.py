@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataframe.functions import text
 from strataframe.functions.scalar import calendar, sample_number, year_index
 from strataframe.functions.scaling import collect_stats, scale_expressions
-from strataframe.operators.frame import cast_floats, row_batches
+from strataframe.operators.frame import cast_floats, row_batches, sort_by_id
 from strataframe.operators.joins import (
     MIN_HOT_ROWS, Tier, lookup_join, prefiltered_build, tiered_lookup_join)
 from strataframe.operators.splits import holdout_split
@@ -93,7 +93,7 @@ def split_phase(spark: SparkSession, train_csv, test_csv, out: str, schema: Prof
     """
     train = ingest_csv(spark, train_csv, schema.raw_struct())
     train = row_batches(train.withColumn("_n", sample_number(F.col(schema.id_col))), "_n", batch_size, n_rows)
-    write_parquet(train.drop("_n"), f"{out}/raw_train")
+    write_parquet(train.drop("_n"), f"{out}/raw_train", dictionary=False)
     csv_to_parquet(spark, test_csv, f"{out}/raw_test", schema.raw_struct(labels=False))
 
 
@@ -122,10 +122,11 @@ def generate_phase(spark: SparkSession, out: str, lookup: DataFrame, schema: Pro
     save_manifest(methods_table(spark, methods), f"{out}/{dataset}/scaler_methods")
     train = build_dataset(scan_parquet(spark, f"{out}/raw_train"), lookup, stats, schema, methods,
                           carry=("batch_id", "start", "end"))
-    write_parquet(train, f"{out}/{dataset}/processed_train", if_exists)
+    write_parquet(train, f"{out}/{dataset}/processed_train", if_exists, dictionary=False)
     test = build_dataset(scan_parquet(spark, f"{out}/raw_test"), lookup, stats, schema, methods,
                          is_test=True)
-    write_parquet(test.orderBy(schema.id_col), f"{out}/{dataset}/processed_test", if_exists)
+    write_parquet(sort_by_id(test, schema.id_col), f"{out}/{dataset}/processed_test", if_exists,
+                  dictionary=False)
 
 
 def export_phase(spark: SparkSession, out: str, dataset: str, schema: ProfileSchema,

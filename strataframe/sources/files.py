@@ -17,7 +17,7 @@ def ingest_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
 
 def csv_to_parquet(spark: SparkSession, src, dst: str, schema: T.StructType,
                    if_exists: str = "skip") -> None:
-    write_parquet(ingest_csv(spark, src, schema), dst, if_exists)
+    write_parquet(ingest_csv(spark, src, schema), dst, if_exists, dictionary=False)
 
 
 def scan_columns(spark: SparkSession, path, schema: T.StructType, columns: Sequence[str]) -> DataFrame:
@@ -54,16 +54,18 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 
 
 def write_parquet(df: DataFrame, path: str, if_exists: str = "skip",
-                  partition_by: Sequence[str] = ()) -> bool:
+                  partition_by: Sequence[str] = (), dictionary: bool = True) -> bool:
     """Parquet sink. `skip` keeps finished output and replaces what a failed job left behind.
 
-    Returns whether anything was written.
+    Switch `dictionary` off for tables of measured values: they hardly repeat, and building
+    dictionaries for a thousand columns costs time and space. Returns whether anything was written.
     """
     if if_exists not in ("skip", "overwrite"):
         raise ValueError(f"if_exists is 'skip' or 'overwrite', not {if_exists!r}")
     if if_exists == "skip" and is_complete(df.sparkSession, path):
         return False
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    (df.write.mode("overwrite").partitionBy(*partition_by)
+     .option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path))
     return True
 
 

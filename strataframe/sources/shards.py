@@ -57,7 +57,7 @@ def export_shards(df: DataFrame, path: str, id_col: str, shards: Mapping[str, in
               .repartitionById(max(offset, 1), F.col("_part"))
               .sortWithinPartitions("split", "shard", "_order")
               .drop("_order", "_part"))
-    placed.write.mode("overwrite").partitionBy("split", "shard").parquet(path)
+    write_parquet(placed, path, "overwrite", ("split", "shard"), dictionary=False)
     return sizes
 
 
