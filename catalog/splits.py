@@ -12,7 +12,7 @@ from strataframe.session import scratch_path
 from strataframe.sources.files import scan_parquet
 from strataframe.sources.shards import export_shards, read_shards, save_manifest
 
-SIZE = 1000
+SIZE = 100
 MD5 = "md5('42:' || CAST(o_orderkey AS VARCHAR))"
 SHARD = "CAST('0x' || substr({digest}, 1, 8) AS BIGINT) % {n}"
 

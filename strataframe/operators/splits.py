@@ -61,7 +61,7 @@ def shuffled_position(df: DataFrame, key: str, groups: Sequence[str], seed: int
 
 def assign_shard_exact(df: DataFrame, key: str, batch: str, n_shards: int, seed: int = 42) -> DataFrame:
     """Round-robin over the shuffled rows of each batch: shard sizes differ by one at most."""
-    placed = shuffled_position(df, key, [batch], seed, n_pieces=16)
+    placed = shuffled_position(df, key, [batch], seed, n_pieces=256)
     return placed.select(*df.columns, (F.col("position") % n_shards).alias("shard"))
 
 

@@ -100,6 +100,14 @@ def test_hot_keys(spark, lookup, adaptive):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_only_null_keys_are_hot(spark, lookup):
+    df = spark.range(500).select(
+        F.concat(F.lit("s_"), "id").alias("sample_id"), F.when(F.col("id") == 0, 1.0).alias("key"))
+    assert hot_keys(df, "key", 100) == [(None, 5)]
+    out = lookup_join(df, lookup, "key", on_miss="keep", min_hot_rows=100)
+    assert out.count() == 500 and out.filter("location = 1").count() == 1
+
+
 def test_empty_probe(spark, lookup):
     assert tiered_lookup_join(probe(spark, 1.0).limit(0), lookup, "key", TIERS).count() == 0
 
