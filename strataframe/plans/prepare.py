@@ -56,8 +56,10 @@ def pack_scaled(raw: DataFrame, schema: ProfileSchema, methods: Mapping[str, Ite
     `carry` adds columns, name to expression, that are neither scaled nor cast.
     """
     types = dict(raw.dtypes)
-    flat = {c: f"CAST({expr} AS FLOAT)" if types[c] == "double" else expr
-            for c, expr in scale_expressions(text.columns(list(types)), methods, stats).items()}
+    plain = text.columns(list(types))
+    # A scaled column is a double, whatever it was before.
+    flat = {c: f"CAST({expr} AS FLOAT)" if types[c] == "double" or expr != plain[c] else expr
+            for c, expr in scale_expressions(plain, methods, stats).items()}
     families = set(schema.families)
     names = [c for c in schema.packed_columns(labels) if c not in schema.aux]
     packed = {name: text.array(flat[c] for c in family_columns(flat, name)) if name in families else flat[name]

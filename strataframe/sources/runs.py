@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions.scalar import run_tag
 from strataframe.session import hadoop_fs
+from strataframe.sources.files import ingest_csv
 
 SCORE_SCHEMA = T.StructType([
     T.StructField("column", T.StringType()), T.StructField("r2", T.DoubleType())])
@@ -35,8 +36,7 @@ def load_predictions(spark: SparkSession, paths: Mapping[str, str],
         found = fs.globStatus(glob) or []
         if len(found) != 1:
             raise ValueError(f"run {run!r} has {len(found)} submission tables, not one")
-        frames[run] = (spark.read.schema(schema).option("header", True)
-                       .option("mode", "FAILFAST").csv(found[0].getPath().toString()))
+        frames[run] = ingest_csv(spark, found[0].getPath().toString(), schema)
     return frames
 
 

@@ -9,7 +9,7 @@ from strataframe.functions.scaling import collect_stats
 from strataframe.operators.stats import column_stats, quality_check
 from strataframe.plans.infer import (
     ensemble_phase, fit_phase, predict_packed, submit_phase, unpacked_labels, validate_phase)
-from strataframe.plans.prepare import build_dataset, export_phase, generate_phase, split_phase, statistics_phase
+from strataframe.plans.prepare import build_dataset, export_phase, generate_phase, pack_scaled, split_phase, statistics_phase
 from strataframe.schema import ProfileSchema
 from strataframe.sources.files import write_csv
 from strataframe.sources.lookups import load_lookup
@@ -133,6 +133,15 @@ def test_fit_validate_submit_combine(spark, world, tmp_path):
     assert np.allclose(mean["ptend_q0002_0"].astype(float), -truth["state_q0002_0"].loc[mean.index] / 1200)
 
 
+def test_scaled_integers_become_floats(spark):
+    schema = ProfileSchema(("i",), ("v",), (), (), levels=1)
+    raw = spark.createDataFrame([("a", 1, 2.0, 7)], "sample_id string, i int, v_0 double, n int")
+    stats = {"i": dict(mean=0.5, std=0.25, q1=0, q2=0, q3=0, min=0, max=0, std_y=0, **{"lambda": 1})}
+    packed = pack_scaled(raw, schema, {"standard": ["i"]}, stats, carry={"n": "n"})
+    assert packed.dtypes == [("sample_id", "string"), ("i", "float"), ("v", "array<float>"), ("n", "int")]
+    assert packed.first()["i"] == 2
+
+
 def test_build_equals_wide_features(spark, world):
     """Packing before the join gives what scaling after it would."""
     base, train, *_ = world
