@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
-from catalog.registry import PAIRS, RUN_TAGS, RUNS, pairs, query, rounded, samples, table
+from catalog.registry import PAIRS, RUN_TAGS, RUNS, pairs, query, rounded, table
 from strataframe.operators.metrics import r2_by_column
 from strataframe.operators.frame import row_batches, scan_until
 from strataframe.session import scratch_path

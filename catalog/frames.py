@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import LABELS, TWO_PI, query, r6, rounded, samples, table
+from catalog.registry import TWO_PI, query, r6, samples, table
 from strataframe.functions.profiles import unpack_families
 from strataframe.functions.scalar import (
     calendar, clip_lower, cyclic_features, decode_id, override_when, run_tag, sample_number, year_index)

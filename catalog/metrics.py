@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import (
-    ALL_RUNS, LABEL_TABLE, LABELS, PAIRS, WEIGHTS, label_table, pairs, predictions, predictions_sql, query,
+    LABEL_TABLE, LABELS, PAIRS, WEIGHTS, label_table, pairs, predictions, predictions_sql, query,
     rounded, weight_table)
 from strataframe.operators.metrics import (
     best_epoch, broken_columns, column_mask, compare_runs, error_share, huber_loss, r2_by_column, r2_summary,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import (
-    ALL_RUNS, LABEL_TABLE, LABELS, PAIRS, RUNS, WEIGHTS, label_table, pairs, predictions, predictions_sql,
+    LABEL_TABLE, LABELS, PAIRS, RUNS, WEIGHTS, label_table, pairs, predictions, predictions_sql,
     query, rounded, stats_sql, table, weight_table)
 from strataframe.functions.scaling import collect_stats
 from strataframe.operators.ensemble import ensemble_top_k

@@ -149,7 +149,7 @@ r2 AS (
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run, sample_id, column, y, pred) of all runs."""
+    """(run, sample_id, column, y, pred) of all runs, from one scan."""
     entries = [
         F.struct(F.lit(run).alias("run"), F.lit(label).alias("column"), F.col(label).alias("y"), value.alias("pred"))
         for run in RUNS for label, value in predicted(run).items()]

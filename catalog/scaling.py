@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.registry import (
     SAMPLE_COLUMNS, SAMPLES, query, r6, rounded, samples, stats_sql, table)
-from strataframe.functions.scaling import collect_stats, make_scaler, scale, scale_vector
+from strataframe.functions.scaling import collect_stats, scale, scale_vector
 from strataframe.operators.stats import column_stats, level_stats
-from strataframe.schema import natural_key
 
 # SQL of each method over {c} with statistics {c}__*.
 METHODS = {

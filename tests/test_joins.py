@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 from strataframe.operators.joins import attach_by_key, hot_keys, lookup_join, tiered_lookup_join
 from strataframe.plans.prepare import feature_table
 
-LOOKUP = "key double, location long, timestamp timestamp_ntz, lat double, lon double"
-
 
 def lookup_rows(spark, *rows):
     data = [(k, loc, lat, lon, ts) for k, loc, ts, lat, lon in rows]
