@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import texts, written
+from strataframe.llm.common import slices, texts, written
 
 END = b"\n"
 ALPHABET = 256
-_HELD_WORDS = 400_000
+_HELD_WORDS = 250_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -167,7 +167,7 @@ def _spread(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.RecordBa
     known = frequent.value
     schema = pa.schema([("_rid", pa.int64()), ("_word", pa.binary()), ("_k", pa.int64()), ("_n", pa.int64()), ("_seen", pa.int64()),
                         ("_base", pa.float64()), ("_sum", pa.float64())])
-    for batch in batches:
+    for batch in slices(batches, 256):
         rid, word, times, n_all, seen_all, base_all, sum_all = [], [], [], [], [], [], []
         for r, text in zip(batch.column("_rid").to_pylist(), batch.column("_text")):
             words = tokens(text.as_py())
