@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import ship, texts
+from strataframe.llm.common import ship, slices, texts
 
 # Distinct words a worker remembers before it starts afresh.
 REMEMBERED = 500_000
@@ -236,7 +236,7 @@ def load(path: str) -> WordBpe:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
-    for batch in batches:
+    for batch in slices(batches, 2048):
         # New words of a batch are proposed and verified together.
         values = batch.column("_text").to_pylist()
         new = {c for t in values for c in t.split(" ") if c not in bpe.cache}

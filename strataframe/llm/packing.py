@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import texts, written
+from strataframe.llm.common import slices, texts, written
 from strataframe.llm.tokens import load
 
 K1, B = 1.2, 0.75
@@ -23,7 +23,7 @@ PIECES = "_id long, start long, length long, doc_tokens long, sequence_id long,
 def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window: int) -> Iterator[pa.RecordBatch]:
     """Whole windows of a document become sequences at once; its rest, if any, waits with its ids."""
     bpe, sequence = load(tokenizer), TaskContext.get().partitionId() << 32
-    for batch in batches:
+    for batch in slices(batches, 512):
         rows = []
         for doc, text in zip(batch.column("_id").to_pylist(), batch.column("_text")):
             ids = np.append(bpe.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
