@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from strataframe.llm.common import ship, slices, texts
 
 # Distinct words a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def byte_alphabet() -> list[str]:
@@ -45,12 +45,16 @@ class WordBpe:
         for name, i in [*self.ids.items(), *self.special.items()]:
             self.names[i] = name
         self._order(model["merges"])
-        # The longest token that begins with each character or two.
+        # The longest token that begins with given four characters, or given fewer.
         self.reach: dict[str, int] = {}
         for name in self.proposed:
             name = name.removesuffix(self.end) if self.end else name
-            for head in (name[:1], name[:2]):
-                self.reach[head] = max(self.reach.get(head, 1), len(name))
+            self.reach[name[:4]] = max(self.reach.get(name[:4], 1), len(name))
+        # Numbers of single characters of the byte alphabet, inside a word and at its end.
+        self.inside, self.final = np.full(512, -1), np.full(512, -1)
+        for c in self.alphabet.values():
+            self.inside[ord(c)] = self.number.get(c, -1)
+            self.final[ord(c)] = self.number.get(c + self.end, -1)
         self.cache: dict[str, bytes] = {}
 
     def _order(self, merges: list) -> None:
@@ -74,6 +78,9 @@ class WordBpe:
         self.pair_keys, self.pair_made = keys[by], np.array(list(self.pairs.values()), np.int64)[by]
         # Two merges that make the same text are told apart by the exact way only.
         self.made_number = {len(base) + k: self.number[a + b] for k, (a, b) in enumerate(merges)}
+        self.made_numbers = np.arange(size)
+        for i, made_as in self.made_number.items():
+            self.made_numbers[i] = made_as
         own = np.arange(len(base), size)
         alike = np.array([self.made_number[i] != i for i in own]) if len(own) else np.zeros(0, bool)
         valid = np.ones(size, bool)
@@ -116,7 +123,7 @@ class WordBpe:
         """Greedy longest matches from the left, or None where some character has none."""
         out, at, n, names, end, reach = [], 0, len(word), self.proposed, self.end, self.reach
         while at < n:
-            size = min(reach.get(word[at:at + 2], 1), n - at)
+            size = min(reach.get(word[at:at + 4], 3), n - at)
             while size:
                 found = names.get(word[at:at + size] + end if at + size == n else word[at:at + size])
                 if found is not None:
@@ -128,8 +135,56 @@ class WordBpe:
             at += size
         return out
 
+    def merge_many(self, words: list[str], width: int = 24) -> list[list[int]]:
+        """The exact way for many words at once, a row each; words longer than `width` go one by one."""
+        out = [self.merge(w) if len(w) > width else None for w in words]
+        short = np.array([i for i, ts in enumerate(out) if ts is None], np.int64)
+        short = short[np.argsort([len(words[i]) for i in short], kind="stable")]
+        for at in range(0, len(short), 4096):
+            group = short[at:at + 4096]
+            for i, row in zip(group.tolist(), self._merge_rows([words[i] for i in group])):
+                out[i] = row
+        return out
+
+    def _merge_rows(self, words: list[str]) -> list[list[int]]:
+        sizes = np.array([len(w) for w in words])
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(sizes) - 1
+        flat = self.inside[codes]
+        flat[ends] = self.final[codes[ends]]
+        width = int(sizes.max())
+        parts = np.full((len(words), width + 1), -1)
+        parts[np.arange(width + 1) < sizes[:, None]] = flat
+        none = self.size + 1
+
+        def ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.where((a >= 0) & (b >= 0), self._merged(a, b), none)
+
+        ranks = ranked(parts[:, :-1], parts[:, 1:])
+        rows, columns = np.arange(len(words)), np.arange(width)
+        while len(rows):
+            best = ranks[rows].argmin(axis=1)
+            rank = ranks[rows, best]
+            more = rank < none
+            rows, best, rank = rows[more], best[more], rank[more]
+            if not len(rows):
+                break
+            # What stands behind the merged pair moves up by one.
+            behind = columns[None, :] > best[:, None]
+            moved = parts[rows]
+            moved[:, :-1] = np.where(behind, moved[:, 1:], moved[:, :-1])
+            moved[np.arange(len(rows)), best] = self.made_numbers[rank]
+            parts[rows] = moved
+            close = ranks[rows]
+            close[:, :-1] = np.where(behind[:, :-1], close[:, 1:], close[:, :-1])
+            at, before = np.arange(len(rows)), np.maximum(best - 1, 0)
+            close[at, best] = ranked(moved[at, best], moved[at, best + 1])
+            close[at, before] = ranked(moved[at, before], moved[at, before + 1])
+            ranks[rows] = close
+        return [row[row >= 0].tolist() for row in parts]
+
     def merge(self, word: str) -> list[int]:
-        """The exact way: the earliest merge first, leftmost on ties."""
+        """The exact way for one word: the earliest merge first, leftmost on ties."""
         parts = [self.number.get(c) for c in [*word[:-1], word[-1] + self.end]]
         parts = [p for p in parts if p is not None]
         return self._merge_long(parts) if len(parts) > 64 else self._merge_short(parts)
@@ -179,27 +234,38 @@ class WordBpe:
             fits = self.compatible(pairs // self.size, pairs % self.size)[back]
             for i in np.unique(owner[inside[~fits]]):
                 tokens[i] = None
-        return [self.merge(w) if ts is None else ts for w, ts in zip(words, tokens)]
+        failed = [i for i, ts in enumerate(tokens) if ts is None]
+        for i, ts in zip(failed, self.merge_many([words[i] for i in failed])):
+            tokens[i] = ts
+        return tokens
 
     def words_of(self, chunk: str) -> list[str | int]:
-        """Normalised words in the byte alphabet; special tokens come as their ids."""
-        if self.split_special is None:
-            return self._plain(chunk)
+        """Normalised words of a chunk in the byte alphabet; special tokens come as their ids."""
         out, at = [], 0
-        for m in self.split_special.finditer(chunk):
-            out += [*self._plain(chunk[at:m.start()]), self.special[m[0]]]
+        for m in self.split_special.finditer(chunk) if self.split_special else ():
+            out += [*self._words(self._normal(chunk[at:m.start()])), self.special[m[0]]]
             at = m.end()
-        return out + self._plain(chunk[at:])
+        return out + self._words(self._normal(chunk[at:]))
 
-    def _plain(self, text: str) -> list[str]:
+    def _normal(self, text: str) -> str:
         # Letters are lowered one by one, so sigma has no form of its own at the end of a word.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def _words(self, text: str) -> list[str]:
+        if text.isalpha() and text.isascii():
+            return [text]
         return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.alphabet)
                 for w in self.pattern.findall(text)]
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         """Adds the ids of new space-delimited chunks to the cache."""
-        split = [self.words_of(c) for c in chunks]
+        chunks = list(new)
+        joined = " ".join(chunks)
+        if self.split_special and self.split_special.search(joined):
+            split = [self.words_of(c) for c in chunks]
+        else:
+            # Neither composing nor lowering makes or removes a space.
+            split = [self._words(c) for c in self._normal(joined).split(" ")]
         words = list({w for ws in split for w in ws if isinstance(w, str)})
         tokens = self.encode_words(words)
         flat, at, ids = self.to_id[np.array([t for ts in tokens for t in ts], np.int64)].tobytes(), 0, {}
@@ -207,7 +273,8 @@ class WordBpe:
             ids[w] = flat[at:at + 4 * len(ts)]
             at += 4 * len(ts)
         for c, ws in zip(chunks, split):
-            self.cache[c] = b"".join([ids[w] if isinstance(w, str) else np.int32(w).tobytes() for w in ws])
+            self.cache[c] = ids[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else b"".join(
+                [ids[w] if isinstance(w, str) else np.int32(w).tobytes() for w in ws])
 
     def encode_batch(self, values: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of four bytes."""
