@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from strataframe.llm.common import ship, slices, texts
 
 # Distinct words a worker remembers before it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 
 def byte_alphabet() -> list[str]:
@@ -276,17 +276,26 @@ class WordBpe:
             self.cache[c] = ids[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else b"".join(
                 [ids[w] if isinstance(w, str) else np.int32(w).tobytes() for w in ws])
 
+    def remember(self, chunks: set[str]) -> None:
+        """Learns what is new; what was known before makes room when there is too much of it."""
+        new = {c for c in chunks if c not in self.cache}
+        if len(new) + len(self.cache) > REMEMBERED:
+            self.cache, new = {}, chunks
+        if new:
+            self.learn(new)
+
     def encode_batch(self, values: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of four bytes."""
+        # No word, special token or composed character holds a space. New words of all texts are
+        # proposed and verified together, unless there are too many.
+        together = {c for t in values for c in t.split(" ")}
+        if len(together) <= REMEMBERED:
+            self.remember(together)
         out = []
         for text in values:
-            # No word, special token or composed character holds a space.
             chunks = text.split(" ")
-            new = {c for c in chunks if c not in self.cache}
-            if len(new) + len(self.cache) > REMEMBERED:
-                self.cache, new = {}, set(chunks)
-            if new:
-                self.learn(new)
+            if len(together) > REMEMBERED:
+                self.remember(set(chunks))
             out.append(b"".join(map(self.cache.__getitem__, chunks)))
         return out
 
@@ -304,12 +313,7 @@ def load(path: str) -> WordBpe:
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
     for batch in slices(batches, 2048):
-        # New words of a batch are proposed and verified together.
-        values = batch.column("_text").to_pylist()
-        new = {c for t in values for c in t.split(" ") if c not in bpe.cache}
-        if len(new) + len(bpe.cache) <= REMEMBERED:
-            bpe.learn(new)
-        data = bpe.encode_batch(values)
+        data = bpe.encode_batch(batch.column("_text").to_pylist())
         offsets = np.zeros(len(data) + 1, np.int64)
         np.cumsum([len(d) // 4 for d in data], out=offsets[1:])
         ids = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(data))])
