@@ -91,7 +91,17 @@ FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS quantity, count(*) AS li
 def attached(spark, sf_dir):
     sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.sum("l_quantity").alias("quantity"), F.count("*").alias("lines"))
-    return attach_by_key(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), sums, "o_orderkey")
+    return attach_by_key(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), sums, "o_orderkey", on_miss="drop")
+
+
+@query("attach_by_key_keep", """
+SELECT o_orderkey, o_totalprice, l_linenumber, l_quantity
+FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber > 5) ON o_orderkey = l_orderkey""")
+def attached_kept(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber > 5").select(
+        F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return attach_by_key(orders, lines, "o_orderkey", on_miss="keep", on_duplicate="keep")
 
 
 @query("feature_table", f"""

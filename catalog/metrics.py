@@ -8,7 +8,7 @@ from catalog.registry import (
     LABEL_TABLE, LABELS, PAIRS, WEIGHTS, label_table, pairs, predictions, predictions_sql, query,
     rounded, weight_table)
 from strataframe.operators.metrics import (
-    best_epoch, broken_columns, column_mask, compare_runs, error_share, huber_loss, r2_by_column, r2_summary,
+    best_epoch, broken_columns, column_mask, compare_runs, error_share, huber_loss, incomplete_pairs, r2_by_column, r2_summary,
     series_head, top_k, worst_samples)
 from strataframe.operators.post import evaluation_table
 
@@ -37,6 +37,18 @@ def r2(spark, sf_dir):
     return rounded(_r2(spark, sf_dir))
 
 
+@query("r2_incomplete", f"""WITH {PAIRS},
+holes AS (SELECT run, "column", y, CASE WHEN CAST(substr(sample_id, 7) AS BIGINT) % 7 = 3 THEN NULL ELSE pred END AS pred FROM pairs)
+SELECT h.run, h."column", round(1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)), 6) AS r2, any_value(i.n) AS incomplete
+FROM holes h JOIN (SELECT run, "column", count(*) AS n FROM holes WHERE pred IS NULL GROUP BY ALL) i
+  ON h.run = i.run AND h."column" = i."column" WHERE pred IS NOT NULL GROUP BY h.run, h."column\"""")
+def incomplete(spark, sf_dir):
+    hole = F.substring("sample_id", 7, 20).cast("long") % 7 == 3
+    holed = pairs(spark, sf_dir).withColumn("pred", F.when(~hole, F.col("pred")))
+    by = ["run", "column"]
+    return rounded(r2_by_column(holed, by=by)).join(incomplete_pairs(holed, by=by), by)
+
+
 @query("r2_summary", f"""WITH {PAIRS}, {MASK} {SCORED}
 SELECT run, round(avg(CASE WHEN masked < 1e-6 THEN 0.0 ELSE masked END), 6) AS val_r2,
        count(*) FILTER (WHERE masked < 1e-6) AS r2_broken FROM scored GROUP BY run""")

@@ -87,6 +87,24 @@ def described(spark, sf_dir):
     return rounded(describe(events, "v"))
 
 
+@query("quality_report_profiles", """
+WITH p AS (
+  SELECT CASE WHEN vec_id % 9 = 4 THEN NULL ELSE list_transform(embedding, lambda x, i: CASE
+           WHEN (vec_id + i) % 50 = 1 THEN NULL WHEN (vec_id + i) % 50 = 2 THEN CAST('nan' AS FLOAT)
+           WHEN (vec_id + i) % 50 = 3 THEN CAST('-infinity' AS FLOAT) ELSE x END) END AS v, label FROM embeddings)
+SELECT 'v' AS "column", count(*) AS rows,
+       CAST(sum(CASE WHEN v IS NULL THEN 1 ELSE len(list_filter(v, lambda x: x IS NULL)) END) AS BIGINT) AS null_count,
+       CAST(sum(len(list_filter(v, lambda x: isnan(x)))) AS BIGINT) AS nan_count,
+       CAST(sum(len(list_filter(v, lambda x: isinf(x)))) AS BIGINT) AS infinite_count FROM p
+UNION ALL SELECT 'label', count(*), count(*) - count(label), 0, 0 FROM p""")
+def quality_profiles(spark, sf_dir):
+    at = (F.col("vec_id").cast("long"))
+    holed = F.transform("embedding", lambda x, i: F.when((at + i + 1) % 50 == 1, None).when((at + i + 1) % 50 == 2, float("nan"))
+                        .when((at + i + 1) % 50 == 3, float("-inf")).otherwise(x).cast("float"))
+    rows = table(spark, sf_dir, "embeddings").select(F.when(at % 9 != 4, holed).alias("v"), "label")
+    return quality_report(rows, ["v", "label"])
+
+
 @query("quality_report", """
 SELECT 'l_orderkey' AS "column", count(*) AS rows, 0 AS null_count, 0 AS nan_count, 0 AS infinite_count FROM lineitem
 UNION ALL SELECT 'quantity', count(*), count(*) FILTER (WHERE l_quantity = 1), 0, 0 FROM lineitem

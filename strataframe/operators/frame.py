@@ -77,4 +77,5 @@ def scan_until(df: DataFrame, batch_col: str, max_rows: int) -> DataFrame:
     earlier = Window.orderBy(batch_col).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
     kept = sizes.withColumn("_before", before).filter(F.col("_before") <= max_rows)
-    return df.join(kept.select(batch_col), batch_col, "left_semi")
+    # The kept batches come first in order, so the last of them is a filter that the scan can use.
+    return df.filter(F.col(batch_col) <= kept.agg(F.max(batch_col)).scalar())

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from strataframe.operators.frame import filter_time_slots
 
 # Keys with more rows than this are split over several tasks.
 MIN_HOT_ROWS = 1_000_000
-# Only the largest keys are listed, so the list has a fixed bound. A key that is not among the
-# MAX_HOT largest holds less than one part in MAX_HOT of all rows.
+# A hot key also holds more than one part in MAX_HOT of all rows, so there are never more than
+# MAX_HOT of them, and none is left out.
 MAX_HOT = 10_000
 
 HotKeys = list[tuple[object, int]]
@@ -25,10 +25,11 @@ def hot_keys(df: DataFrame, on: str, min_hot_rows: int = MIN_HOT_ROWS) -> HotKey
 
 
 def _largest(counts: DataFrame, min_hot_rows: int) -> list[Row]:
-    """Rows of `counts` above the limit, the MAX_HOT largest of them, with their number of parts."""
-    parts = F.ceil(F.col("_n") / min_hot_rows).alias("_parts")
-    return (counts.filter(F.col("_n") > min_hot_rows).select("*", parts)
-            .orderBy(F.col("_n").desc()).limit(MAX_HOT).collect())
+    """All rows of `counts` above both limits, with their number of parts."""
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    least = F.greatest(F.lit(min_hot_rows).cast("double"), total / F.lit(MAX_HOT))
+    parts = F.ceil(F.col("_n") / least).alias("_parts")
+    return counts.filter(F.col("_n") > least).select("*", parts).collect()
 
 
 def left_join_unique(df: DataFrame, right: DataFrame, on: str, spread_by: Sequence[str],
@@ -75,20 +76,24 @@ def unique_lookup(lookup: DataFrame, key: Column, key_name: str, values: Sequenc
         key_name, "_rows", *[F.col("_first")[f"_v_{c}"].alias(c) for c in values])
 
 
-def _guarded(values: Sequence[str], on_duplicate: str, key: Column) -> list[Column]:
-    """Values of a match; a match with more than one lookup row fails unless `first` is wanted."""
-    if on_duplicate == "first":
-        return [F.col(c) for c in values]
-    message = F.concat(F.lit("lookup has more than one row for key "), key.cast("string"))
-    return [F.when(F.col("_rows") > 1, F.raise_error(message)).otherwise(F.col(c)).alias(c)
-            for c in values]
+def _guard(df: DataFrame, bad: Column, message: str, key: str) -> DataFrame:
+    """Fail on rows where `bad` holds.
+
+    A filter cannot be pruned away, whatever columns are read later. Its message names the probe
+    side's key, so the optimiser takes it for a condition on both sides of the join.
+    """
+    text = F.concat(F.lit(message), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")))
+    return df.filter(F.when(bad, F.raise_error(text).cast("boolean")).otherwise(F.lit(True)))
 
 
-def _required(df: DataFrame, marker: str, values: Sequence[str], key: str) -> DataFrame:
-    """Fail on rows that found no match."""
-    message = F.concat(F.lit("no lookup row for key "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    return df.withColumns({
-        c: F.when(F.col(marker).isNull(), F.raise_error(message)).otherwise(F.col(c)) for c in values})
+def _guarded(joined: DataFrame, marker: str, key: str, on_miss: str, on_duplicate: str,
+             side: str = "lookup") -> DataFrame:
+    """Fail on rows that found several lookup rows, or none, unless that is wanted."""
+    if on_duplicate == "error":
+        joined = _guard(joined, F.col("_rows") > 1, f"{side} has more than one row for key ", key)
+    if on_miss == "error":
+        joined = _guard(joined, F.col(marker).isNull(), f"no {side} row for key ", key)
+    return joined
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str, id_col: str = "sample_id",
@@ -98,13 +103,9 @@ def lookup_join(df: DataFrame, lookup: DataFrame, key: str, id_col: str = "sampl
     """Left equi-join on a float key. A missing or ambiguous match stops the job by default."""
     values = [c for c in lookup.columns if c != key]
     unique = unique_lookup(lookup, F.col(key), key, values, on_duplicate, order)
-    unique = unique.select(key, *_guarded(values, on_duplicate, F.col(key)),
-                           F.lit(True).alias("_hit"))
     joined = left_join_unique(df, unique, key, [id_col], hot_keys(df, key, min_hot_rows))
-    joined = joined.select(*df.columns, *values, "_hit")
-    if on_miss == "error":
-        joined = _required(joined, "_hit", values, key)
-    return joined.drop("_hit")
+    joined = joined.select(*df.columns, *values, "_rows")
+    return _guarded(joined, "_rows", key, on_miss, on_duplicate).drop("_rows")
 
 
 Tier = tuple[int | None, Callable[[DataFrame], DataFrame] | None]
@@ -138,11 +139,10 @@ def tiered_lookup_join(df: DataFrame, lookup: DataFrame, key: str, tiers: Sequen
             tier_key, F.struct(F.lit(number).alias("match_tier"), "_rows", *values).alias(f"_hit_{number}"))
         resolved = left_join_unique(resolved, unique, tier_key, [key], hot.get(number, []))
     hit = F.coalesce(*[F.col(f"_hit_{n}") for n in rounded])
-    resolved = (resolved.select(key, hit.alias("_hit")).select(key, "_hit.*")
-                .select(key, "match_tier", *_guarded(values, on_duplicate, F.col(key))))
+    resolved = resolved.select(key, hit.alias("_hit")).select(key, "_hit.*")
     joined = left_join_unique(df, resolved, key, [id_col], hot_keys(df, key, min_hot_rows))
-    joined = joined.select(*df.columns, *values, "match_tier")
-    return _required(joined, "match_tier", values, key) if on_miss == "error" else joined
+    joined = joined.select(*df.columns, *values, "match_tier", "_rows")
+    return _guarded(joined, "match_tier", key, on_miss, on_duplicate).drop("_rows")
 
 
 def _hot_tiers(keys: DataFrame, rounded: dict[int, Column], min_hot_rows: int) -> dict[int, HotKeys]:
@@ -162,9 +162,22 @@ def prefiltered_build(lookup: DataFrame, ts_col: str, hours: Sequence[int], minu
     return filter_time_slots(lookup, ts_col, hours, minute)
 
 
-def attach_by_key(left: DataFrame, right: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Put the columns of `right` beside `left` by their common key."""
+def attach_by_key(left: DataFrame, right: DataFrame, key: str = "sample_id", on_miss: str = "error",
+                  on_duplicate: str = "error") -> DataFrame:
+    """Put the columns of `right` beside `left` by their common key.
+
+    A row of `left` without a partner stops the job, or is kept with nulls (`keep`) or left out
+    (`drop`). A key that several rows of `right` share stops the job when met, or gives a row for
+    each (`keep`). Counting them needs no shuffle or sort beyond the join's own.
+    """
+    if on_miss not in ("error", "keep", "drop") or on_duplicate not in ("error", "keep"):
+        raise ValueError(f"on_miss {on_miss!r} or on_duplicate {on_duplicate!r} is unknown")
     shared = (set(left.columns) & set(right.columns)) - {key}
     if shared:
         raise ValueError(f"both sides have columns {sorted(shared)}")
-    return left.join(right, key, "inner")
+    if on_duplicate == "error":
+        counted = right.filter(F.col(key).isNotNull()).withColumn("_rows", F.count("*").over(Window.partitionBy(key)))
+    else:
+        counted = right.withColumn("_rows", F.lit(1).cast("long"))
+    joined = left.join(counted, key, "inner" if on_miss == "drop" else "left")
+    return _guarded(joined, "_rows", key, on_miss, on_duplicate, "right side").drop("_rows")

@@ -29,16 +29,26 @@ def long_pairs(df: DataFrame, labels: Sequence[str], id_col: str, suffix: str =
 
 
 def r2_by_column(long: DataFrame, by: Sequence[str] = ("column",)) -> DataFrame:
-    """R2 of raw values. A constant target scores 1 if every prediction is exact and 0 if not."""
+    """R2 of raw values. A constant target scores 1 if every prediction is exact and 0 if not.
+
+    Pairs with a null count in neither sum; `incomplete_pairs` tells how many there are. Without
+    any complete pair R2 is null.
+    """
     error = F.col("y") - F.col("pred")
+    target = F.when(F.col("pred").isNotNull(), F.col("y"))
     sums = long.groupBy(*by).agg(
         F.sum(error * error).alias("_res"),
-        (F.var_pop("y") * F.count("y")).alias("_tot"))
+        (F.var_pop(target) * F.count(target)).alias("_tot"))
     r2 = (F.when(F.col("_tot") != 0, F.lit(1.0) - F.col("_res") / F.nullif(F.col("_tot"), F.lit(0.0)))
-          .when(F.col("_res") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+          .when(F.col("_res") == 0, F.lit(1.0)).when(F.col("_res").isNotNull(), F.lit(0.0)))
     return sums.select(*by, r2.alias("r2"))
 
 
+def incomplete_pairs(long: DataFrame, by: Sequence[str] = ("column",)) -> DataFrame:
+    """How many pairs lack the label or the prediction."""
+    return long.groupBy(*by).agg(F.count_if(F.col("y").isNull() | F.col("pred").isNull()).alias("incomplete"))
+
+
 def _masked(r2: DataFrame, mask: DataFrame | None) -> DataFrame:
     """Masked columns score 1, and only then are broken columns set to 0."""
     score = F.col("r2")

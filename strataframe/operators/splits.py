@@ -33,19 +33,25 @@ def assign_shard(df: DataFrame, key: str, n_shards: int, seed: int = 42) -> Data
     return df.withColumn("shard", hash_shard(shuffle_key(F.col(key), seed), n_shards))
 
 
+# Rows that one task sorts at a time.
+PIECE_ROWS = 100_000
+
+
 def shuffled_position(df: DataFrame, key: str, groups: Sequence[str], seed: int = 42,
                       n_pieces: int | None = None) -> DataFrame:
     """Exact 0-based place of each row in the shuffled order of its group, and the group's size.
 
-    A group is cut into `n_pieces` ranges of the digest (16 to 65,536; 4,096 by default, and all
-    65,536 when the whole table is one group). Rows are numbered inside a
+    A group is cut into `n_pieces` ranges of the digest, any number of them; by default as many as
+    keep a piece at about PIECE_ROWS rows if the whole table is one group. Rows are numbered inside a
     piece, and the sizes of the pieces before it are added, so that no task ever sorts a whole
     group. Rows and piece sizes are partitioned alike and meet without another shuffle.
     """
-    n_pieces = n_pieces or (4096 if groups else 65_536)
-    digits = max(1, min(4, (n_pieces - 1).bit_length() + 3 >> 2))
+    if n_pieces is None:
+        n_pieces = max(256, -(-df.count() // PIECE_ROWS))
+    # The first 48 bits of the digest, in n_pieces equal ranges.
+    width = -(-(1 << 48) // n_pieces)
     keyed = (df.withColumn("shuffle_key", shuffle_key(F.col(key), seed))
-             .withColumn("_piece", F.substring("shuffle_key", 1, digits)))
+             .withColumn("_piece", F.expr(f"CAST(conv(substring(shuffle_key, 1, 12), 16, 10) AS BIGINT) div {width}L")))
     piece = [*groups, "_piece"]
     sizes = keyed.groupBy(*piece).agg(F.count("*").alias("_n"))
     whole = Window.partitionBy(*groups)

@@ -193,21 +193,28 @@ def describe(df: DataFrame, col: str, accuracy: int = ACCURACY) -> DataFrame:
 
 
 def quality_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, rows, null_count, nan_count, infinite_count) for each column, in one pass."""
+    """(column, rows, null_count, nan_count, infinite_count) for each column, in one pass.
+
+    Inside arrays of numbers every element counts; an array that is null counts as one null.
+    """
     columns = list(columns or df.columns)
     types = dict(df.dtypes)
+    conditions = ("{} IS NULL", "isnan({})", "abs({}) = double('Infinity')")
 
     def value(c: str) -> str:
-        if types[c] in ("double", "float"):
-            return f"CAST({quoted(c)} AS DOUBLE)"
-        return f"IF({quoted(c)} IS NULL, NULL, 0D)"
+        name, kind = quoted(c), types[c]
+        if kind in ("double", "float"):
+            counts = [f"IF({condition.format(name)}, 1L, 0L)" for condition in conditions]
+        elif kind in ("array<double>", "array<float>"):
+            counts = [f"CAST(size(filter({name}, v -> {condition.format('v')})) AS BIGINT)" for condition in conditions]
+            counts = [f"IF({name} IS NULL, {empty}L, {count})" for count, empty in zip(counts, (1, 0, 0))]
+        else:
+            counts = [f"IF({name} IS NULL, 1L, 0L)", "0L", "0L"]
+        return "struct({} AS n, {} AS a, {} AS i)".format(*counts)
 
-    x = F.col("x")
     values = df.selectExpr(f"posexplode({array(map(value, columns))}) AS (position, x)")
     counts = values.groupBy("position").agg(
-        F.count("*").alias("rows"), F.count_if(x.isNull()).alias("null_count"),
-        F.count_if(F.isnan(x)).alias("nan_count"),
-        F.count_if(F.abs(x) == math.inf).alias("infinite_count"))
+        F.count("*").alias("rows"), F.sum("x.n").alias("null_count"), F.sum("x.a").alias("nan_count"), F.sum("x.i").alias("infinite_count"))
     names = df.sparkSession.createDataFrame(list(enumerate(columns)), "position int, column string")
     return names.join(counts, "position", "left").orderBy("position").select(
         "column", *[F.coalesce(c, F.lit(0)).alias(c)

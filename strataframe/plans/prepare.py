@@ -14,11 +14,11 @@ from strataframe.operators.frame import cast_floats, row_batches, sort_by_id
 from strataframe.operators.joins import (
     MIN_HOT_ROWS, Tier, lookup_join, prefiltered_build, tiered_lookup_join)
 from strataframe.operators.splits import holdout_split
-from strataframe.operators.stats import CHUNK, column_stats, stats_matrix
+from strataframe.operators.stats import CHUNK, column_stats, quality_check, stats_matrix
 from strataframe.schema import (
     FALLBACK_DIGITS, FALLBACK_HOURS, LOOKUP_KEY, SAMPLES_PER_YEAR, TEST_YEAR, ProfileSchema,
     family_columns)
-from strataframe.sources.files import csv_to_parquet, ingest_csv, scan_parquet, write_parquet
+from strataframe.sources.files import csv_to_parquet, ingest_csv, is_complete, scan_parquet, write_parquet
 from strataframe.sources.shards import SHARDS, export_shards, methods_table, save_manifest
 
 
@@ -112,23 +112,31 @@ def statistics_phase(spark: SparkSession, out: str, schema: ProfileSchema, num_v
     stats = column_stats(raw, columns, quantile, chunk)
     write_parquet(stats, f"{out}/stats", if_exists="overwrite")
     stats = scan_parquet(spark, f"{out}/stats")
-    write_parquet(stats_matrix(stats, columns).coalesce(1), f"{out}/stats_matrix", if_exists="overwrite")
+    write_parquet(stats_matrix(stats, columns).repartition(1), f"{out}/stats_matrix", if_exists="overwrite")
     return stats
 
 
 def generate_phase(spark: SparkSession, out: str, lookup: DataFrame, schema: ProfileSchema,
                    methods: Mapping[str, Iterable[str] | None], dataset: str, overwrite: bool = False) -> None:
-    """Processed train and test tables, with the scaler methods beside them."""
-    if_exists = "overwrite" if overwrite else "skip"
+    """Processed train and test tables, checked, with the scaler methods beside them.
+
+    Finished output is left alone, sidecar included. The sidecar is written last, so it always tells
+    how the tables beside it were scaled. Null, NaN and infinite values, also inside profiles, fail.
+    """
+    base = f"{out}/{dataset}"
+    paths = {name: f"{base}/{name}" for name in ("processed_train", "processed_test")}
+    if not overwrite and all(is_complete(spark, p) for p in (*paths.values(), f"{base}/scaler_methods")):
+        return
     stats = collect_stats(scan_parquet(spark, f"{out}/stats"))
-    save_manifest(methods_table(spark, methods), f"{out}/{dataset}/scaler_methods")
     train = build_dataset(scan_parquet(spark, f"{out}/raw_train"), lookup, stats, schema, methods,
                           carry=("batch_id", "start", "end"))
-    write_parquet(train, f"{out}/{dataset}/processed_train", if_exists, dictionary=False)
+    write_parquet(train, paths["processed_train"], "overwrite", dictionary=False)
     test = build_dataset(scan_parquet(spark, f"{out}/raw_test"), lookup, stats, schema, methods,
                          is_test=True)
-    write_parquet(sort_by_id(test, schema.id_col), f"{out}/{dataset}/processed_test", if_exists,
-                  dictionary=False)
+    write_parquet(sort_by_id(test, schema.id_col), paths["processed_test"], "overwrite", dictionary=False)
+    for path in paths.values():
+        quality_check(scan_parquet(spark, path))
+    save_manifest(methods_table(spark, methods), f"{base}/scaler_methods")
 
 
 def export_phase(spark: SparkSession, out: str, dataset: str, schema: ProfileSchema,

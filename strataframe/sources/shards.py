@@ -87,7 +87,7 @@ def scaled_row_count(n_rows: int, n_picked: int, n_shards: int) -> int:
 
 def save_manifest(df: DataFrame, path: str) -> None:
     """A small sidecar table (rows per split, methods per column, R2 per column, broken columns)."""
-    write_parquet(df.coalesce(1), path, if_exists="overwrite")
+    write_parquet(df.repartition(1), path, if_exists="overwrite")
 
 
 def methods_table(spark: SparkSession, methods: Mapping[str, Iterable[str] | None]) -> DataFrame:

@@ -43,6 +43,29 @@ def test_miss(spark, lookup):
     assert sorted(r["location"] or 0 for r in kept) == [0, 0, 1]
 
 
+def test_guards_survive_pruning(spark, lookup):
+    twice = lookup.unionByName(lookup_rows(spark, (1.0, 9, "2000-01-01 00:00:00", 0.0, 0.0), (9.0, 1, "2000-01-01 00:00:00", 0.0, 0.0)))
+    twice = twice.unionByName(lookup_rows(spark, (9.0, 2, "2000-01-01 00:00:00", 0.0, 0.0)))
+    for join in (lambda df, rows: lookup_join(df, rows, "key"), lambda df, rows: tiered_lookup_join(df, rows, "key", TIERS[:1])):
+        for df in (probe(spark, 1.0, 8.0), probe(spark, 3.0, None)):
+            for read in (lambda out: out.count(), lambda out: out.select("sample_id").collect()):
+                with pytest.raises(PySparkException, match="no lookup row"):
+                    read(join(df, lookup))
+        with pytest.raises(PySparkException, match="more than one row"):
+            join(probe(spark, 1.0), twice).count()
+        # Rows of the lookup that no sample meets may be ambiguous.
+        assert len(join(probe(spark, 3.0), twice).collect()) == 1
+
+
+def test_more_hot_keys_than_fit_a_list(spark, lookup, monkeypatch):
+    df = spark.range(4000).select(F.concat(F.lit("s_"), "id").alias("sample_id"), (F.col("id") % 8 + 1).cast("double").alias("key"))
+    assert len(hot_keys(df, "key", 100)) == 8
+    monkeypatch.setattr("strataframe.operators.joins.MAX_HOT", 4)
+    # No key holds a fourth of the rows: none is hot, and none is dropped.
+    assert hot_keys(df, "key", 100) == []
+    assert lookup_join(df, lookup, "key", on_miss="keep", min_hot_rows=100).count() == 4000
+
+
 def test_duplicate(spark, lookup):
     twice = lookup.unionByName(lookup_rows(spark, (1.0, 9, "2000-01-01 00:00:00", 0.0, 0.0)))
     assert lookup_join(probe(spark, 3.0), twice, "key").count() == 1
@@ -116,6 +139,17 @@ def test_attach(spark):
     assert {tuple(r) for r in attach_by_key(left, right).collect()} == {("a", 1, 4), ("b", 2, 3)}
     with pytest.raises(ValueError):
         attach_by_key(left, left)
+    with pytest.raises(ValueError):
+        attach_by_key(left, right, on_miss="ignore")
+    more = left.unionByName(spark.createDataFrame([("c", 5), (None, 6)], "sample_id string, x int"))
+    with pytest.raises(PySparkException, match="no right side row"):
+        attach_by_key(more, right).count()
+    assert attach_by_key(more, right, on_miss="drop").count() == 2
+    assert attach_by_key(more, right, on_miss="keep").filter("y is null").count() == 2
+    twice = right.unionByName(spark.createDataFrame([("a", 9), ("z", 1), ("z", 1)], "sample_id string, y int"))
+    with pytest.raises(PySparkException, match="more than one row"):
+        attach_by_key(left, twice).count()
+    assert attach_by_key(left, twice, on_duplicate="keep").count() == 3
 
 
 def test_features(spark, lookup):

@@ -92,6 +92,10 @@ def test_generate_skips_existing(spark, world):
     before = spark.read.parquet(f"{base}/v1/processed_train").count()
     generate_phase(spark, base, load_lookup(spark, f"{base}/lookup_csv", "site").limit(0), SMALL, METHODS, "v1")
     assert spark.read.parquet(f"{base}/v1/processed_train").count() == before
+    # Other methods change neither the tables nor the sidecar that tells how they were scaled.
+    other = {"minmax": [c for cs in METHODS.values() for c in cs or ()]}
+    generate_phase(spark, base, load_lookup(spark, f"{base}/lookup_csv", "site").limit(0), SMALL, other, "v1")
+    assert methods_from_table(spark.read.parquet(f"{base}/v1/scaler_methods")) == {k: v for k, v in METHODS.items() if v}
 
 
 def test_fit_validate_submit_combine(spark, world, tmp_path):
