@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import unicodedata
@@ -10,6 +11,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from strataframe.llm.common import ship, slices, texts
 
 # Distinct words a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def byte_alphabet() -> list[str]:
@@ -41,9 +43,6 @@ class WordBpe:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.ids: dict[str, int] = model["vocab"]
-        self.names = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
-        for name, i in [*self.ids.items(), *self.special.items()]:
-            self.names[i] = name
         self._order(model["merges"])
         # The longest token that begins with given four characters, or given fewer.
         self.reach: dict[str, int] = {}
@@ -252,8 +251,12 @@ class WordBpe:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def _words(self, text: str) -> list[str]:
-        if text.isalpha() and text.isascii():
-            return [text]
+        if text.isascii():
+            if text.isalpha():
+                return [text]
+            # Most words that are not letters alone end in one mark.
+            if text[-1:] in (",", ".", "!", "?") and text[:-1].isalpha():
+                return [text[:-1], text[-1]]
         return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.alphabet)
                 for w in self.pattern.findall(text)]
 
@@ -282,13 +285,20 @@ class WordBpe:
         if len(new) + len(self.cache) > REMEMBERED:
             self.cache, new = {}, chunks
         if new:
-            self.learn(new)
+            # Nothing made here refers to itself, and looking for cycles in it takes long.
+            gc.disable()
+            try:
+                self.learn(new)
+            finally:
+                gc.enable()
 
     def encode_batch(self, values: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of four bytes."""
         # No word, special token or composed character holds a space. New words of all texts are
         # proposed and verified together, unless there are too many.
-        together = {c for t in values for c in t.split(" ")}
+        together: set[str] = set()
+        for text in values:
+            together.update(text.split(" "))
         if len(together) <= REMEMBERED:
             self.remember(together)
         out = []
@@ -299,10 +309,31 @@ class WordBpe:
             out.append(b"".join(map(self.cache.__getitem__, chunks)))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """Token texts joined by spaces, as tokenizers without a decoder do; unknown ids are left out."""
-        names, n = self.names, len(self.names)
-        return " ".join([names[i] for i in ids if i is not None and 0 <= i < n and names[i]])
+
+@lru_cache(maxsize=2)
+def token_names(path: str) -> pa.Array:
+    """The text of every id; ids that no token has are null."""
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    ids = config["model"]["vocab"] | {t["content"]: t["id"] for t in config["added_tokens"]}
+    names: list[str | None] = [None] * (1 + max(ids.values()))
+    for name, i in ids.items():
+        names[i] = name
+    return pa.array(names, pa.string())
+
+
+def decode(ids: pa.ListArray, names: pa.Array) -> pa.Array:
+    """Token texts joined by spaces, as tokenizers without a decoder do; unknown ids are left out."""
+    flat, starts = ids.flatten(), ids.offsets
+    known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(names))), False)
+    texts_ = names.take(pc.if_else(known, flat, None))
+    if texts_.null_count or ids.null_count or starts[0].as_py():
+        rows = [None if r is None else [i for i in r if i is not None and 0 <= i < len(names) and names[i].is_valid] for r in ids.to_pylist()]
+        lists = pa.array(rows, pa.list_(pa.int32()))
+        texts_, starts = names.take(lists.flatten()), lists.offsets
+        joined = pc.binary_join(pa.ListArray.from_arrays(starts, texts_), " ")
+        return pc.if_else(pc.is_valid(lists), joined, None)
+    return pc.binary_join(pa.ListArray.from_arrays(starts, texts_), " ")
 
 
 @lru_cache(maxsize=2)
@@ -322,9 +353,11 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str, ids_col: str) -> Iterator[pa.RecordBatch]:
-    bpe = load(path)
-    for batch in batches:
-        text = pa.array([None if r.as_py() is None else bpe.decode(r.as_py()) for r in batch.column(ids_col)], pa.string())
+    names = token_names(path)
+    for batch in slices(batches, 1024):
+        # A slice's lists are made anew, so that they begin at zero.
+        column = batch.column(ids_col)
+        text = decode(pa.concat_arrays([column]) if column.offset == 0 else column.take(pa.array(range(len(column)), pa.int64())), names)
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns)], text],
                                          names=[*batch.schema.names, "decoded"])
 
