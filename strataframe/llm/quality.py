@@ -19,9 +19,13 @@ FEATURES = ("chars", "words", "word_length", "distinct_words", "capital_words",
 
 def with_statistics(df: DataFrame, text_col: str = "text", prefix: str = "_q_") -> DataFrame:
     """`df` with the statistics of its text, all JVM expressions; null text counts as empty."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    parts = df.withColumn(f"{prefix}text", text).withColumn(f"{prefix}split", F.split(f"{prefix}text", "[ \n]+"))
-    text, words, lines = F.col(f"{prefix}text"), F.col(f"{prefix}split"), F.split(f"{prefix}text", "\n")
+    whole = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    names = [f"{prefix}{n}" for n in ("text", "split", "rows")]
+    # A generator stands between the steps: a projection would be merged into the rules above it, and
+    # every rule would split the text again.
+    parts = df.select("*", F.inline(F.array(F.struct(
+        whole.alias(names[0]), F.split(F.replace(whole, F.lit("\n"), F.lit(" ")), " ").alias(names[1]), F.split(whole, "\n").alias(names[2])))))
+    text, words, lines = [F.col(n) for n in names]
     chars = F.greatest(F.length(text), F.lit(1))
     count = F.greatest(F.size(words), F.lit(1))
     values = {
@@ -33,8 +37,8 @@ def with_statistics(df: DataFrame, text_col: str = "text", prefix: str = "_q_")
     values["digits"] = F.when(F.length(text) > 0, values["digits"]).otherwise(0.0)
     for name, mark in MARKS.items():
         values[name] = (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / chars
-    wide = parts.select("*", *[values[f].cast("double").alias(prefix + f) for f in FEATURES])
-    return wide.drop(f"{prefix}text", f"{prefix}split")
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    return parts.select(*kept, F.inline(F.array(F.struct(*[values[f].cast("double").alias(prefix + f) for f in FEATURES]))))
 
 
 @dataclass(frozen=True)
