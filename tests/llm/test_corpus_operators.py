@@ -287,3 +287,13 @@ def test_pipeline(spark):
     assert all("@" not in r["text"] or "[EMAIL]" not in r["text"] for r in frames[3].filter("text like '%[EMAIL]%@%.%'").collect())
     assert all(r["n_chars"] == len(r["text"]) for r in frames[3].collect())
     assert {r["doc_id"] for r in p.run(spark, SF).collect()} == ids[4]
+
+
+def test_near_copies_keep_documents_without_id(spark):
+    from corpus_pipeline import near_copies
+
+    rows = [(3, "one two three four"), (2, "one two three four"), (2, "one two three four"), (None, "lonely text without id"),
+            (None, "another text without any id"), (None, "one two three four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in near_copies(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted([rows[1], *rows[3:]], key=str)
