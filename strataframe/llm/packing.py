@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +24,24 @@ PIECES = "_id long, start long, length long, doc_tokens long, sequence_id long,
 def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window: int) -> Iterator[pa.RecordBatch]:
     """Whole windows of a document become sequences at once; its rest, if any, waits with its ids."""
     bpe, sequence = load(tokenizer), TaskContext.get().partitionId() << 32
+    place = sequence
     for batch in slices(batches, 512):
         rows = []
         for doc, text in zip(batch.column("_id").to_pylist(), batch.column("_text")):
             ids = np.append(bpe.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
             full = len(ids) // window * window
             for start in range(0, full, window):
-                rows.append((doc, start, window, len(ids), 2 * sequence, 0, ids[start:start + window].tobytes(), 0))
+                rows.append((doc, start, window, len(ids), 2 * sequence, 0, ids[start:start + window].tobytes(), 0, 0))
                 sequence += 1
             if full < len(ids):
                 # A hash of the rarest-looking id: texts that share much tend to share it.
                 near = int((ids[full:] * np.uint32(2654435761)).min())
-                rows.append((doc, full, len(ids) - full, len(ids), None, None, ids[full:].tobytes(), near))
-        columns = list(zip(*rows)) if rows else [[]] * 8
+                rows.append((doc, full, len(ids) - full, len(ids), None, None, ids[full:].tobytes(), near, place))
+                place += 1
+        columns = list(zip(*rows)) if rows else [[]] * 9
         yield pa.RecordBatch.from_arrays(
-            [*[pa.array(c, f.type) for c, f in zip(columns, _PIECES)], pa.array(columns[7], pa.int64())],
-            names=[*_PIECES.names, "near"])
+            [*[pa.array(c, f.type) for c, f in zip(columns, _PIECES)], pa.array(columns[7], pa.int64()), pa.array(columns[8], pa.int64())],
+            names=[*_PIECES.names, "near", "place"])
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +84,7 @@ class Shard:
         return np.bincount(np.concatenate([self.post_docs[s] for s in spans]),
                            np.concatenate([self.post_weights[s] for s in spans]), minlength=len(self.ids))
 
-    def windows(self, window: int) -> Iterator[list[tuple[int, int, int]]]:
+    def windows(self, window: int, neighbours: int = 64) -> Iterator[list[tuple[int, int, int]]]:
         """Lists of (document, first id, length). All but the last are full: what does not fit is cut."""
         left = np.array([len(x) for x in self.ids])
         begun = np.zeros(len(self.ids), np.int64)
@@ -102,17 +105,22 @@ class Shard:
 
             take(seed, min(room, int(left[seed])))
             if room and left.any():
-                score = np.where(left > 0, self.scores(seed), -1)
-                found = np.argsort(-score, kind="stable")[:64]
-                found = found[score[found] > 0]
-                for doc in found:
-                    if 0 < left[doc] <= room:
-                        take(int(doc), int(left[doc]))
+                score = np.where(left > 0, self.scores(seed), 0)
+                found = np.flatnonzero(score)
+                if len(found) > neighbours:
+                    found = found[np.argpartition(-score[found], neighbours)[:neighbours]]
+                found = found[np.lexsort((found, -score[found]))]
+                for doc in found.tolist():
+                    if not room:
+                        break
+                    if left[doc] <= room:
+                        take(doc, int(left[doc]))
                 # The best neighbour that is left is cut to fit, then any unused document.
-                rest = np.flatnonzero(left > 0)
-                for doc in [*found[left[found] > 0], *rest[:window]]:
-                    if room and left[doc]:
-                        take(int(doc), min(room, int(left[doc])))
+                for doc in chain(found.tolist(), range(next_unused, len(left))):
+                    if not room:
+                        break
+                    if left[doc]:
+                        take(doc, min(room, int(left[doc])))
             yield pieces
 
 
@@ -178,8 +186,8 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     by one; an empty table gives no rows. Terms are bounded by the vocabulary, shards by their size.
     """
     rows = texts(df, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
-    pieces = written(rows.mapInArrow(partial(_tokenised, tokenizer=tokenizer, end_id=end_id, window=window), PIECES + ", near long"), "pieces")
-    whole = pieces.filter("sequence_id is not null").drop("near")
+    pieces = written(rows.mapInArrow(partial(_tokenised, tokenizer=tokenizer, end_id=end_id, window=window), PIECES + ", near long, place long"), "pieces")
+    whole = pieces.filter("sequence_id is not null").drop("near", "place")
     rest = pieces.filter("sequence_id is null")
     terms = (rest.select("ids").mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow())
     total = rest.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean")).first()
@@ -187,7 +195,8 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     counts[terms["term"].to_numpy()] = terms["n"].to_numpy()
     idf = np.log(1 + (total["n"] - counts + 0.5) / (counts + 0.5))
     shared = df.sparkSession.sparkContext.broadcast((idf, total["mean"]))
-    order = ["near", F.xxhash64("_id", "ids"), "_id"]
+    # Places differ even for repeated rows, and the ranges are found without reading ids.
+    order = ["near", "place"]
     dealt = rest.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "start", "doc_tokens", "ids")
     run = partial(_packed, statistics=shared, window=window, shard_docs=shard_docs, query_terms=query_terms)
     return whole.unionByName(dealt.mapInArrow(run, PIECES)).withColumnRenamed("_id", id_col)
