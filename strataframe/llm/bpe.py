@@ -269,9 +269,12 @@ class WordBpe:
         else:
             # Neither composing nor lowering makes or removes a space.
             split = [self._words(c) for c in self._normal(joined).split(" ")]
-        words = list({w for ws in split for w in ws if isinstance(w, str)})
+        met = {w for ws in split for w in ws if isinstance(w, str)}
+        # A known chunk of plain small letters is a word of its own, and met again inside other chunks.
+        ids = {w: self.cache[w] for w in met & self.cache.keys() if w.isascii() and w.isalpha()}
+        words = [w for w in met if w not in ids]
         tokens = self.encode_words(words)
-        flat, at, ids = self.to_id[np.array([t for ts in tokens for t in ts], np.int64)].tobytes(), 0, {}
+        flat, at = self.to_id[np.array([t for ts in tokens for t in ts], np.int64)].tobytes(), 0
         for w, ts in zip(words, tokens):
             ids[w] = flat[at:at + 4 * len(ts)]
             at += 4 * len(ts)
@@ -280,10 +283,10 @@ class WordBpe:
                 [ids[w] if isinstance(w, str) else np.int32(w).tobytes() for w in ws])
 
     def remember(self, chunks: set[str]) -> None:
-        """Learns what is new; what was known before makes room when there is too much of it."""
+        """Learns what is new; what was known before and is not asked for makes room when there is too much."""
         new = {c for c in chunks if c not in self.cache}
         if len(new) + len(self.cache) > REMEMBERED:
-            self.cache, new = {}, chunks
+            self.cache = {c: self.cache[c] for c in chunks - new}
         if new:
             # Nothing made here refers to itself, and looking for cycles in it takes long.
             gc.disable()
