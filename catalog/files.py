@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
-from catalog.registry import PAIRS, RUN_TAGS, RUNS, pairs, query, rounded, table
+from catalog.registry import LABELS, PAIRS, RUN_TAGS, RUNS, pairs, predictions, query, rounded, table
 from strataframe.operators.metrics import r2_by_column
 from strataframe.operators.frame import row_batches, scan_until
 from strataframe.session import scratch_path
@@ -13,7 +13,7 @@ from strataframe.sources.files import (
     csv_to_parquet, first_row_long, header, ingest_csv, scan_columns, scan_parquet, write_csv,
     write_parquet)
 from strataframe.sources.lookups import load_lookup
-from strataframe.sources.runs import load_scores
+from strataframe.sources.runs import load_predictions, load_scores, long_predictions
 
 RAW = T.StructType([
     T.StructField("sample_id", T.StringType()), T.StructField("price", T.DoubleType()),
@@ -131,6 +131,18 @@ def lookup_file(spark, sf_dir):
     return load_lookup(spark, path, location_col="site", key="price_key")
 
 
+@query("load_predictions", "WITH " + PAIRS + """
+SELECT run, sample_id, "column", round(pred, 6) AS pred FROM pairs WHERE run IN ('m1', 'm5')""")
+def run_predictions(spark, sf_dir):
+    """Writes a submission CSV per run and loads them again in long form."""
+    paths = {}
+    for run in ("m1", "m5"):
+        paths[run] = scratch_path(spark, f"run_{run}")
+        write_csv(predictions(spark, sf_dir, run), f"{paths[run]}/submission_1", ["sample_id", *LABELS])
+    schema = T.StructType([T.StructField("sample_id", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in LABELS]])
+    return rounded(long_predictions(load_predictions(spark, paths, schema), "sample_id"))
+
+
 @query("load_scores", "WITH " + PAIRS + """
 SELECT run, CASE run WHEN 'm1' THEN 'exp001a' WHEN 'm2' THEN 'exp002a' WHEN 'm3' THEN 'exp002a'
                      WHEN 'm4' THEN 'exp003b' ELSE 'exp004c' END AS tag,

@@ -73,6 +73,41 @@ def tiered(spark, sf_dir):
     return found.select("sample_id", r6("key").alias("key"), "location", "timestamp", "entry", "match_tier")
 
 
+HOURLY = """
+hourly AS (SELECT key, location, entry, "timestamp" + to_hours(entry % 24) AS "timestamp" FROM lookup),
+slots AS (SELECT * FROM hourly WHERE hour("timestamp") IN (0, 8, 16) AND minute("timestamp") = 0)"""
+
+
+@query("tiered_lookup_slots", f"""
+WITH {LOOKUP}, {HOURLY},
+t1 AS (SELECT key AS k, min(entry) AS entry FROM hourly GROUP BY key),
+t2 AS (SELECT round(key, 2) AS k, min(entry) AS entry FROM slots GROUP BY round(key, 2)),
+t3 AS (SELECT round(key, 0) AS k, min(entry) AS entry FROM slots GROUP BY round(key, 0)),
+probe AS (
+  SELECT 'train_' || o_orderkey AS sample_id,
+         o_totalprice + CASE o_orderkey % 3 WHEN 0 THEN CAST(0.0 AS DOUBLE) WHEN 1 THEN CAST(0.0001 AS DOUBLE)
+                                            ELSE CAST(0.02 AS DOUBLE) END AS key FROM orders),
+found AS (
+  SELECT sample_id, CASE WHEN t1.k IS NOT NULL THEN 1 WHEN t2.k IS NOT NULL THEN 2 WHEN t3.k IS NOT NULL THEN 3 END AS match_tier,
+         coalesce(t1.entry, t2.entry, t3.entry) AS entry
+  FROM probe LEFT JOIN t1 ON key = t1.k LEFT JOIN t2 ON round(key, 2) = t2.k LEFT JOIN t3 ON round(key, 0) = t3.k)
+SELECT sample_id, match_tier, f.entry, h.location, h."timestamp" FROM found f LEFT JOIN hourly h ON f.entry = h.entry""")
+def tiered_slots(spark, sf_dir):
+    """Tiers beyond the first look among the rows of the time slots only, so many keys find nothing."""
+    shift = F.element_at(F.array(*[F.lit(x) for x in (0.0, 0.0001, 0.02)]), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    probe = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("train_"), "o_orderkey").alias("sample_id"), (F.col("o_totalprice") + shift).alias("key"))
+    hourly = _lookup(spark, sf_dir).select("key", "location", "entry", (
+        F.col("timestamp") + F.make_dt_interval(hours=(F.col("entry") % 24).cast("int"))).alias("timestamp"))
+
+    def slots(lookup):
+        return prefiltered_build(lookup, "timestamp", [0, 8, 16])
+
+    found = tiered_lookup_join(probe, hourly, "key", [(None, None), (2, slots), (0, slots)],
+                               on_miss="keep", on_duplicate="first", order=["entry"])
+    return found.select("sample_id", "match_tier", "entry", "location", "timestamp")
+
+
 @query("prefiltered_lookup", """
 WITH hit AS (SELECT user_id, min(ts) AS ts FROM events
              WHERE hour(ts) IN (0, 8, 16) AND minute(ts) = 0 GROUP BY user_id)

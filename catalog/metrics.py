@@ -69,7 +69,14 @@ def best(spark, sf_dir):
     return rounded(best_epoch(_r2(spark, sf_dir), "run", _mask(spark, sf_dir)))
 
 
-@query("huber_loss", f"""WITH {PAIRS}, {MASK},
+@query("best_epoch_broken", f"""WITH {PAIRS}, {MASK} {SCORED},
+best AS (SELECT run FROM scored GROUP BY run ORDER BY count(*) FILTER (WHERE masked < 1e-6), run DESC LIMIT 1)
+SELECT run, "column", round(r2, 6) AS r2 FROM r2 WHERE run IN (SELECT run FROM best)""")
+def fewest_broken(spark, sf_dir):
+    return rounded(best_epoch(_r2(spark, sf_dir), "run", _mask(spark, sf_dir), mode="min", monitor="r2_broken"))
+
+
+@query("huber_loss",f"""WITH {PAIRS}, {MASK},
 e AS (SELECT abs(pred - y) AS e FROM pairs JOIN mask ON pairs."column" = mask."column" WHERE keep)
 SELECT round(avg(CASE WHEN e <= 0.5 THEN 0.5 * e * e ELSE 0.5 * (e - 0.5 * 0.5) END), 6) AS loss FROM e""")
 def huber(spark, sf_dir):

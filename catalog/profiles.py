@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import PROFILES, TWO_PI, profile_table, query, r6, rounded, table
 from strataframe.functions.profiles import (
     assemble_flat, assemble_named, assemble_sequential, flipped_diffs, level_rows, output_layout, pack_families,
-    profile_diffs, profile_features, profile_stats, unpack_families)
+    profile_diffs, profile_features, profile_stats, stack_outputs, unpack_families)
 from strataframe.schema import ProfileSchema
 
 SMALL = ProfileSchema(in_scalars=("s_a", "s_b"), in_families=("v_a", "v_b"), out_scalars=("o_a",),
@@ -133,12 +133,24 @@ def features(spark, sf_dir):
     return rounded(rows)
 
 
-@query("output_layout", f"""
+LAYOUT_SQL = f"""
 WITH {PROFILES}, {LEVEL_ROWS},
 o AS (SELECT sample_id, [avg(v_a * s_a), avg(v_b - v_a)] || list(v_a + s_b ORDER BY level) || list(v_b ORDER BY level) AS y
       FROM lv GROUP BY sample_id)
-SELECT sample_id, CAST(generate_subscripts(y, 1) - 1 AS INTEGER) AS pos, round(unnest(y), 6) AS y FROM o""")
+SELECT sample_id, CAST(generate_subscripts(y, 1) - 1 AS INTEGER) AS pos, round(unnest(y), 6) AS y FROM o"""
+
+
+@query("output_layout", LAYOUT_SQL)
 def layout(spark, sf_dir):
+    """Outputs that are arrays over the levels already are put together without a shuffle."""
+    scalars = [F.transform("v_a", lambda v: v * F.col("s_a")), F.zip_with("v_b", "v_a", lambda b, a: b - a)]
+    outputs = stack_outputs([F.transform("v_a", lambda v: v + F.col("s_b")), F.col("v_b")], scalars)
+    return rounded(profile_table(spark, sf_dir).select("sample_id", F.posexplode(outputs).alias("pos", "y")))
+
+
+@query("output_layout_levels", LAYOUT_SQL)
+def layout_of_levels(spark, sf_dir):
+    """The same from one row per sample and level."""
     rows = level_rows(profile_table(spark, sf_dir), "sample_id", ["s_a", "s_b"], ["v_a", "v_b"]).select(
         "sample_id", "level", (F.col("v_a") * F.col("s_a")).alias("y_1"), (F.col("v_b") - F.col("v_a")).alias("y_2"),
         (F.col("v_a") + F.col("s_b")).alias("p_1"), F.col("v_b").alias("p_2"))

@@ -41,6 +41,27 @@ def many(spark, sf_dir):
     return rounded(score_many(table(spark, sf_dir, "embeddings"), models, _inputs(), ["y_0", "y_1"], "vec_id"))
 
 
+@query("fit_linear_multi", """
+WITH c AS (SELECT l_quantity - avg(l_quantity) OVER () AS a, l_discount * 100 - avg(l_discount * 100) OVER () AS b,
+                  l_extendedprice / 10000 AS y, l_tax * 100 AS z FROM lineitem),
+s AS (SELECT sum(a * a) + 5 AS aa, sum(b * b) + 5 AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS by_,
+             sum(a * z) AS az, sum(b * z) AS bz, avg(y) AS my, avg(z) AS mz FROM c),
+m AS (SELECT avg(l_quantity) AS ma, avg(l_discount * 100) AS mb FROM lineitem),
+w AS (SELECT (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ya, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS yb,
+             (az * bb - bz * ab) / (aa * bb - ab * ab) AS za, (bz * aa - az * ab) / (aa * bb - ab * ab) AS zb, my, mz, ma, mb FROM s, m)
+SELECT l_orderkey, l_linenumber, l_partkey,
+       round(my + ya * (l_quantity - ma) + yb * (l_discount * 100 - mb), 6) AS y,
+       round(mz + za * (l_quantity - ma) + zb * (l_discount * 100 - mb), 6) AS z FROM lineitem, w""")
+def fitted_many(spark, sf_dir):
+    """Two inputs, two labels, ridge with a free intercept."""
+    lines = table(spark, sf_dir, "lineitem")
+    inputs = ["l_quantity", "l_discount * 100"]
+    model = fit_linear(lines, inputs, ["l_extendedprice / 10000", "l_tax * 100"], ridge=5.0)
+    found = [F.lit(float(model.bias[k])) + F.lit(float(model.weights[0, k])) * F.col("l_quantity")
+             + F.lit(float(model.weights[1, k])) * F.col("l_discount") * 100 for k in range(2)]
+    return rounded(lines.select("l_orderkey", "l_linenumber", "l_partkey", found[0].alias("y"), found[1].alias("z")))
+
+
 @query("fit_linear_1d", """
 WITH f AS (SELECT regr_slope(l_extendedprice / 10000, l_quantity) AS slope,
                   regr_intercept(l_extendedprice / 10000, l_quantity) AS intercept FROM lineitem)

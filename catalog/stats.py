@@ -8,7 +8,7 @@ from catalog.registry import SAMPLE_COLUMNS, SAMPLES, query, r6, rounded, sample
 from strataframe.operators.frame import row_batches
 from strataframe.operators.splits import batch_plan, holdout_split, split_counts
 from strataframe.operators.stats import (
-    MATRIX_ROWS, column_stats, describe, exp_rate, group_mean, level_stats,
+    MATRIX_ROWS, column_stats, describe, exp_rate, group_mean, level_stats, long_values,
     quality_report, stats_matrix)
 from strataframe.functions.scaling import STAT_NAMES
 
@@ -35,6 +35,19 @@ def stats(spark, sf_dir):
     return rounded(column_stats(_lines(spark, sf_dir), LINE_COLUMNS, quantile="exact"))
 
 
+@query("column_stats_default", f"""WITH {LINES}, {stats_sql('lines', LINE_COLUMNS)} """ + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", " + ", ".join(f'round({c}__{s}, 6) AS "{s}"' for s in STAT_NAMES if s not in ("q1", "q2", "q3"))
+    + ", TRUE AS q1_near, TRUE AS q2_near, TRUE AS q3_near FROM st" for c in LINE_COLUMNS))
+def stats_default(spark, sf_dir):
+    """The statistics as shipped. Quartiles are approximate, so their ranks are counted over all rows and must be near."""
+    lines = _lines(spark, sf_dir)
+    found = column_stats(lines, LINE_COLUMNS)
+    ranks = long_values(lines, LINE_COLUMNS).join(F.broadcast(found.select("column", "q1", "q2", "q3")), "column").groupBy("column").agg(*[
+        (F.avg((F.col("x") < F.col(f"q{i}")).cast("int")) <= i / 4 + 0.005).__and__(
+            F.avg((F.col("x") <= F.col(f"q{i}")).cast("int")) >= i / 4 - 0.005).alias(f"q{i}_near") for i in (1, 2, 3)])
+    return rounded(found.drop("q1", "q2", "q3").join(ranks, "column"))
+
+
 @query("column_stats_vec", f"""
 WITH x AS (SELECT 'embedding_' || (generate_subscripts(embedding, 1) - 1) AS "column",
                   CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)

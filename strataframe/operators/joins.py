@@ -6,8 +6,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strataframe.operators.frame import filter_time_slots
+from strataframe.operators.frame import filter_time_slots, union_all
 
 # Keys with more rows than this are split over several tasks.
 MIN_HOT_ROWS = 1_000_000
@@ -120,43 +121,41 @@ def tiered_lookup_join(df: DataFrame, lookup: DataFrame, key: str, tiers: Sequen
     A tier is (digits or None for the exact key, filter of the lookup or None). Adds `match_tier`,
     counted from 1, null without a match; the key column keeps its own value.
 
-    Tiers are resolved for the distinct keys, not for the rows. The wide rows then move once, in
-    the join with the resolved keys. Hot keys, exact and rounded, are counted up front in two
-    small jobs.
+    Tiers are resolved for the distinct keys, not for the rows, and all tiers together: a key meets
+    the lookup once per tier, as (tier, rounded key), and keeps its first match. The wide rows then
+    move once, in the join with the resolved keys. Hot keys, exact and rounded, are counted up front
+    in two small jobs.
     """
     values = [c for c in lookup.columns if c != key]
+
+    kind = df.schema[key].dataType
+    if lookup.schema[key].dataType != kind:
+        kind = T.DoubleType()
+
+    def tier_key(number: int) -> Column:
+        """As text: Spark shuffles floating keys again after grouping by them, to make zeros alike."""
+        digits = tiers[number - 1][0]
+        rounded = (F.col(key) if digits is None else F.round(F.col(key), digits)).cast(kind)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            rounded = (rounded + F.lit(0.0)).cast(kind)
+        return F.concat(F.lit(f"{number}:"), rounded.cast("string"))
+
+    numbers = range(1, len(tiers) + 1)
     keys = df.filter(F.col(key).isNotNull()).select(key).distinct()
-    rounded = {n: F.col(key) if digits is None else F.round(F.col(key), digits)
-               for n, (digits, _) in enumerate(tiers, start=1)}
-    hot = _hot_tiers(keys, {n: rounded[n] for n, (d, _) in enumerate(tiers, start=1) if d is not None},
-                     min_hot_rows)
-    resolved = keys.select(key, *[expr.alias(f"_key_{n}") for n, expr in rounded.items()])
-    for number, (_, restrict) in enumerate(tiers, start=1):
-        tier_key = f"_key_{number}"
-        source = restrict(lookup) if restrict else lookup
-        unique = unique_lookup(source, rounded[number], tier_key, values, on_duplicate, order)
-        unique = unique.select(
-            tier_key, F.struct(F.lit(number).alias("match_tier"), "_rows", *values).alias(f"_hit_{number}"))
-        resolved = left_join_unique(resolved, unique, tier_key, [key], hot.get(number, []))
-    hit = F.coalesce(*[F.col(f"_hit_{n}") for n in rounded])
-    resolved = resolved.select(key, hit.alias("_hit")).select(key, "_hit.*")
+    asked = keys.select(key, F.inline(F.array(*[
+        F.struct(F.lit(n).alias("_tier"), tier_key(n).alias("_tier_key")) for n in numbers])))
+    sources = [(restrict(lookup) if restrict else lookup).withColumn("_tier_key", tier_key(n)).drop(key)
+               for n, (_, restrict) in zip(numbers, tiers)]
+    unique = unique_lookup(union_all(sources), F.col("_tier_key"), "_tier_key", values, on_duplicate, order)
+    met = left_join_unique(asked, unique, "_tier_key", [key], hot_keys(asked, "_tier_key", min_hot_rows))
+    resolved = (met.filter(F.col("_rows").isNotNull()).groupBy(key)
+                .agg(F.min("_tier").alias("match_tier"), F.min_by(F.struct("_rows", *values), "_tier").alias("_hit"))
+                .select(key, "match_tier", "_hit.*"))
     joined = left_join_unique(df, resolved, key, [id_col], hot_keys(df, key, min_hot_rows))
     joined = joined.select(*df.columns, *values, "match_tier", "_rows")
     return _guarded(joined, "match_tier", key, on_miss, on_duplicate).drop("_rows")
 
 
-def _hot_tiers(keys: DataFrame, rounded: dict[int, Column], min_hot_rows: int) -> dict[int, HotKeys]:
-    """Rounded keys that stand for very many distinct keys, for all tiers in one pass."""
-    if not rounded:
-        return {}
-    entries = F.array(*[F.struct(F.lit(n).alias("_tier"), expr.alias("_key")) for n, expr in rounded.items()])
-    counts = keys.select(F.inline(entries)).groupBy("_tier", "_key").agg(F.count("*").alias("_n"))
-    hot: dict[int, HotKeys] = {}
-    for row in _largest(counts, min_hot_rows):
-        hot.setdefault(row["_tier"], []).append((row["_key"], row["_parts"]))
-    return hot
-
-
 def prefiltered_build(lookup: DataFrame, ts_col: str, hours: Sequence[int], minute: int = 0) -> DataFrame:
     """The part of the lookup that lies in the given time slots."""
     return filter_time_slots(lookup, ts_col, hours, minute)

@@ -69,10 +69,11 @@ def broken_columns(r2: DataFrame, mask: DataFrame | None = None) -> DataFrame:
     return _masked(r2, mask).filter("broken").select(*[c for c in r2.columns if c != "r2"])
 
 
-def best_epoch(r2: DataFrame, epoch: str, mask: DataFrame | None = None, mode: str = "max") -> DataFrame:
-    """Scores of the epoch with the best mean R2; the later epoch wins a tie."""
+def best_epoch(r2: DataFrame, epoch: str, mask: DataFrame | None = None, mode: str = "max",
+               monitor: str = "val_r2") -> DataFrame:
+    """Scores of the epoch with the best `monitor` (val_r2 or r2_broken); the later epoch wins a tie."""
     summary = r2_summary(r2, mask, by=(epoch,))
-    score = F.col("val_r2").desc() if mode == "max" else F.col("val_r2").asc()
+    score = F.col(monitor).desc() if mode == "max" else F.col(monitor).asc()
     best = summary.orderBy(score, F.col(epoch).desc()).limit(1)
     return r2.join(F.broadcast(best.select(epoch)), epoch, "left_semi")
 

@@ -20,14 +20,18 @@ def _vector(exprs: Sequence[str], name: str) -> str:
 
 def score_many(df: DataFrame, models: Mapping[str, PredictFn], input_cols: Sequence[str],
                label_cols: Sequence[str], id_col: str = "sample_id",
-               carry: Mapping[str, str] | None = None) -> DataFrame:
+               carry: Mapping[str, str] | None = None, max_model_bytes: int = 1 << 28) -> DataFrame:
     """(model, id, labels...) for every model, in one pass over the rows.
 
     `input_cols` are column names or expressions. `carry` adds columns of the input, name to
     expression, so that they need no join afterwards. Rows reach Python as Arrow batches: the id,
-    one array of inputs and what is carried. Models travel as one broadcast variable.
+    one array of inputs and what is carried; no array is boxed row by row. Models travel as one
+    broadcast variable; more than `max_model_bytes` of them are refused.
     """
-    shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(dict(models)))
+    packed = cloudpickle.dumps(dict(models))
+    if len(packed) > max_model_bytes:
+        raise ValueError(f"models take {len(packed)} bytes, more than max_model_bytes = {max_model_bytes}")
+    shared = df.sparkSession.sparkContext.broadcast(packed)
     width = len(label_cols)
     carry = dict(carry or {})
     rows = df.selectExpr(f"{quoted(id_col)} AS id", _vector(input_cols, "x"), *aliased(carry))
@@ -37,26 +41,30 @@ def score_many(df: DataFrame, models: Mapping[str, PredictFn], input_cols: Seque
         import pickle
 
         import numpy
-        import pandas
+        import pyarrow
 
         loaded = pickle.loads(shared.value)
         for batch in batches:
-            if not len(batch):
+            n = batch.num_rows
+            if not n:
                 continue
-            x = numpy.stack(batch["x"].to_numpy())
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
             for name, predict in loaded.items():
                 y = numpy.asarray(predict(x), dtype="float64")
-                if y.shape != (len(x), width):
-                    raise ValueError(f"model {name} gave {y.shape}, not {(len(x), width)}")
-                scored = pandas.DataFrame({"model": name, "id": batch["id"], "y": list(y)})
-                yield pandas.concat([scored, batch[kept]], axis=1)
+                if y.shape != (n, width):
+                    raise ValueError(f"model {name} gave {y.shape}, not {(n, width)}")
+                starts = pyarrow.array(numpy.arange(n + 1, dtype="int32") * width)
+                lists = pyarrow.ListArray.from_arrays(starts, pyarrow.array(y.ravel()))
+                yield pyarrow.RecordBatch.from_arrays(
+                    [pyarrow.array([name] * n, pyarrow.string()), batch.column("id"), lists, *[batch.column(c) for c in kept]],
+                    names=["model", "id", "y", *kept])
 
     out = T.StructType([
         T.StructField("model", T.StringType()), rows.schema["id"],
         T.StructField("y", T.ArrayType(T.DoubleType())), *[rows.schema[c] for c in kept]])
     labels = {c: f"y[{i}]" for i, c in enumerate(label_cols)}
     passed = {c: quoted(c) for c in kept}
-    return project(rows.mapInPandas(run, out), {"model": "model", id_col: "id", **labels, **passed})
+    return project(rows.mapInArrow(run, out), {"model": "model", id_col: "id", **labels, **passed})
 
 
 def score(df: DataFrame, predict: PredictFn, input_cols: Sequence[str], label_cols: Sequence[str],
@@ -94,12 +102,13 @@ def _sum_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def fit_linear(df: DataFrame, input_cols: Sequence[str], label_cols: Sequence[str],
-               ridge: float = 0.0, fan_in: int = 64) -> LinearModel:
+               ridge: float = 0.0, fan_in: int = 64, max_blocks: int = 4096) -> LinearModel:
     """Multi-target ridge regression with an unpenalised intercept, on columns or expressions.
 
     Every task adds up X'X and X'Y of its rows with numpy and sends the rows of that one small
-    matrix on; two rounds of streamed sums follow. The driver solves a system whose size is the
-    number of inputs.
+    matrix on; two rounds of streamed sums follow. Input splits are grouped into `max_blocks` tasks
+    at most, so what is shuffled does not grow with the input beyond that. The driver solves a
+    system whose size is the number of inputs.
     """
     n_in, n_out = len(input_cols), len(label_cols)
 
@@ -122,7 +131,7 @@ def fit_linear(df: DataFrame, input_cols: Sequence[str], label_cols: Sequence[st
             yield pandas.DataFrame({"i": range(len(total)), "part": part_id, "v": list(total)})
 
     schema = "i long, part long, v array<double>"
-    rows = df.selectExpr(_vector(input_cols, "x"), _vector(label_cols, "y"))
+    rows = df.selectExpr(_vector(input_cols, "x"), _vector(label_cols, "y")).coalesce(max_blocks)
     partial = rows.mapInPandas(blocks, schema)
     summed = _sum_rows(_sum_rows(partial, ["i", "part"]), ["i"])
     found = {row["i"]: row["v"] for row in summed.collect()}

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataframe.functions.scaling import collect_stats
 from strataframe.functions.text import array, project, quoted
 from strataframe.operators.ensemble import ensemble_top_k
 from strataframe.operators.frame import sort_by_id
 from strataframe.operators.metrics import (
     broken_columns, column_mask, huber_loss, long_pairs, r2_by_column, r2_summary)
 from strataframe.operators.post import collect_constants, override_closed_form, post_process
-from strataframe.operators.scoring import LinearModel, PredictFn, fit_linear, score
+from strataframe.operators.scoring import LinearModel, PredictFn, fit_linear, score, score_many
 from strataframe.schema import CLOSED_FORM, ProfileSchema
-from strataframe.sources.files import write_csv
+from strataframe.sources.files import is_complete, write_csv
 from strataframe.sources.runs import load_predictions, load_scores
-from strataframe.sources.shards import save_manifest
+from strataframe.sources.shards import methods_from_table, save_manifest
 
 # Fixed value: the one output that is set from its input again after averaging, without a weight.
 LAST_CLOSED_FORM = {"ptend_q0002_27": CLOSED_FORM["ptend_q0002_27"]}
@@ -51,8 +53,15 @@ def unpacked_labels(packed: DataFrame, schema: ProfileSchema) -> DataFrame:
 
 
 def validate_phase(packed: DataFrame, predict: PredictFn, schema: ProfileSchema, out: str,
-                   weights: DataFrame | None = None, unused: Iterable[str] = ()) -> DataFrame:
-    """Evaluation table and score sidecars of one run; returns the one-row summary."""
+                   weights: DataFrame | None = None, unused: Iterable[str] = (),
+                   monitor: str = "val_r2", mode: str = "max") -> DataFrame:
+    """Evaluation table and score sidecars of one run; returns the one-row summary.
+
+    The sidecars that inference reads (`each_r2_score`, `broken_columns`) change only if `monitor`
+    (val_r2, r2_broken or val_loss) is at least as good as the best so far, kept in `best_summary`.
+    """
+    if monitor not in ("val_r2", "r2_broken", "val_loss") or mode not in ("max", "min"):
+        raise ValueError(f"monitor {monitor!r} or mode {mode!r} is unknown")
     spark = packed.sparkSession
     id_label = f"{schema.id_col}_label"
     labels = [f"CAST({e} AS DOUBLE)" for e in _flat_labels(schema)]
@@ -67,11 +76,59 @@ def validate_phase(packed: DataFrame, predict: PredictFn, schema: ProfileSchema,
     table = spark.read.parquet(f"{out}/evaluation")
     mask = column_mask(weights, unused) if weights is not None else None
     long = long_pairs(table, schema.label_columns, id_label)
-    save_manifest(r2_by_column(long), f"{out}/each_r2_score")
-    r2 = spark.read.parquet(f"{out}/each_r2_score")
-    save_manifest(broken_columns(r2, mask), f"{out}/broken_columns")
+    save_manifest(r2_by_column(long), f"{out}/last_r2_score")
+    r2 = spark.read.parquet(f"{out}/last_r2_score")
     loss = huber_loss(long, mask=mask).select(F.col("loss").alias("val_loss"))
-    return r2_summary(r2, mask).withColumn("val_loss", loss.scalar())
+    save_manifest(r2_summary(r2, mask).withColumn("val_loss", loss.scalar()), f"{out}/last_summary")
+    summary = spark.read.parquet(f"{out}/last_summary")
+    if _at_least_as_good(summary, f"{out}/best_summary", monitor, mode):
+        save_manifest(r2, f"{out}/each_r2_score")
+        save_manifest(broken_columns(r2, mask), f"{out}/broken_columns")
+        save_manifest(summary, f"{out}/best_summary")
+    return summary
+
+
+def _at_least_as_good(summary: DataFrame, best: str, monitor: str, mode: str) -> bool:
+    """Both summaries have one row. A value that is null or NaN beats none."""
+    if not is_complete(summary.sparkSession, best):
+        return True
+    now, before = [df.first()[monitor] for df in (summary, summary.sparkSession.read.parquet(best))]
+    if now is None or now != now:
+        return False
+    return before is None or before != before or (now >= before if mode == "max" else now <= before)
+
+
+def save_model(spark: SparkSession, model: LinearModel, path: str) -> None:
+    """A ridge model as a small table, a row per input and one for the bias (position -1)."""
+    rows = [(-1, model.bias.tolist()), *enumerate(model.weights.tolist())]
+    save_manifest(spark.createDataFrame(rows, "position int, weights array<double>"), path)
+
+
+def load_model(spark: SparkSession, path: str) -> LinearModel:
+    rows = [row["weights"] for row in spark.read.parquet(path).orderBy("position").collect()]
+    return LinearModel(weights=np.array(rows[1:]), bias=np.array(rows[0]))
+
+
+def submit_run(spark: SparkSession, out: str, dataset: str, run: str, models: Mapping[str, PredictFn],
+               schema: ProfileSchema, weights: Mapping[str, float],
+               mapping: Mapping[str, str] = CLOSED_FORM) -> None:
+    """A submission `submission_<model>` in `run` for each model, from one pass over the test rows.
+
+    Scaler methods, statistics and broken columns come from the sidecars of the earlier phases, so
+    they are the ones the tables were made with.
+    """
+    methods = methods_from_table(spark.read.parquet(f"{out}/{dataset}/scaler_methods"))
+    stats = collect_stats(spark.read.parquet(f"{out}/stats"))
+    means = {c: stats[c]["mean"] for c in schema.label_columns}
+    broken = [row["column"] for row in spark.read.parquet(f"{run}/broken_columns").collect()]
+    rows = spark.read.parquet(f"{out}/{dataset}/processed_test")
+    scored = score_many(rows, models, _flat_inputs(schema), schema.label_columns, schema.id_col)
+    scored.write.mode("overwrite").partitionBy("model").parquet(f"{run}/predictions")
+    raw_test = spark.read.parquet(f"{out}/raw_test")
+    for name in models:
+        preds = spark.read.parquet(f"{run}/predictions").filter(F.col("model") == name).drop("model")
+        final = post_process(preds, methods, stats, broken, means, weights, raw_test, mapping=mapping, id_col=schema.id_col)
+        write_csv(sort_by_id(final, schema.id_col), f"{run}/submission_{name}", [schema.id_col, *weights])
 
 
 def submit_phase(packed_test: DataFrame, raw_test: DataFrame, predict: PredictFn,

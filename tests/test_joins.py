@@ -121,6 +121,18 @@ def test_hot_keys(spark, lookup, adaptive):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_tiers_shuffle_little(spark, lookup):
+    """All tiers share one join; only the rows themselves and their distinct keys move besides."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tiered_lookup_join(probe(spark, 1.0, 4.0011), lookup, "key", TIERS)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") <= 6
+
+
 def test_only_null_keys_are_hot(spark, lookup):
     df = spark.range(500).select(
         F.concat(F.lit("s_"), "id").alias("sample_id"), F.when(F.col("id") == 0, 1.0).alias("key"))

@@ -5,10 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from strataframe.__main__ import parse, read_weights
 from strataframe.functions.scaling import collect_stats
 from strataframe.operators.stats import column_stats, quality_check
 from strataframe.plans.infer import (
-    ensemble_phase, fit_phase, predict_packed, submit_phase, unpacked_labels, validate_phase)
+    ensemble_phase, fit_phase, load_model, predict_packed, save_model, submit_phase, submit_run, unpacked_labels, validate_phase)
 from strataframe.plans.prepare import build_dataset, export_phase, generate_phase, pack_scaled, split_phase, statistics_phase
 from strataframe.schema import ProfileSchema
 from strataframe.sources.files import write_csv
@@ -137,6 +138,50 @@ def test_fit_validate_submit_combine(spark, world, tmp_path):
     assert np.allclose(mean["ptend_q0002_0"].astype(float), -truth["state_q0002_0"].loc[mean.index] / 1200)
 
 
+def test_phases_read_their_sidecars(spark, world, tmp_path):
+    """Two models in one pass give what each gives alone; a worse validation changes no sidecar."""
+    base, *_ = world
+    run, shards = str(tmp_path / "exp003a"), f"{base}/v1/shards"
+    good = fit_phase(read_shards(spark, shards, "train"), SMALL, 0.001)
+    save_model(spark, good, f"{run}/model")
+    loaded = load_model(spark, f"{run}/model")
+    assert np.allclose(loaded.weights, good.weights) and np.allclose(loaded.bias, good.bias)
+    val = read_shards(spark, shards, "val")
+    validate_phase(val, loaded.predictor(), SMALL, run)
+    validate_phase(val, lambda x: np.zeros((len(x), 4)), SMALL, run)
+    best = spark.read.parquet(f"{run}/best_summary").first()
+    assert best["val_r2"] > 0.999 and spark.read.parquet(f"{run}/broken_columns").count() == 0
+    assert spark.read.parquet(f"{run}/last_summary").first()["val_r2"] < 0.1
+    validate_phase(val, lambda x: np.zeros((len(x), 4)), SMALL, run, monitor="r2_broken", mode="max")
+    assert spark.read.parquet(f"{run}/broken_columns").count() > 0
+    validate_phase(val, loaded.predictor(), SMALL, run, monitor="r2_broken", mode="min")
+    assert spark.read.parquet(f"{run}/broken_columns").count() == 0
+    with pytest.raises(ValueError):
+        validate_phase(val, loaded.predictor(), SMALL, run, monitor="accuracy")
+
+    weights = {c: 1.0 for c in SMALL.label_columns}
+    submit_run(spark, base, "v1", run, {"a": loaded.predictor(), "b": lambda x: np.zeros((len(x), 4))}, SMALL, weights, MAPPING)
+    both = [spark.read.option("header", True).csv(f"{run}/submission_{m}").toPandas() for m in "ab"]
+    stats = collect_stats(spark.read.parquet(f"{base}/stats"))
+    alone = str(tmp_path / "alone")
+    submit_phase(spark.read.parquet(f"{base}/v1/processed_test"), spark.read.parquet(f"{base}/raw_test"), loaded.predictor(), SMALL,
+                 METHODS, stats, {}, [], weights, alone, mapping=MAPPING)
+    pd.testing.assert_frame_equal(both[0], spark.read.option("header", True).csv(alone).toPandas())
+    mean = stats["ptend_q0002_2"]["mean"]
+    assert np.allclose(both[1]["ptend_q0002_2"].astype(float), mean)
+
+
+def test_command_line(spark, tmp_path):
+    args = parse(["ensemble", "--out", "o", "--runs", "a=x", "b=y=z", "--weights", "w", "--to", "t"])
+    assert args.runs == ["a=x", "b=y=z"] and args.best == 3
+    assert parse(["validate", "--out", "o", "--run", "r", "--monitor", "r2_broken", "--mode", "min"]).monitor == "r2_broken"
+    with pytest.raises(SystemExit):
+        parse(["submit", "--out", "o"])
+    path = str(tmp_path / "weights")
+    write_csv(spark.createDataFrame([("t_0", 2.0, 0.5)], "sample_id string, z double, a double"), path, ["sample_id", "z", "a"])
+    assert [tuple(r) for r in read_weights(spark, path, "sample_id").collect()] == [("z", 2.0), ("a", 0.5)]
+
+
 def test_scaled_integers_become_floats(spark):
     schema = ProfileSchema(("i",), ("v",), (), (), levels=1)
     raw = spark.createDataFrame([("a", 1, 2.0, 7)], "sample_id string, i int, v_0 double, n int")
