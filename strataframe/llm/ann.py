@@ -94,23 +94,58 @@ class CentroidGraph:
         return pool[rows, order], np.maximum(far[rows, order], 0)
 
 
-def _listed(batches: Iterator[pa.RecordBatch], graph, width: int, ratio: float, most: int) -> Iterator[pa.RecordBatch]:
-    """(_list, _gid, _x): a row for each list whose centroid is within the ratio of the nearest one's distance."""
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All centroids and their squared distances, nearest first, of each row of x."""
+        far = np.maximum(2 - 2 * (x.astype(np.float32) @ self.centroids.T), 0)
+        order = np.argsort(far, axis=1, kind="stable")
+        return order, np.take_along_axis(far, order, axis=1)
+
+
+def _listed(batches: Iterator[pa.RecordBatch], graph, width: int | None, ratio: float, most: int | None, together: int) -> Iterator[pa.RecordBatch]:
+    """(_list, _gid, _x): a row for each bundle of `together` lists with a centroid within the ratio of the nearest one's distance.
+
+    The graph finds the `width` nearest centroids; without a width all are ranked.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             x = unit(unpack(part.column("_x"), "<f8"))
-            lists, far = graph.value.search(x, width)
+            lists, far = graph.value.search(x, width) if width else graph.value.ranked(x)
             chosen = np.sqrt(far) <= ratio * np.sqrt(far[:, :1])
             chosen[:, 0] = True
-            chosen[:, most:] = False
+            if most:
+                chosen[:, most:] = False
             rows, places = np.nonzero(chosen)
+            rows, bundles = np.unique(np.stack([rows, lists[rows, places] // together]), axis=1)
             index = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lists[rows, places], pa.int64()), part.column("_gid").take(index), part.column("_x").take(index)],
+                [pa.array(bundles, pa.int64()), part.column("_gid").take(index), part.column("_x").take(index)],
                 names=["_list", "_gid", "_x"])
 
 
+def measured_reach(graph: CentroidGraph, points: np.ndarray, k: int, width: int, ratio: float, most: int,
+                   asked: int = 256, share: float = 0.995) -> float:
+    """The ratio that reaches `share` of the true neighbours, by brute force over the sampled vectors.
+
+    In the whole table neighbours are nearer than in a sample of it, so there it reaches no fewer.
+    """
+    asked, k = min(asked, len(points)), min(k, len(points) - 1)
+    if k < 1:
+        return 0.0
+    score = points[:asked] @ points.T
+    score[np.arange(asked), np.arange(asked)] = -np.inf
+    best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    away = np.sqrt(np.maximum(2 - 2 * (points[:asked].astype(np.float32) @ graph.centroids.T), 0))
+    needed = []
+    for near, row in zip(best, away):
+        lists, far = graph.search(points[near], width)
+        inside = np.sqrt(far) <= ratio * np.sqrt(far[:, :1])
+        inside[:, 0] = True
+        inside[:, most:] = False
+        needed.append(np.where(inside, row[lists], np.inf).min(axis=1) / max(row.min(), 1e-6))
+    return float(np.quantile(np.concatenate(needed), share, method="higher"))
+
+
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosine of one vector and each row in double precision, each row's sum in the same order."""
     return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
@@ -141,14 +176,17 @@ def _search(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
 
 def approximate_neighbours(df: DataFrame, queries: Column | str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
                            sample_rows: int = 32_768, list_rows: int = 128, max_lists: int = 4096, copies: int = 4,
-                           boundary: float = 1.1, reach: float = 1.5, probes: int = 64, block_rows: int = 16_384) -> DataFrame:
+                           boundary: float = 1.1, reach: float = 1.5, probes: int | None = None, block_rows: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): near rows of each query row by cosine, nearest first.
 
     Centroids come from `sample_rows` vectors, those with the smallest hashed ids; one for each
     `list_rows` vectors, `max_lists` at most. A vector goes to the list of its nearest centroid and,
     near a boundary, to up to `copies` lists whose centroids are within `boundary` times that
-    distance. A query searches the lists within `reach` times its nearest centroid's distance,
-    `probes` at most. Long lists are cut into blocks of `block_rows`, each a task's work.
+    distance. A query searches all lists within `reach` times its nearest centroid's distance, or more
+    if the sample's own neighbours lie further, however many the table has; only `probes`, if given,
+    bounds them. Neighbouring short lists are searched
+    together, so that a query is sent once to all of them; long ones are cut into blocks of
+    `block_rows`, each a task's work.
 
     `queries` is a condition on `_id`. Vectors that are null, zero, of odd length, or hold null or
     non-finite components take no part. Ties go to the smaller id; rows that share the query's id
@@ -160,11 +198,17 @@ def approximate_neighbours(df: DataFrame, queries: Column | str, k: int = 5, id_
     sample = data.vectors.orderBy(F.xxhash64("_gid"), "_gid").limit(sample_rows).select("_x").toArrow()
     points = unit(unpack(sample["_x"], "<f8")) if n else np.ones((1, 1))
     leaves = max(1, min(max_lists, ceil(n / list_rows), len(points) // 4))
-    graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(points, leaves)))
+    centroids = CentroidGraph(balanced_centroids(points, leaves))
+    reach = max(reach, measured_reach(centroids, points, k, 32, boundary, copies))
+    graph = spark.sparkContext.broadcast(centroids)
     shape = "_list long, _gid long, _x binary"
-    lists = written(data.vectors.mapInArrow(partial(_listed, graph=graph, width=32, ratio=boundary, most=copies), shape), "lists")
+    together = max(1, block_rows * leaves // max(1, n * copies))
+    listed = partial(_listed, graph=graph, together=together)
+    own = partial(listed, width=32, ratio=boundary, most=copies)
+    near = partial(listed, width=2 * probes if probes else None, ratio=reach, most=probes)
+    lists = written(data.vectors.mapInArrow(own, shape), "lists")
     asked = data.members.filter(queries).select("_gid").distinct().join(data.vectors, "_gid")
-    asked = asked.mapInArrow(partial(_listed, graph=graph, width=2 * probes, ratio=reach, most=probes), shape)
+    asked = asked.mapInArrow(near, shape)
     # One row a centroid, at most `max_lists` twice over.
     sizes = F.broadcast(lists.groupBy("_list").agg(F.ceil(F.count("*") / block_rows).alias("_blocks")))
     own = lists.join(sizes, "_list").withColumn("_b", F.pmod(F.xxhash64("_gid"), F.col("_blocks"))).drop("_blocks")

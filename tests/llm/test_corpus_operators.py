@@ -265,6 +265,23 @@ def test_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_recall_with_many_lists(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 48))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = defaultdict(set)
+    # About 1,000 lists, of which 64 held too few of the neighbours; bundles of one list, so that only chosen lists are searched.
+    for r in approximate_neighbours(df, ASKED, list_rows=4, block_rows=16).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 4000, 50):
+        score = x @ x[q]
+        score[q] = -2
+        hits += len(set(np.argsort(-score)[:5].tolist()) & got[q])
+    assert hits / 400 >= 0.99
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
