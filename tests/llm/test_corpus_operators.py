@@ -144,6 +144,51 @@ def test_scores_without_training(docs, none):
     assert row["train_tokens"] == 0 and row["n_known"] == 0 and row["score"] < 0
 
 
+def test_every_edge_counts(spark):
+    # Rare contexts among more than 524,288 coded bytes: one in so many was the least that counted.
+    rows = [(0, "the cat " * 300_000), (1, "zyxw zyxw"), (2, "zyxw")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words = Counter({b"the": 300_000, b"cat": 300_000, b"zyxw": 2, b"\n": 2})
+    table = plain_trie(words, 4)
+    got = {r["doc_id"]: r["score"] for r in score_documents(df, F.col("_id") != 2).collect()}
+    assert got[2] == pytest.approx(plain_log10(table, b"zyxw", 4) + plain_log10(table, b"\n", 4))
+
+
+def test_contexts_across_words(spark):
+    rows = [(0, "new york city " * 20), (1, "new york"), (2, "york new")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for frequent in (1 << 21, 3):
+        got = {r["doc_id"]: r["score"] for r in score_documents(df, F.col("_id") == 0, across=True, frequent_windows=frequent).collect()}
+        # The end after "york" and after "new" was never seen; what is left is the order of words.
+        table = defaultdict(Counter)
+        s = b" " + rows[0][1].encode().strip() + b" \n"
+        for i in range(1, len(s)):
+            for d in range(min(4, i) + 1):
+                table[s[i - d:i]][s[i]] += 1
+        for i in (0, 1, 2):
+            assert got[i] == pytest.approx(plain_stream(table, b" " + rows[i][1].encode().strip() + b" \n"))
+        assert got[1] != pytest.approx(got[2])
+
+
+def plain_stream(table, s):
+    total = 0.0
+    for i in range(1, len(s)):
+        p, excluded = 1.0, set()
+        for d in range(min(4, i), -1, -1):
+            left = {k: v for k, v in table.get(s[i - d:i], {}).items() if k not in excluded}
+            if not left:
+                continue
+            if s[i] in left:
+                p *= left[s[i]] / (sum(left.values()) + len(left))
+                break
+            p *= len(left) / (sum(left.values()) + len(left))
+            excluded |= set(left)
+        else:
+            p /= max(1, 256 - len(excluded))
+        total += log10(p)
+    return total
+
+
 def test_probabilities_add_up():
     words = Counter({b"the": 5, b"then": 2, b"a": 3, b"\n": 2})
     keys = defaultdict(int)
