@@ -57,7 +57,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_documents(table(spark, sf_dir, "documents"), id_bucket("_id", 5) != 1)
+    scored = score_documents(table(spark, sf_dir, "documents"), id_bucket("_id", 5) != 1, across=True)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
