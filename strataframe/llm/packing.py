@@ -59,16 +59,16 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 class Shard:
     """An inverted BM25 index over the token ids of some documents, and the windows filled from it."""
 
-    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int):
-        self.ids, self.query_terms = ids, query_terms
+    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
+        self.ids = ids
         lengths = np.array([len(x) for x in ids])
         keys, counts = np.unique(np.repeat(np.arange(len(ids), dtype=np.int64), lengths) << 32 | np.concatenate(ids).astype(np.int64),
                                  return_counts=True)
         docs, terms = keys >> 32, keys & 0xFFFFFFFF
         weights = idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[docs] / mean))
-        # A document's own terms, heaviest first, are its query.
+        # A document's own terms are its query, all of them.
         self.doc_starts = np.searchsorted(docs, np.arange(len(ids) + 1))
-        self.doc_terms, self.doc_weights = terms, weights
+        self.doc_terms = terms
         by = np.argsort(terms, kind="stable")
         self.post_docs, self.post_weights = docs[by], weights[by]
         self.terms, starts = np.unique(terms[by], return_index=True)
@@ -77,14 +77,12 @@ class Shard:
     def scores(self, seed: int) -> np.ndarray:
         a, b = self.doc_starts[seed], self.doc_starts[seed + 1]
         terms = self.doc_terms[a:b]
-        if len(terms) > self.query_terms:
-            terms = terms[np.argsort(-self.doc_weights[a:b], kind="stable")[:self.query_terms]]
         at = np.searchsorted(self.terms, terms)
         spans = [slice(self.post_starts[i], self.post_starts[i + 1]) for i in at]
         return np.bincount(np.concatenate([self.post_docs[s] for s in spans]),
                            np.concatenate([self.post_weights[s] for s in spans]), minlength=len(self.ids))
 
-    def windows(self, window: int, neighbours: int = 64) -> Iterator[list[tuple[int, int, int]]]:
+    def windows(self, window: int) -> Iterator[list[tuple[int, int, int]]]:
         """Lists of (document, first id, length). All but the last are full: what does not fit is cut."""
         left = np.array([len(x) for x in self.ids])
         begun = np.zeros(len(self.ids), np.int64)
@@ -107,8 +105,6 @@ class Shard:
             if room and left.any():
                 score = np.where(left > 0, self.scores(seed), 0)
                 found = np.flatnonzero(score)
-                if len(found) > neighbours:
-                    found = found[np.argpartition(-score[found], neighbours)[:neighbours]]
                 found = found[np.lexsort((found, -score[found]))]
                 for doc in found.tolist():
                     if not room:
@@ -141,7 +137,7 @@ def powers(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int,
             yield out
 
 
-def _packed(batches: Iterator[pa.RecordBatch], statistics, window: int, shard_docs: int, query_terms: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], statistics, window: int, shard_docs: int) -> Iterator[pa.RecordBatch]:
     idf, mean = statistics.value
     sequence = TaskContext.get().partitionId() << 32
     held: list[tuple] = []
@@ -150,7 +146,7 @@ def _packed(batches: Iterator[pa.RecordBatch], statistics, window: int, shard_do
         nonlocal sequence
         ids = [np.frombuffer(r[3], "<u4") for r in held]
         rows = []
-        shard = Shard(ids, idf, mean, query_terms)
+        shard = Shard(ids, idf, mean)
         for pieces in shard.windows(window):
             full = sum(p[2] for p in pieces) == window
             for part in [pieces] if full else powers(pieces):
@@ -173,13 +169,13 @@ def _packed(batches: Iterator[pa.RecordBatch], statistics, window: int, shard_do
 
 
 def pack_documents(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", window: int = 2048,
-                   shard_docs: int = 2048, query_terms: int = 32) -> DataFrame:
+                   shard_docs: int = 2048) -> DataFrame:
     """(id, start, length, doc_tokens, sequence_id, offset, ids) of every piece of every document.
 
     A document's whole windows are sequences of their own. The rests are dealt into shards of at most
     `shard_docs`, ranged by a hash that similar texts tend to share. In a shard each unused document
     seeds a window; BM25 over token ids, with document counts of the whole table, ranks its unused
-    neighbours by the seed's `query_terms` heaviest ids. They fill the window while they fit whole,
+    neighbours by all the seed's ids, and all that share one are taken in that order. They fill the window while they fit whole,
     then one is cut. The last window of a shard is cut into powers of two, so nothing is padded.
 
     Null and empty texts are the end id alone; ids are integers or null; repeated rows are packed one
@@ -198,5 +194,5 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     # Places differ even for repeated rows, and the ranges are found without reading ids.
     order = ["near", "place"]
     dealt = rest.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "start", "doc_tokens", "ids")
-    run = partial(_packed, statistics=shared, window=window, shard_docs=shard_docs, query_terms=query_terms)
+    run = partial(_packed, statistics=shared, window=window, shard_docs=shard_docs)
     return whole.unionByName(dealt.mapInArrow(run, PIECES)).withColumnRenamed("_id", id_col)

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from llm.samples import ODD, SF
 from strataframe.llm.common import id_bucket
 from strataframe.llm.lmscore import Trie, score_documents, tokens
-from strataframe.llm.packing import pack_documents
+from strataframe.llm.packing import Shard, pack_documents
 from strataframe.llm.queries import ASKED, BYTE_BPE, ORACLE, QUERIES
 from strataframe.llm.ann import approximate_neighbours
 from strataframe.llm.simhash import connected, link_fingerprints, near, simhash_groups
@@ -255,6 +255,17 @@ def test_packing(request, source):
     assert sum(r["length"] for r in rows) == sum(len(ids) * n for (_, ids), n in texts.items())
 
 
+def test_windows_take_every_neighbour_by_score():
+    # The seed shares its last id, not among its heaviest, with 100 documents; as many without one come first.
+    seed = np.arange(1, 41)
+    other = [np.array([50, 51]) for _ in range(100)]
+    near = [np.array([40, 52]) for _ in range(100)]
+    idf = np.full(60, 2.0)
+    idf[40] = 0.5
+    pieces = next(Shard([seed, *other, *near], idf, 3.0).windows(40 + 200))
+    assert {p[0] for p in pieces} == {0, *range(101, 201)}
+
+
 def test_exact_search(spark):
     import duckdb
 
