@@ -73,13 +73,12 @@ def letter_counts(words: list[bytes]) -> np.ndarray:
 def split_at(points: np.ndarray) -> tuple[int, float] | None:
     """The letter and the count that halve the points best: left are those with at most that many."""
     best = None
-    for letter in np.flatnonzero(points.max(axis=0) > points.min(axis=0)).tolist():
-        values, counts = np.unique(points[:, letter], return_counts=True)
-        left = np.cumsum(counts)[:-1]
-        k = int(np.argmin(np.abs(2 * left - len(points))))
-        odds = abs(2 * int(left[k]) - len(points))
-        if best is None or odds < best[0]:
-            best = odds, letter, float(values[k])
+    for most in np.unique(points)[:-1].tolist():
+        left = np.count_nonzero(points <= most, axis=0)
+        odds = np.where((left > 0) & (left < len(points)), np.abs(2 * left - len(points)), len(points))
+        letter = int(odds.argmin())
+        if odds[letter] < (len(points) if best is None else best[0]):
+            best = int(odds[letter]), letter, most
     return best and best[1:]
 
 
@@ -146,40 +145,56 @@ class Words:
 
     def __init__(self, words: list[bytes]):
         self.words = words
+        self.lengths = np.array([len(w) for w in words])
         self.counts = letter_counts(words)
         self.bits = signatures(self.counts)
+        #: Only letters in play take part in boxes; others are counted beside them.
+        self.used = np.flatnonzero(self.counts.max(axis=0) > 0)
         self.order = np.arange(len(words))
+        self.nodes: list[tuple] = []
+        self._grow(np.ascontiguousarray(self.counts[:, self.used]), 0, len(words))
+
+    def _grow(self, counts: np.ndarray, a: int, b: int) -> int:
+        own = self.order[a:b]
+        mine = counts[own]
+        number = len(self.nodes)
+        box = (a, b, mine.min(axis=0), mine.max(axis=0))
+        self.nodes.append((*box, None, None))
+        cut = split_at(mine[:: 1 + len(mine) // 4096]) if b - a > _INNER else None
+        if cut:
+            left = mine[:, cut[0]] <= cut[1]
+            self.order[a:b] = np.concatenate([own[left], own[~left]])
+            middle = a + int(left.sum())
+            self.nodes[number] = (*box, self._grow(counts, a, middle), self._grow(counts, middle, b))
+        return number
 
     def candidates(self, points: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places of points, places of words) that are no further apart than `radius`, or seem so, in parts."""
-        stack = [(0, len(self.order), np.arange(len(points)))]
+        beside = points.sum(axis=1)
+        points = np.ascontiguousarray(points[:, self.used])
+        beside -= points.sum(axis=1)
+        stack = [(0, np.flatnonzero(beside <= radius))]
         while stack:
-            a, b, asked = stack.pop()
-            own = self.order[a:b]
-            mine = self.counts[own]
-            low, high = mine.min(axis=0), mine.max(axis=0)
-            # Only letters in play can add to the distance to a box.
+            number, asked = stack.pop()
+            a, b, low, high, left, right = self.nodes[number]
             inside = []
-            for at in range(0, len(asked), 65_536):
-                part = asked[at:at + 65_536]
+            for at in range(0, len(asked), 16_384):
+                part = asked[at:at + 16_384]
                 x = points[part]
-                inside.append(part[np.maximum(np.maximum(low - x, x - high), 0).sum(axis=1) <= radius])
+                inside.append(part[np.maximum(np.maximum(low - x, x - high), 0).sum(axis=1) + beside[part] <= radius])
             asked = np.concatenate(inside) if inside else asked
             if not len(asked):
                 continue
-            cut = split_at(mine[:: 1 + len(mine) // 4096]) if b - a > _INNER else None
-            if cut is None:
-                step = max(1, _WALKED // (b - a))
-                for at in range(0, len(asked), step):
-                    part = asked[at:at + step]
-                    apart = np.bitwise_count(bits[part, None, 0] ^ self.bits[None, own, 0]) + np.bitwise_count(bits[part, None, 1] ^ self.bits[None, own, 1])
-                    i, j = np.nonzero(apart <= radius)
-                    yield part[i], own[j]
+            if left is not None:
+                stack += [(left, asked), (right, asked)]
                 continue
-            left = mine[:, cut[0]] <= cut[1]
-            self.order[a:b] = np.concatenate([own[left], own[~left]])
-            middle = a + int(left.sum())
-            stack += [(a, middle, asked), (middle, b, asked)]
+            own = self.order[a:b]
+            step = max(1, _WALKED // (b - a))
+            for at in range(0, len(asked), step):
+                part = asked[at:at + step]
+                apart = np.bitwise_count(bits[part, None, 0] ^ self.bits[None, own, 0]) + np.bitwise_count(bits[part, None, 1] ^ self.bits[None, own, 1])
+                i, j = np.nonzero(apart <= radius)
+                yield part[i], own[j]
 
 
 def one_edit(a: bytes, b: bytes) -> bool:
@@ -206,35 +221,29 @@ def edited(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return last <= first
 
 
-def near_words(asked: list[bytes], held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def near_words(asked: list[bytes], held: Words) -> tuple[np.ndarray, np.ndarray]:
     """(places in asked, places in held) of all pairs one edit apart."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    if not asked or not held:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    tree, points = Words(held), letter_counts(asked)
-    used = np.flatnonzero((points.max(axis=0) > 0) | (tree.counts.max(axis=0) > 0))
-    bits, lengths, sizes = signatures(points), np.array([len(w) for w in asked]), np.array([len(w) for w in held])
-    points, tree.counts = np.ascontiguousarray(points[:, used]), np.ascontiguousarray(tree.counts[:, used])
+    points, lengths, sizes = letter_counts(asked), np.array([len(w) for w in asked]), held.lengths
+    bits, tables = signatures(points), {}
     for length in np.unique(lengths).tolist():
         rows = np.flatnonzero(lengths == length)
-        alike = bool((sizes == length).any())
         own = _matrix([asked[r] for r in rows], length) if length < LONG else None
-        other: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for i, j in tree.candidates(points[rows], bits[rows], 2 if alike else 1):
+        for i, j in held.candidates(points[rows], bits[rows], 2 if (sizes == length).any() else 1):
             for size in (length - 1, length, length + 1):
                 of_size = sizes[j] == size
                 if not of_size.any():
                     continue
                 a, b = i[of_size], j[of_size]
                 if length >= LONG or size >= LONG:
-                    right = np.array([one_edit(asked[rows[x]], held[y]) for x, y in zip(a.tolist(), b.tolist())], bool)
+                    right = np.array([one_edit(asked[rows[x]], held.words[y]) for x, y in zip(a.tolist(), b.tolist())], bool)
                 else:
-                    if size not in other:
+                    if size not in tables:
                         places = np.flatnonzero(sizes == size)
-                        place = np.zeros(len(held), np.int64)
+                        place = np.zeros(len(sizes), np.int64)
                         place[places] = np.arange(len(places))
-                        other[size] = place, _matrix([held[p] for p in places], size)
-                    place, table = other[size]
+                        tables[size] = place, _matrix([held.words[p] for p in places], size)
+                    place, table = tables[size]
                     mine, theirs = own[a], table[place[b]]
                     right = edited(mine, theirs) if size >= length else edited(theirs, mine)
                 found.append((rows[a[right]], b[right]))
@@ -284,9 +293,10 @@ def _leaf(rows: pa.Table) -> pa.Table:
     asked = np.flatnonzero(asks)
     out: list[list] = [[], [], [], []]
     step = 1 << 17
-    for at in range(0, len(asked), step):
+    tree = Words([words[k] for k in held]) if held else None
+    for at in range(0, len(asked) if held else 0, step):
         part = asked[at:at + step]
-        i, j = near_words([words[k] for k in part], [words[k] for k in held])
+        i, j = near_words([words[k] for k in part], tree)
         if not len(i):
             continue
         size = n[held][j]

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from llm.samples import SF
 from strataframe.llm.divergence import Forest, shares, source_divergence
 from strataframe.llm.queries import ORACLE, PIECE_BPE, QUERIES
-from strataframe.llm.spelling import Router, letter_counts, near_words, one_edit, spelling_variants
+from strataframe.llm.spelling import Router, Words, letter_counts, near_words, one_edit, spelling_variants
 from strataframe.llm.tokencount import Transducer, count_tokens, load
 
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
@@ -142,7 +142,7 @@ def test_crowded_leaves_lose_no_word(spark):
 @settings(max_examples=100, deadline=None)
 def test_near_words_of_any_words(words):
     words = [w.encode("latin-1") for w in words]
-    i, j = near_words(words, words)
+    i, j = near_words(words, Words(words))
     assert sorted(zip(i.tolist(), j.tolist())) == [(a, b) for a in range(len(words)) for b in range(len(words)) if distance_one(words[a], words[b])]
     assert all(one_edit(a, b) == distance_one(a, b) for a in words for b in words)
 
