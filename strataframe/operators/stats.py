@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataframe.functions.scaling import STAT_NAMES
 from strataframe.functions.text import array, quoted, string
@@ -221,6 +222,18 @@ def quality_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
                     for c in ("rows", "null_count", "nan_count", "infinite_count")])
 
 
+def is_bad(field: T.StructField) -> Column:
+    """Whether a value, or any element of an array, is null, NaN or infinite."""
+    def of(x: Column, kind: T.DataType) -> Column:
+        finite = isinstance(kind, (T.DoubleType, T.FloatType))
+        return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) if finite else x.isNull()
+
+    x, kind = F.col(quoted(field.name)), field.dataType
+    if isinstance(kind, T.ArrayType):
+        return x.isNull() | F.exists(x, lambda v: of(v, kind.elementType))
+    return of(x, kind)
+
+
 def quality_check(df: DataFrame, expected_rows: int | None = None,
                   columns: Sequence[str] | None = None) -> None:
     """Raise unless the row count is as expected and no value is null, NaN or infinite."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.functions import text
@@ -14,13 +18,17 @@ from strataframe.operators.frame import cast_floats, row_batches, sort_by_id
 from strataframe.operators.joins import (
     MIN_HOT_ROWS, Tier, lookup_join, prefiltered_build, tiered_lookup_join)
 from strataframe.operators.splits import holdout_split
-from strataframe.operators.stats import CHUNK, column_stats, quality_check, stats_matrix
+from strataframe.operators.stats import CHUNK, column_stats, is_bad, quality_check, stats_matrix
 from strataframe.schema import (
     FALLBACK_DIGITS, FALLBACK_HOURS, LOOKUP_KEY, SAMPLES_PER_YEAR, TEST_YEAR, ProfileSchema,
     family_columns)
-from strataframe.sources.files import csv_to_parquet, ingest_csv, is_complete, scan_parquet, write_parquet
+from strataframe.sources.files import csv_to_parquet, ingest_csv, is_complete, remove, scan_parquet, write_parquet
 from strataframe.sources.shards import SHARDS, export_shards, methods_table, save_manifest
 
+#: The columns of a training row's batch, which name its folder in the processed table.
+BATCH = ("batch_id", "start", "end")
+MANIFEST = "part string, batch_id long, rows long, scaling string"
+
 
 def fallback_tiers(ts_col: str = "timestamp") -> list[Tier]:
     """Exact key first, then the rounded keys among the lookup rows of the fallback time slots."""
@@ -100,14 +108,15 @@ def split_phase(spark: SparkSession, train_csv, test_csv, out: str, schema: Prof
 
 
 def statistics_phase(spark: SparkSession, out: str, schema: ProfileSchema, num_val: int = 0,
-                     quantile: str = "approx", chunk: int = CHUNK) -> DataFrame:
+                     quantile: str = "approx", chunk: int = CHUNK, order: str = "numeric") -> DataFrame:
     """Statistics of inputs and labels in long form, and the nine-row matrix beside them.
 
-    With `num_val`, the last batches are held back, so that validation rows do not leak in.
+    With `num_val`, the last batches by `order` are held back, so that validation rows do not leak
+    in; export takes the same two.
     """
     raw = scan_parquet(spark, f"{out}/raw_train")
     if num_val:
-        raw = holdout_split(raw, num_val).filter(F.col("split") == "train")
+        raw = holdout_split(raw, num_val, order).filter(F.col("split") == "train")
     columns = schema.input_columns + schema.label_columns
     stats = column_stats(raw, columns, quantile, chunk)
     write_parquet(stats, f"{out}/stats", if_exists="overwrite")
@@ -117,26 +126,103 @@ def statistics_phase(spark: SparkSession, out: str, schema: ProfileSchema, num_v
 
 
 def generate_phase(spark: SparkSession, out: str, lookup: DataFrame, schema: ProfileSchema,
-                   methods: Mapping[str, Iterable[str] | None], dataset: str, overwrite: bool = False) -> None:
+                   methods: Mapping[str, Iterable[str] | None], dataset: str, overwrite: bool = False,
+                   rows_per_commit: int = 1_000_000, most_commits: int = 16) -> None:
     """Processed train and test tables, checked, with the scaler methods beside them.
 
-    Finished output is left alone, sidecar included. The sidecar is written last, so it always tells
-    how the tables beside it were scaled. Null, NaN and infinite values, also inside profiles, fail.
+    Finished output is left alone, sidecar included. Else the sidecar goes before the first write and
+    comes back after the last, so it always tells how the tables beside it were scaled.
+
+    The training batches are written in a few commits, each a job that replaces the folders of its
+    batches, and each noted in a manifest under a hash of the methods and statistics. A run that was
+    stopped goes on with the batches that are missing; a run with another scaling begins anew. Null,
+    NaN and infinite values, also inside profiles, fail, and so do lost rows: both are counted while
+    writing, so the output is not read again unless something is wrong.
     """
     base = f"{out}/{dataset}"
-    paths = {name: f"{base}/{name}" for name in ("processed_train", "processed_test")}
-    if not overwrite and all(is_complete(spark, p) for p in (*paths.values(), f"{base}/scaler_methods")):
+    manifest, sidecar = f"{base}/manifest", f"{base}/scaler_methods"
+    if not overwrite and is_complete(spark, sidecar):
         return
+    remove(spark, sidecar)
     stats = collect_stats(scan_parquet(spark, f"{out}/stats"))
-    train = build_dataset(scan_parquet(spark, f"{out}/raw_train"), lookup, stats, schema, methods,
-                          carry=("batch_id", "start", "end"))
-    write_parquet(train, paths["processed_train"], "overwrite", dictionary=False)
-    test = build_dataset(scan_parquet(spark, f"{out}/raw_test"), lookup, stats, schema, methods,
-                         is_test=True)
-    write_parquet(sort_by_id(test, schema.id_col), paths["processed_test"], "overwrite", dictionary=False)
-    for path in paths.values():
-        quality_check(scan_parquet(spark, path))
-    save_manifest(methods_table(spark, methods), f"{base}/scaler_methods")
+    scaling = scaling_hash(methods, stats, schema)
+    done = None if overwrite else committed(spark, manifest, scaling)
+    if done is None:
+        # Before any table changes, so that no later run takes its batches for finished.
+        save_manifest(spark.createDataFrame([], MANIFEST), manifest)
+        done = []
+    raw = scan_parquet(spark, f"{out}/raw_train")
+    # One row a batch.
+    rows = {r["batch_id"]: r["count"] for r in raw.groupBy("batch_id").count().collect()}
+    finished = {r["batch_id"] for r in done if r["part"] == "train"}
+    missing = sorted(set(rows) - finished)
+    size = max(ceil(len(rows) / most_commits), ceil(rows_per_commit / max([1, *rows.values()])))
+    for first in range(0, len(missing), size):
+        batches = missing[first:first + size]
+        train = build_dataset(raw.filter(between(F.col("batch_id"), batches)), lookup, stats, schema, methods, carry=BATCH)
+        fresh = first == 0 and not finished
+        write_checked(clustered(train, "batch_id"), f"{base}/processed_train", sum(rows[b] for b in batches), BATCH, "static" if fresh else "dynamic")
+        note(spark, manifest, [("train", b, rows[b], scaling) for b in batches])
+    if not any(r["part"] == "test" for r in done):
+        raw_test = scan_parquet(spark, f"{out}/raw_test")
+        test = sort_by_id(build_dataset(raw_test, lookup, stats, schema, methods, is_test=True), schema.id_col)
+        n = raw_test.count()
+        write_checked(test, f"{base}/processed_test", n)
+        note(spark, manifest, [("test", None, n, scaling)])
+    save_manifest(methods_table(spark, methods), sidecar)
+
+
+def scaling_hash(methods: Mapping[str, Iterable[str] | None], stats, schema: ProfileSchema) -> str:
+    """A hash of everything that decides how values are scaled and laid out."""
+    said = [{m: list(c or ()) for m, c in methods.items()}, {c: dict(sorted(s.items())) for c, s in sorted(stats.items())},
+            schema.packed_columns()]
+    return hashlib.sha256(json.dumps(said, sort_keys=True, default=repr).encode()).hexdigest()
+
+
+def committed(spark: SparkSession, manifest: str, scaling: str) -> list | None:
+    """What earlier runs with this scaling finished; None if there is nothing to go on with."""
+    if not is_complete(spark, manifest):
+        return None
+    rows = spark.read.schema(MANIFEST).parquet(manifest).collect()
+    return rows if rows and all(r["scaling"] == scaling for r in rows) else None
+
+
+def note(spark: SparkSession, manifest: str, rows: Sequence[tuple]) -> None:
+    """Adds finished batches to the manifest; a batch that is noted is whole."""
+    spark.createDataFrame(list(rows), MANIFEST).coalesce(1).write.mode("append").parquet(manifest)
+
+
+def between(column, numbers: Sequence[int]):
+    """Whether a column holds one of the sorted numbers, as ranges, which scans can skip by."""
+    cuts = [i for i in range(1, len(numbers)) if numbers[i] != numbers[i - 1] + 1]
+    spans = [(numbers[a], numbers[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(numbers)])]
+    return reduce(lambda x, y: x | y, [column.between(a, b) for a, b in spans])
+
+
+def clustered(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a key together, if a join has scattered them; a plan without a shuffle keeps their order as it is."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange hashpartitioning" not in plan and "Exchange SinglePartition" not in plan:
+        return df
+    return df.hint("rebalance", key)
+
+
+def write_checked(df: DataFrame, path: str, rows: int, partition_by: Sequence[str] = (), mode: str = "static") -> None:
+    """Writes `df` and counts on the way; fails unless it has `rows` rows without null, NaN or infinite values.
+
+    `dynamic` replaces only the partition folders that `df` has rows for.
+    """
+    seen = Observation()
+    bad = reduce(lambda x, y: x | y, [is_bad(f) for f in df.schema.fields])
+    watched = df.withColumn("_bad", bad).observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("_bad").alias("bad")).drop("_bad")
+    (watched.write.mode("overwrite").option("partitionOverwriteMode", mode).option("parquet.enable.dictionary", "false")
+     .partitionBy(*partition_by).parquet(path))
+    found = seen.get
+    if found["bad"]:
+        # Only now is the output read, to tell which columns are at fault.
+        quality_check(scan_parquet(df.sparkSession, path))
+    if found["rows"] != rows or found["bad"]:
+        raise ValueError(f"{path}: expected {rows} rows, found {found['rows']}, {found['bad']} of them with bad values")
 
 
 def export_phase(spark: SparkSession, out: str, dataset: str, schema: ProfileSchema,

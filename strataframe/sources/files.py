@@ -53,6 +53,12 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes an output folder, if there is one."""
+    fs, folder = hadoop_fs(spark, path)
+    fs.delete(folder, True)
+
+
 def write_parquet(df: DataFrame, path: str, if_exists: str = "skip",
                   partition_by: Sequence[str] = (), dictionary: bool = True) -> bool:
     """Parquet sink. `skip` keeps finished output and replaces what a failed job left behind.
