@@ -11,12 +11,15 @@ from pyspark.sql import types as T
 from strataframe.operators.post import collect_constants
 from strataframe.plans.infer import ensemble_phase, fit_phase, load_model, save_model, submit_run, validate_phase
 from strataframe.plans.prepare import export_phase, generate_phase, split_phase, statistics_phase
-from strataframe.schema import ATMOSPHERE
+from strataframe.schema import ATMOSPHERE, UNUSED_LABELS
 from strataframe.session import build_session
 from strataframe.sources.files import first_row_long, header, ingest_csv
 from strataframe.sources.lookups import load_lookup
 from strataframe.sources.shards import read_shards
 
+#: Batches held back from statistics and training alike.
+NUM_VAL = 5
+
 
 def parse(argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="strataframe")
@@ -33,14 +36,15 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     split.add_argument("--batch-size", type=int, default=100_000)
     split.add_argument("--rows", type=int, help="number of training rows, if known")
     stats = phase("statistics", "statistics of every column")
-    stats.add_argument("--num-val", type=int, default=0, help="batches to hold back")
+    stats.add_argument("--num-val", type=int, default=NUM_VAL, help="batches to hold back, the same as in export")
+    stats.add_argument("--order", choices=("numeric", "lexicographic"), default="numeric")
     stats.add_argument("--quantile", choices=("approx", "exact"), default="approx")
     generate = phase("generate", "lookup, features, scaling, packing")
     generate.add_argument("--lookup", required=True)
     generate.add_argument("--location-col", required=True, help="location id column of the lookup file")
     generate.add_argument("--methods", help="JSON file: scaler method to list of columns")
     export = phase("export", "shuffled shards")
-    export.add_argument("--num-val", type=int, default=5)
+    export.add_argument("--num-val", type=int, default=NUM_VAL)
     export.add_argument("--order", choices=("numeric", "lexicographic"), default="numeric")
     export.add_argument("--seed", type=int, default=42)
     fit = phase("fit", "ridge baseline on the training shards")
@@ -48,6 +52,8 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     validate = phase("validate", "evaluation table and scores of a run; keeps the best")
     validate.add_argument("--monitor", choices=("val_r2", "r2_broken", "val_loss"), default="val_r2")
     validate.add_argument("--mode", choices=("max", "min"), default="max")
+    validate.add_argument("--weights", help="CSV whose first row holds a weight per label; labels of weight zero are masked")
+    validate.add_argument("--all-labels", action="store_true", help="also count the labels that are never predicted")
     submit = phase("submit", "submission of a run")
     ensemble = phase("ensemble", "best runs per column")
     ensemble.add_argument("--runs", required=True, nargs="+", metavar="NAME=DIR")
@@ -76,7 +82,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.phase == "split":
         split_phase(spark, args.train, args.test, args.out, schema, args.batch_size, args.rows)
     elif args.phase == "statistics":
-        statistics_phase(spark, args.out, schema, args.num_val, args.quantile)
+        statistics_phase(spark, args.out, schema, args.num_val, args.quantile, order=args.order)
     elif args.phase == "generate":
         methods = {"standard": [*schema.in_scalars, *schema.in_families, *schema.out_scalars, *schema.out_families]}
         if args.methods:
@@ -92,7 +98,9 @@ def main(argv: list[str] | None = None) -> None:
     elif args.phase == "validate":
         rows = read_shards(spark, f"{args.out}/{args.dataset}/shards", "val")
         model = load_model(spark, f"{args.run}/model")
-        validate_phase(rows, model.predictor(), schema, args.run, monitor=args.monitor, mode=args.mode).show()
+        weights = read_weights(spark, args.weights, schema.id_col) if args.weights else None
+        validate_phase(rows, model.predictor(), schema, args.run, weights, () if args.all_labels else UNUSED_LABELS,
+                       args.monitor, args.mode).show()
     elif args.phase == "submit":
         weights = collect_constants(read_weights(spark, args.weights, schema.id_col))
         model = load_model(spark, f"{args.run}/model")

@@ -57,6 +57,9 @@ def validate_phase(packed: DataFrame, predict: PredictFn, schema: ProfileSchema,
                    monitor: str = "val_r2", mode: str = "max") -> DataFrame:
     """Evaluation table and score sidecars of one run; returns the one-row summary.
 
+    Labels of weight zero and `unused` ones are masked: they score 1, are never broken and add nothing
+    to the loss, so they decide nothing about which state of the run is kept.
+
     The sidecars that inference reads (`each_r2_score`, `broken_columns`) change only if `monitor`
     (val_r2, r2_broken or val_loss) is at least as good as the best so far, kept in `best_summary`.
     """
@@ -74,6 +77,9 @@ def validate_phase(packed: DataFrame, predict: PredictFn, schema: ProfileSchema,
         **{c: quoted(c) for c in schema.label_columns}})
     table.write.mode("overwrite").parquet(f"{out}/evaluation")
     table = spark.read.parquet(f"{out}/evaluation")
+    unused = list(unused)
+    if weights is None and unused:
+        weights = spark.createDataFrame([(c, 1.0) for c in schema.label_columns], "column string, weight double")
     mask = column_mask(weights, unused) if weights is not None else None
     long = long_pairs(table, schema.label_columns, id_label)
     save_manifest(r2_by_column(long), f"{out}/last_r2_score")
