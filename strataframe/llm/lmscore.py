@@ -285,7 +285,8 @@ def score_documents(df: DataFrame, train: Column, id_col: str = "doc_id", text_c
     of counts or scores, and none of those windows is frequent enough to be hot.
     """
     spark = df.sparkSession
-    rows = texts(df, id_col, text_col, F.monotonically_increasing_id().alias("_rid")).withColumn("_train", train)
+    # Numbers of rows hold only once they are written: after a shuffle, or on another executor, they would come out otherwise.
+    rows = written(texts(df, id_col, text_col, F.monotonically_increasing_id().alias("_rid")).withColumn("_train", train), "rows")
     counts = written(rows.select("_text", "_train").mapInArrow(_word_counts, "_word binary, _c long")
                      .groupBy("_word").agg(F.sum("_c").alias("_c")), "words")
     n, v = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.count(F.when(F.col("_c") > 0, 1))).first()
