@@ -28,13 +28,16 @@ def _search(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     order = np.argsort(right["_gid"].to_numpy())
     names, docs = right["_gid"].to_numpy()[order], unpack(right["_x"], "<i8")
     docs = docs[order]
+    asked = unpack(left["_qx"], "<i8") if len(names) and left.num_rows else None
+    if asked is not None and int(np.abs(asked).max()) * int(np.abs(docs).max()) * docs.shape[1] >= 1 << 63:
+        raise ValueError("inner products may not fit 64 bits: take a smaller scale")
     postings = []
     for term in range(docs.shape[1]):
         rows = np.flatnonzero(docs[:, term])
         # A term that every vector has needs no list of places.
         postings.append((slice(None) if len(rows) == len(docs) else rows, docs[rows, term]))
     out = []
-    for name, query in zip(left["_qgid"].to_pylist(), unpack(left["_qx"], "<i8") if len(names) else []):
+    for name, query in zip(left["_qgid"].to_pylist(), asked if asked is not None else []):
         scores = np.zeros(len(docs), np.int64)
         for term in np.flatnonzero(query):
             rows, weights = postings[term]
@@ -55,7 +58,8 @@ def exact_top_k(df: DataFrame, queries: Column | str, k: int = 5, id_col: str =
     candidates give fewer rows. Equal vectors are searched once.
 
     Vectors and queries are dealt into blocks by hash, every query block meets every vector block in
-    one task, and each returns k + 1 rows a query, which are merged. Products must fit 64 bits.
+    one task, and each returns k + 1 rows a query, which are merged. An empty table gives no rows. A
+    block whose largest components could make a product of over 64 bits stops the job.
     """
     data = distinct_vectors(df, id_col, vector_col, k + 1, "<i8", scale, nonzero=False)
     asked = data.members.filter(queries).select("_gid").distinct().join(data.vectors, "_gid")

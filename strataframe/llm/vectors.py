@@ -32,6 +32,8 @@ def _packed(batches: Iterator[pa.RecordBatch], dim: int, kind: str, scale: float
                 continue
             # Adding zero makes both zeros equal.
             x = np.floor(scale * x) if kind == "<i8" else x + 0.0
+            if kind == "<i8" and np.abs(x).max() >= 2.0 ** 62:
+                raise ValueError(f"a component of vector {name} does not fit 64 bits")
             ids.append(name)
             packed.append(x.astype(kind).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["_id", "_x"])
