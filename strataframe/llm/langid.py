@@ -26,22 +26,31 @@ def _letters(text: str) -> bytes:
     return f" {' '.join(words)} ".encode() if words else b""
 
 
+def spread_out(text: Column, size: int, parts: int = 8) -> Column:
+    """At most `size` characters of a text: all, or pieces from all over it, the first and the last included."""
+    piece = size // parts
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.substring(
+        text, (F.floor(i * (F.char_length(text) - piece) / (parts - 1)) + 1).cast("int"), F.lit(piece)))
+    return F.when(F.char_length(text) <= size, text).otherwise(F.array_join(pieces, " "))
+
+
 def fit_dictionaries(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                      docs_per_lang: int = 64, bytes_per_doc: int = 2048, total_bytes: int = 16 << 20) -> dict[str, bytes]:
     """A raw-content dictionary per language, from a bounded sample of the rows where `train` holds.
 
-    The sample is the `docs_per_lang` rows of each language whose hashed ids are smallest, of each at
-    most `bytes_per_doc` characters; all dictionaries together hold `total_bytes` at most. Ids are
-    ranked without their texts. Rows without text or language teach nothing.
+    The sample is the `docs_per_lang` different rows of each language whose hashes of id and text are
+    smallest, of each at most `bytes_per_doc` characters, taken from all over the text; all dictionaries
+    together hold `total_bytes` at most. Rows without text or language teach nothing, rows without an id
+    like any other, repeated rows once; a table without rows gives no dictionaries.
     """
     named = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{lang_col}`").alias("_lang"),
                       F.col(f"`{text_col}`").alias("_text")).filter(train & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    picked = (named.select("_lang", "_id").withColumn("_n", F.row_number().over(order))
-              .filter(F.col("_n") <= docs_per_lang).select("_lang", "_id").distinct())
-    sample = (named.join(F.broadcast(picked), ["_lang", "_id"], "left_semi").groupBy("_lang", "_id")
-              .agg(F.min(F.substring("_text", 1, bytes_per_doc)).alias("_text"))
-              .orderBy("_lang", F.xxhash64("_id"), "_id").collect())
+    keyed = named.select("_lang", F.xxhash64("_id", "_text").alias("_k"), "_text")
+    # Equal rows are one before they are ranked; only keys are shuffled.
+    keys = keyed.select("_lang", "_k").withColumn("_n", F.dense_rank().over(Window.partitionBy("_lang").orderBy("_k"))).filter(F.col("_n") <= docs_per_lang)
+    picked = keys.select("_lang", "_k").distinct()
+    sample = (keyed.join(F.broadcast(picked), ["_lang", "_k"], "left_semi").select("_lang", "_k", spread_out(F.col("_text"), bytes_per_doc).alias("_text"))
+              .groupBy("_lang", "_k").agg(F.min("_text").alias("_text")).orderBy("_lang", "_k").collect())
     parts: dict[str, list[bytes]] = {}
     for row in sample:
         parts.setdefault(row["_lang"], []).append(_letters(row["_text"]))
