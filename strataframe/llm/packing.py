@@ -16,6 +16,8 @@ from strataframe.llm.common import slices, texts, written
 from strataframe.llm.tokens import load
 
 K1, B = 1.2, 0.75
+# A term that one in so many documents of a shard has is a row of its matrix.
+_DENSE = 8
 _PIECES = pa.schema([("_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
                      ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 PIECES = "_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -34,14 +36,25 @@ def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, w
                 rows.append((doc, start, window, len(ids), 2 * sequence, 0, ids[start:start + window].tobytes(), 0, 0))
                 sequence += 1
             if full < len(ids):
-                # A hash of the rarest-looking id: texts that share much tend to share it.
-                near = int((ids[full:] * np.uint32(2654435761)).min())
-                rows.append((doc, full, len(ids) - full, len(ids), None, None, ids[full:].tobytes(), near, place))
+                rows.append((doc, full, len(ids) - full, len(ids), None, None, ids[full:].tobytes(), place))
                 place += 1
-        columns = list(zip(*rows)) if rows else [[]] * 9
+        columns = list(zip(*rows)) if rows else [[]] * 8
         yield pa.RecordBatch.from_arrays(
-            [*[pa.array(c, f.type) for c, f in zip(columns, _PIECES)], pa.array(columns[7], pa.int64()), pa.array(columns[8], pa.int64())],
-            names=[*_PIECES.names, "near", "place"])
+            [*[pa.array(c, f.type) for c, f in zip(columns, _PIECES)], pa.array(columns[7], pa.int64())], names=[*_PIECES.names, "place"])
+
+
+def _neared(batches: Iterator[pa.RecordBatch], statistics) -> Iterator[pa.RecordBatch]:
+    """Names each rest by its two rarest ids that another document has too: texts that share much share them."""
+    idf, _, alone = statistics.value
+    for batch in batches:
+        near = []
+        for ids in batch.column("ids"):
+            terms = np.unique(np.frombuffer(ids.as_py(), "<u4"))
+            shared = terms[idf[terms] < alone]
+            shared = shared[np.argsort(-idf[shared], kind="stable")[:2]].tolist()
+            near.append((shared[0] << 32 | shared[-1]) if shared else -1)
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns)], pa.array(near, pa.int64())],
+                                         names=[*batch.schema.names, "near"])
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,14 +86,25 @@ class Shard:
         self.post_docs, self.post_weights = docs[by], weights[by]
         self.terms, starts = np.unique(terms[by], return_index=True)
         self.post_starts = np.append(starts, len(by))
+        # Long postings are rows of a matrix, at most as many as their entries pay for.
+        sizes = np.diff(self.post_starts)
+        common = np.flatnonzero(sizes * _DENSE >= len(ids))
+        self.row = np.full(len(self.terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(ids)))
+        long = np.repeat(self.row, sizes)
+        self.dense[long[long >= 0], self.post_docs[long >= 0]] = self.post_weights[long >= 0]
 
     def scores(self, seed: int) -> np.ndarray:
         a, b = self.doc_starts[seed], self.doc_starts[seed + 1]
-        terms = self.doc_terms[a:b]
-        at = np.searchsorted(self.terms, terms)
-        spans = [slice(self.post_starts[i], self.post_starts[i + 1]) for i in at]
-        return np.bincount(np.concatenate([self.post_docs[s] for s in spans]),
-                           np.concatenate([self.post_weights[s] for s in spans]), minlength=len(self.ids))
+        at = np.searchsorted(self.terms, self.doc_terms[a:b])
+        row = self.row[at]
+        score = self.dense[row[row >= 0]].sum(axis=0)
+        spans = [slice(self.post_starts[i], self.post_starts[i + 1]) for i in at[row < 0]]
+        if spans:
+            score += np.bincount(np.concatenate([self.post_docs[s] for s in spans]),
+                                 np.concatenate([self.post_weights[s] for s in spans]), minlength=len(self.ids))
+        return score
 
     def windows(self, window: int) -> Iterator[list[tuple[int, int, int]]]:
         """Lists of (document, first id, length). All but the last are full: what does not fit is cut."""
@@ -138,7 +162,7 @@ def powers(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int,
 
 
 def _packed(batches: Iterator[pa.RecordBatch], statistics, window: int, shard_docs: int) -> Iterator[pa.RecordBatch]:
-    idf, mean = statistics.value
+    idf, mean, _ = statistics.value
     sequence = TaskContext.get().partitionId() << 32
     held: list[tuple] = []
 
@@ -173,7 +197,7 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     """(id, start, length, doc_tokens, sequence_id, offset, ids) of every piece of every document.
 
     A document's whole windows are sequences of their own. The rests are dealt into shards of at most
-    `shard_docs`, ranged by a hash that similar texts tend to share. In a shard each unused document
+    `shard_docs`, ranged by the two rarest ids that they share with any other document. In a shard each unused document
     seeds a window; BM25 over token ids, with document counts of the whole table, ranks its unused
     neighbours by all the seed's ids, and all that share one are taken in that order. They fill the window while they fit whole,
     then one is cut. The last window of a shard is cut into powers of two, so nothing is padded.
@@ -182,17 +206,20 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     by one; an empty table gives no rows. Terms are bounded by the vocabulary, shards by their size.
     """
     rows = texts(df, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
-    pieces = written(rows.mapInArrow(partial(_tokenised, tokenizer=tokenizer, end_id=end_id, window=window), PIECES + ", near long, place long"), "pieces")
-    whole = pieces.filter("sequence_id is not null").drop("near", "place")
+    pieces = written(rows.mapInArrow(partial(_tokenised, tokenizer=tokenizer, end_id=end_id, window=window), PIECES + ", place long"), "pieces")
+    whole = pieces.filter("sequence_id is not null").drop("place")
     rest = pieces.filter("sequence_id is null")
     terms = (rest.select("ids").mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow())
     total = rest.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean")).first()
     counts = np.zeros(max(1, 1 + max(terms["term"].to_pylist(), default=0)))
     counts[terms["term"].to_numpy()] = terms["n"].to_numpy()
     idf = np.log(1 + (total["n"] - counts + 0.5) / (counts + 0.5))
-    shared = df.sparkSession.sparkContext.broadcast((idf, total["mean"]))
-    # Places differ even for repeated rows, and the ranges are found without reading ids.
+    alone = float(np.log(1 + (total["n"] - 1.5 + 0.5) / (1.5 + 0.5)))
+    shared = df.sparkSession.sparkContext.broadcast((idf, total["mean"], alone))
+    columns = ["_id", "start", "doc_tokens", "ids"]
+    named = rest.select(*columns, "place").mapInArrow(partial(_neared, statistics=shared), "_id long, start long, doc_tokens long, ids binary, place long, near long")
+    # Places differ even for repeated rows.
     order = ["near", "place"]
-    dealt = rest.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "start", "doc_tokens", "ids")
+    dealt = written(named, "rests").repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)
     run = partial(_packed, statistics=shared, window=window, shard_docs=shard_docs)
     return whole.unionByName(dealt.mapInArrow(run, PIECES)).withColumnRenamed("_id", id_col)
