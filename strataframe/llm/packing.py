@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 from itertools import chain
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from strataframe.llm.tokens import load
 K1, B = 1.2, 0.75
 # A term that one in so many documents of a shard has is a row of its matrix.
 _DENSE = 8
+# Rests point into so many projected directions; centres of their groups are found from so many rests each.
+_DIRECTIONS, _CENTRES, _SAMPLE = 48, 256, 64
 _PIECES = pa.schema([("_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
                      ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 PIECES = "_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -43,18 +46,54 @@ def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, w
             [*[pa.array(c, f.type) for c, f in zip(columns, _PIECES)], pa.array(columns[7], pa.int64())], names=[*_PIECES.names, "place"])
 
 
-def _neared(batches: Iterator[pa.RecordBatch], statistics) -> Iterator[pa.RecordBatch]:
-    """Names each rest by its two rarest ids that another document has too: texts that share much share them."""
+@lru_cache(maxsize=2)
+def _signs(vocabulary: int) -> np.ndarray:
+    """A fixed row of signs for each id: sums of them keep the angles between weighted texts."""
+    return np.random.default_rng(17).choice(np.array([-1, 1], np.float32), (vocabulary, _DIRECTIONS))
+
+
+def _directions(ids: np.ndarray, statistics: tuple) -> np.ndarray:
+    """Where a text points: its BM25 weights, projected, of length one."""
+    idf, mean, _ = statistics
+    terms, counts = np.unique(ids, return_counts=True)
+    weights = idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * len(ids) / mean))
+    x = weights.astype(np.float32) @ _signs(len(idf))[terms]
+    return x / max(float(np.linalg.norm(x)), 1e-9)
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], statistics) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        points = [_directions(np.frombuffer(ids.as_py(), "<u4"), statistics.value).tolist() for ids in batch.column("ids")]
+        yield pa.RecordBatch.from_arrays([pa.array(points, pa.list_(pa.float32()))], names=["x"])
+
+
+def centres(points: np.ndarray, k: int) -> np.ndarray:
+    """Centres of at most `k` groups of directions."""
+    points = np.unique(points, axis=0)
+    found = points[np.random.default_rng(17).choice(len(points), min(k, len(points)), replace=False)] if len(points) else np.zeros((1, _DIRECTIONS), np.float32)
+    for _ in range(10 if len(points) else 0):
+        nearest = (points @ found.T).argmax(axis=1)
+        sums = np.zeros_like(found)
+        np.add.at(sums, nearest, points)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        found = np.where(size > 0, sums / np.maximum(size, 1e-9), found)
+    return found
+
+
+def _neared(batches: Iterator[pa.RecordBatch], statistics, groups: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Names each rest by the centre it points to, and by its two rarest ids that another document has too."""
     idf, _, alone = statistics.value
     for batch in batches:
-        near = []
-        for ids in batch.column("ids"):
-            terms = np.unique(np.frombuffer(ids.as_py(), "<u4"))
+        near, rare = [], []
+        for text in batch.column("ids"):
+            ids = np.frombuffer(text.as_py(), "<u4")
+            near.append(int((groups @ _directions(ids, statistics.value)).argmax()))
+            terms = np.unique(ids)
             shared = terms[idf[terms] < alone]
             shared = shared[np.argsort(-idf[shared], kind="stable")[:2]].tolist()
-            near.append((shared[0] << 32 | shared[-1]) if shared else -1)
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns)], pa.array(near, pa.int64())],
-                                         names=[*batch.schema.names, "near"])
+            rare.append((shared[0] << 32 | shared[-1]) if shared else -1)
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns)], pa.array(near, pa.int64()), pa.array(rare, pa.int64())],
+                                         names=[*batch.schema.names, "near", "rare"])
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +236,8 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     """(id, start, length, doc_tokens, sequence_id, offset, ids) of every piece of every document.
 
     A document's whole windows are sequences of their own. The rests are dealt into shards of at most
-    `shard_docs`, ranged by the two rarest ids that they share with any other document. In a shard each unused document
+    `shard_docs`, ranged by the group of alike texts they belong to (centres fitted on a sample of 64
+    rests for each of at most 256) and their two rarest shared ids. In a shard each unused document
     seeds a window; BM25 over token ids, with document counts of the whole table, ranks its unused
     neighbours by all the seed's ids, and all that share one are taken in that order. They fill the window while they fit whole,
     then one is cut. The last window of a shard is cut into powers of two, so nothing is padded.
@@ -217,9 +257,15 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     alone = float(np.log(1 + (total["n"] - 1.5 + 0.5) / (1.5 + 0.5)))
     shared = df.sparkSession.sparkContext.broadcast((idf, total["mean"], alone))
     columns = ["_id", "start", "doc_tokens", "ids"]
-    named = rest.select(*columns, "place").mapInArrow(partial(_neared, statistics=shared), "_id long, start long, doc_tokens long, ids binary, place long, near long")
+    k = min(_CENTRES, 2 * ceil(max(1, total["n"]) / shard_docs))
+    share = min(1.0, _SAMPLE * k / max(1, total["n"]))
+    picked = rest.filter(F.pmod(F.xxhash64("place"), F.lit(1 << 30)) < share * (1 << 30)).select("ids").mapInArrow(
+        partial(_sampled, statistics=shared), "x array<float>").toArrow()["x"].combine_chunks()
+    points = np.asarray(picked.flatten(), np.float32).reshape(-1, _DIRECTIONS)
+    named = rest.select(*columns, "place").mapInArrow(partial(_neared, statistics=shared, groups=centres(points, k)),
+                                                      "_id long, start long, doc_tokens long, ids binary, place long, near long, rare long")
     # Places differ even for repeated rows.
-    order = ["near", "place"]
+    order = ["near", "rare", "place"]
     dealt = written(named, "rests").repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)
     run = partial(_packed, statistics=shared, window=window, shard_docs=shard_docs)
     return whole.unionByName(dealt.mapInArrow(run, PIECES)).withColumnRenamed("_id", id_col)
