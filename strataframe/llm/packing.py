@@ -19,14 +19,14 @@ from strataframe.llm.tokens import load
 K1, B = 1.2, 0.75
 # A term that one in so many documents of a shard has is a row of its matrix.
 _DENSE = 8
-# Rests point into so many projected directions; centres of their groups are found from so many rests each.
-_DIRECTIONS, _CENTRES, _SAMPLE = 48, 256, 64
+# Projected directions, groups of alike texts at most, and sampled texts for each of them.
+_DIRECTIONS, _CENTRES, _SAMPLE = 48, 128, 32
 _PIECES = pa.schema([("_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
                      ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 PIECES = "_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window: int) -> Iterator[pa.RecordBatch]:
+def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window: int, groups) -> Iterator[pa.RecordBatch]:
     """Whole windows of a document become sequences at once; its rest, if any, waits with its ids."""
     bpe, sequence = load(tokenizer), TaskContext.get().partitionId() << 32
     place = sequence
@@ -36,14 +36,20 @@ def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, w
             ids = np.append(bpe.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
             full = len(ids) // window * window
             for start in range(0, full, window):
-                rows.append((doc, start, window, len(ids), 2 * sequence, 0, ids[start:start + window].tobytes(), 0, 0))
+                rows.append((doc, start, window, len(ids), 2 * sequence, 0, ids[start:start + window].tobytes(), 0, 0, 0))
                 sequence += 1
             if full < len(ids):
-                rows.append((doc, full, len(ids) - full, len(ids), None, None, ids[full:].tobytes(), place))
+                rows.append((doc, full, len(ids) - full, len(ids), None, None, ids[full:].tobytes(), *groups.value.of(ids[full:]), place))
                 place += 1
-        columns = list(zip(*rows)) if rows else [[]] * 8
+        columns = list(zip(*rows)) if rows else [[]] * 10
         yield pa.RecordBatch.from_arrays(
-            [*[pa.array(c, f.type) for c, f in zip(columns, _PIECES)], pa.array(columns[7], pa.int64())], names=[*_PIECES.names, "place"])
+            [*[pa.array(c, f.type) for c, f in zip(columns, _PIECES)], *[pa.array(c, pa.int64()) for c in columns[7:]]],
+            names=[*_PIECES.names, "near", "rare", "place"])
+
+
+def bm25(counts: np.ndarray, length, mean: float) -> np.ndarray:
+    """How much a term's occurrences in a text of some length weigh, before its idf."""
+    return counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / mean))
 
 
 @lru_cache(maxsize=2)
@@ -52,48 +58,51 @@ def _signs(vocabulary: int) -> np.ndarray:
     return np.random.default_rng(17).choice(np.array([-1, 1], np.float32), (vocabulary, _DIRECTIONS))
 
 
-def _directions(ids: np.ndarray, statistics: tuple) -> np.ndarray:
-    """Where a text points: its BM25 weights, projected, of length one."""
-    idf, mean, _ = statistics
-    terms, counts = np.unique(ids, return_counts=True)
-    weights = idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * len(ids) / mean))
-    x = weights.astype(np.float32) @ _signs(len(idf))[terms]
-    return x / max(float(np.linalg.norm(x)), 1e-9)
-
-
-def _sampled(batches: Iterator[pa.RecordBatch], statistics) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        points = [_directions(np.frombuffer(ids.as_py(), "<u4"), statistics.value).tolist() for ids in batch.column("ids")]
-        yield pa.RecordBatch.from_arrays([pa.array(points, pa.list_(pa.float32()))], names=["x"])
-
-
-def centres(points: np.ndarray, k: int) -> np.ndarray:
-    """Centres of at most `k` groups of directions."""
-    points = np.unique(points, axis=0)
-    found = points[np.random.default_rng(17).choice(len(points), min(k, len(points)), replace=False)] if len(points) else np.zeros((1, _DIRECTIONS), np.float32)
-    for _ in range(10 if len(points) else 0):
-        nearest = (points @ found.T).argmax(axis=1)
-        sums = np.zeros_like(found)
-        np.add.at(sums, nearest, points)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        found = np.where(size > 0, sums / np.maximum(size, 1e-9), found)
-    return found
-
-
-def _neared(batches: Iterator[pa.RecordBatch], statistics, groups: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Names each rest by the centre it points to, and by its two rarest ids that another document has too."""
-    idf, _, alone = statistics.value
-    for batch in batches:
-        near, rare = [], []
-        for text in batch.column("ids"):
-            ids = np.frombuffer(text.as_py(), "<u4")
-            near.append(int((groups @ _directions(ids, statistics.value)).argmax()))
-            terms = np.unique(ids)
-            shared = terms[idf[terms] < alone]
-            shared = shared[np.argsort(-idf[shared], kind="stable")[:2]].tolist()
-            rare.append((shared[0] << 32 | shared[-1]) if shared else -1)
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns)], pa.array(near, pa.int64()), pa.array(rare, pa.int64())],
-                                         names=[*batch.schema.names, "near", "rare"])
+class Groups:
+    """Groups of alike texts, from a sample: centres of BM25 weights, projected to a few directions."""
+
+    def __init__(self, sample: list[np.ndarray], vocabulary: int, k: int):
+        counts = np.zeros(vocabulary)
+        for ids in sample:
+            counts[np.unique(ids)] += 1
+        self.idf = np.log(1 + (len(sample) - counts + 0.5) / (counts + 0.5))
+        #: Ids that fewer than two texts of the sample hold may belong to one text alone.
+        self.shared = np.where(counts > 1, self.idf, -1.0)
+        self.mean = float(np.mean([len(x) for x in sample])) if sample else 1.0
+        points = np.array([self.direction(*np.unique(x, return_counts=True), len(x)) for x in sample], np.float32).reshape(-1, _DIRECTIONS)
+        self.centres = self._centres(np.unique(points, axis=0), k)
+
+    def direction(self, terms: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+        x = (self.idf[terms] * bm25(counts, length, self.mean)).astype(np.float32) @ _signs(len(self.idf))[terms]
+        return x / max(float(np.linalg.norm(x)), 1e-9)
+
+    @staticmethod
+    def _centres(points: np.ndarray, k: int) -> np.ndarray:
+        if not len(points):
+            return np.zeros((1, _DIRECTIONS), np.float32)
+        found = points[np.random.default_rng(17).choice(len(points), min(k, len(points)), replace=False)]
+        for _ in range(10):
+            sums = np.zeros_like(found)
+            np.add.at(sums, (points @ found.T).argmax(axis=1), points)
+            size = np.linalg.norm(sums, axis=1, keepdims=True)
+            found = np.where(size > 0, sums / np.maximum(size, 1e-9), found)
+        return found
+
+    def of(self, ids: np.ndarray) -> tuple[int, int]:
+        """A text's group, and its two rarest ids that others have too."""
+        terms, counts = np.unique(ids, return_counts=True)
+        near = int((self.centres @ self.direction(terms, counts, len(ids))).argmax())
+        rarity = self.shared[terms]
+        first = int(rarity.argmax())
+        rarity[first] = -2.0
+        return near, int(terms[first]) << 32 | int(terms[rarity.argmax()])
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window: int) -> Iterator[pa.RecordBatch]:
+    bpe = load(tokenizer)
+    for batch in slices(batches, 512):
+        ids = [np.append(bpe.encode(text.as_py()), np.uint32(end_id)).astype("<u4") for text in batch.column("_text")]
+        yield pa.RecordBatch.from_arrays([pa.array([x[len(x) // window * window:].tobytes() for x in ids], pa.binary())], names=["ids"])
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +126,7 @@ class Shard:
         keys, counts = np.unique(np.repeat(np.arange(len(ids), dtype=np.int64), lengths) << 32 | np.concatenate(ids).astype(np.int64),
                                  return_counts=True)
         docs, terms = keys >> 32, keys & 0xFFFFFFFF
-        weights = idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[docs] / mean))
+        weights = idf[terms] * bm25(counts, lengths[docs], mean)
         # A document's own terms are its query, all of them.
         self.doc_starts = np.searchsorted(docs, np.arange(len(ids) + 1))
         self.doc_terms = terms
@@ -133,12 +142,20 @@ class Shard:
         self.dense = np.zeros((len(common), len(ids)))
         long = np.repeat(self.row, sizes)
         self.dense[long[long >= 0], self.post_docs[long >= 0]] = self.post_weights[long >= 0]
+        self.held = np.arange(len(ids))
+
+    def forget(self, used: np.ndarray) -> None:
+        """Used documents need no more scores; once they are half of the matrix, it shrinks."""
+        keep = ~used[self.held]
+        if 2 * np.count_nonzero(keep) <= len(keep):
+            self.dense, self.held = np.ascontiguousarray(self.dense[:, keep]), self.held[keep]
 
     def scores(self, seed: int) -> np.ndarray:
         a, b = self.doc_starts[seed], self.doc_starts[seed + 1]
         at = np.searchsorted(self.terms, self.doc_terms[a:b])
         row = self.row[at]
-        score = self.dense[row[row >= 0]].sum(axis=0)
+        score = np.zeros(len(self.ids))
+        score[self.held] = self.dense[row[row >= 0]].sum(axis=0)
         spans = [slice(self.post_starts[i], self.post_starts[i + 1]) for i in at[row < 0]]
         if spans:
             score += np.bincount(np.concatenate([self.post_docs[s] for s in spans]),
@@ -166,16 +183,17 @@ class Shard:
 
             take(seed, min(room, int(left[seed])))
             if room and left.any():
+                self.forget(left == 0)
                 score = np.where(left > 0, self.scores(seed), 0)
                 found = np.flatnonzero(score)
-                found = found[np.lexsort((found, -score[found]))]
-                for doc in found.tolist():
-                    if not room:
-                        break
-                    if left[doc] <= room:
-                        take(doc, int(left[doc]))
+                found = found[np.argsort(-score[found], kind="stable")]
+                sizes, at = left[found], 0
+                while room and (fits := sizes[at:] <= room).any():
+                    at += int(fits.argmax())
+                    take(int(found[at]), int(sizes[at]))
+                    at += 1
                 # The best neighbour that is left is cut to fit, then any unused document.
-                for doc in chain(found.tolist(), range(next_unused, len(left))):
+                for doc in chain(found[left[found] > 0].tolist() if room else (), range(next_unused, len(left))):
                     if not room:
                         break
                     if left[doc]:
@@ -201,7 +219,7 @@ def powers(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int,
 
 
 def _packed(batches: Iterator[pa.RecordBatch], statistics, window: int, shard_docs: int) -> Iterator[pa.RecordBatch]:
-    idf, mean, _ = statistics.value
+    idf, mean = statistics.value
     sequence = TaskContext.get().partitionId() << 32
     held: list[tuple] = []
 
@@ -236,8 +254,8 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     """(id, start, length, doc_tokens, sequence_id, offset, ids) of every piece of every document.
 
     A document's whole windows are sequences of their own. The rests are dealt into shards of at most
-    `shard_docs`, ranged by the group of alike texts they belong to (centres fitted on a sample of 64
-    rests for each of at most 256) and their two rarest shared ids. In a shard each unused document
+    `shard_docs`, ranged by the group of alike texts they belong to (centres fitted on a sample of 32
+    texts for each of at most 128) and their two rarest shared ids. In a shard each unused document
     seeds a window; BM25 over token ids, with document counts of the whole table, ranks its unused
     neighbours by all the seed's ids, and all that share one are taken in that order. They fill the window while they fit whole,
     then one is cut. The last window of a shard is cut into powers of two, so nothing is padded.
@@ -246,26 +264,23 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     by one; an empty table gives no rows. Terms are bounded by the vocabulary, shards by their size.
     """
     rows = texts(df, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
-    pieces = written(rows.mapInArrow(partial(_tokenised, tokenizer=tokenizer, end_id=end_id, window=window), PIECES + ", place long"), "pieces")
-    whole = pieces.filter("sequence_id is not null").drop("place")
+    n = rows.count()
+    k = min(_CENTRES, 2 * ceil(max(1, n) / shard_docs))
+    picked = rows.select("_text").sample(min(1.0, _SAMPLE * k / max(1, n)), seed=17)
+    picked = picked.mapInArrow(partial(_sampled, tokenizer=tokenizer, end_id=end_id, window=window), "ids binary").toArrow()["ids"].to_pylist()
+    groups = Groups([np.frombuffer(x, "<u4") for x in picked if x], max(load(tokenizer).vocabulary, end_id + 1), k)
+    run = partial(_tokenised, tokenizer=tokenizer, end_id=end_id, window=window, groups=df.sparkSession.sparkContext.broadcast(groups))
+    pieces = written(rows.mapInArrow(run, PIECES + ", near long, rare long, place long"), "pieces")
+    whole = pieces.filter("sequence_id is not null").drop("near", "rare", "place")
     rest = pieces.filter("sequence_id is null")
     terms = (rest.select("ids").mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow())
     total = rest.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean")).first()
     counts = np.zeros(max(1, 1 + max(terms["term"].to_pylist(), default=0)))
     counts[terms["term"].to_numpy()] = terms["n"].to_numpy()
     idf = np.log(1 + (total["n"] - counts + 0.5) / (counts + 0.5))
-    alone = float(np.log(1 + (total["n"] - 1.5 + 0.5) / (1.5 + 0.5)))
-    shared = df.sparkSession.sparkContext.broadcast((idf, total["mean"], alone))
-    columns = ["_id", "start", "doc_tokens", "ids"]
-    k = min(_CENTRES, 2 * ceil(max(1, total["n"]) / shard_docs))
-    share = min(1.0, _SAMPLE * k / max(1, total["n"]))
-    picked = rest.filter(F.pmod(F.xxhash64("place"), F.lit(1 << 30)) < share * (1 << 30)).select("ids").mapInArrow(
-        partial(_sampled, statistics=shared), "x array<float>").toArrow()["x"].combine_chunks()
-    points = np.asarray(picked.flatten(), np.float32).reshape(-1, _DIRECTIONS)
-    named = rest.select(*columns, "place").mapInArrow(partial(_neared, statistics=shared, groups=centres(points, k)),
-                                                      "_id long, start long, doc_tokens long, ids binary, place long, near long, rare long")
-    # Places differ even for repeated rows.
+    shared = df.sparkSession.sparkContext.broadcast((idf, total["mean"]))
+    # Places differ even for repeated rows, and the ranges are found without reading ids.
     order = ["near", "rare", "place"]
-    dealt = written(named, "rests").repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)
+    dealt = rest.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "start", "doc_tokens", "ids")
     run = partial(_packed, statistics=shared, window=window, shard_docs=shard_docs)
     return whole.unionByName(dealt.mapInArrow(run, PIECES)).withColumnRenamed("_id", id_col)
