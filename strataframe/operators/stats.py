@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from strataframe.functions.scaling import STAT_NAMES
 from strataframe.functions.text import array, quoted, string
 from strataframe.operators.frame import union_all
+from strataframe.operators.radix import radix_stats
 
 # Row names of the wide statistics matrix, in the order of STAT_NAMES.
 MATRIX_ROWS = ("mean", "std", "q1_4", "q2_4", "q3_4", "min", "max", "lambda", "std_y")
@@ -88,17 +89,39 @@ def long_stats(long: DataFrame, quantile: str = "approx", accuracy: int = ACCURA
     return stats.select("column", *STAT_NAMES)
 
 
-def column_stats(df: DataFrame, columns: Sequence[str], quantile: str = "approx",
+def column_stats(df: DataFrame, columns: Sequence[str], quantile: str = "radix",
                  chunk: int = CHUNK, accuracy: int = ACCURACY) -> DataFrame:
-    """Nine statistics per column, `chunk` columns per aggregate, all chunks in one job.
+    """Nine statistics per column.
 
-    Each chunk scans its own columns only, so a columnar source is read once in total.
+    `radix`, the default, reads all columns at once, three times as a rule, and runs when called: its
+    quartiles are exact and the same for any partitioning. `approx` and `exact` are lazy plans of
+    `chunk` columns per aggregate; each chunk scans its own columns only, so a columnar source is
+    read once in total.
     """
+    if quantile == "radix":
+        return _radix_frame(df, list(columns))
     chunks = [list(columns[i:i + chunk]) for i in range(0, len(columns), chunk)]
     return union_all([
         _named(long_stats(_positions(df, names), quantile, accuracy), names) for names in chunks])
 
 
+def _radix_frame(df: DataFrame, columns: list[str]) -> DataFrame:
+    moments, quartiles = radix_stats(df, columns, QUARTILES, POSITIVE_FLOOR)
+    rows = []
+    for i, name in enumerate(columns):
+        m = moments.get(i)
+        if m is None:
+            # No values: only the rate is defined.
+            rows.append((name, *[1.0 / NO_POSITIVE_MEAN if s == "lambda" else None for s in STAT_NAMES]))
+            continue
+        n = m["n"]
+        rate = 1.0 / (m["positive_sum"] / m["positives"] if m["positives"] else NO_POSITIVE_MEAN)
+        found = {"mean": m["mean"], "std": math.sqrt(m["m2"] / (n - 1)) if n > 1 else None, "min": m["low"], "max": m["high"], "lambda": rate,
+                 "std_y": math.sqrt(m["squares"] / n), **{f"q{k}": quartiles[i, p] for k, p in enumerate(QUARTILES, start=1)}}
+        rows.append((name, *[found[s] for s in STAT_NAMES]))
+    return df.sparkSession.createDataFrame(rows, "column string, " + ", ".join(f"`{s}` double" for s in STAT_NAMES))
+
+
 def level_stats(df: DataFrame, families: Sequence[str], quantile: str = "approx",
                 accuracy: int = ACCURACY) -> DataFrame:
     """The same for every level of packed profiles; `f` at level i is column `f_i`."""

@@ -108,7 +108,7 @@ def split_phase(spark: SparkSession, train_csv, test_csv, out: str, schema: Prof
 
 
 def statistics_phase(spark: SparkSession, out: str, schema: ProfileSchema, num_val: int = 0,
-                     quantile: str = "approx", chunk: int = CHUNK, order: str = "numeric") -> DataFrame:
+                     quantile: str = "radix", chunk: int = CHUNK, order: str = "numeric") -> DataFrame:
     """Statistics of inputs and labels in long form, and the nine-row matrix beside them.
 
     With `num_val`, the last batches by `order` are held back, so that validation rows do not leak
