@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataframe.functions.text import quoted
+from strataframe.functions.text import array, quoted
+from strataframe.operators.frame import union_all
 from strataframe.session import scratch_path
 
 _BITS = 16
@@ -27,6 +28,8 @@ _FEW = 1 << 20
 _FLIP = np.int64(0x7FFFFFFFFFFFFFFF)
 _PARTS = ("column int, prefix long, n long, mean double, m2 double, low double, high double, "
           "positives long, positive_sum double, squares double")
+_NAMES = [f.split()[0] for f in _PARTS.split(", ")]
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64(), pa.float64(), pa.float64()]
 
 
 def ordered_bits(x: np.ndarray) -> np.ndarray:
@@ -40,8 +43,13 @@ def from_bits(bits: int) -> float:
     return float((value ^ (value >> 63 & _FLIP)).view(np.float64)[0])
 
 
-def _values(column: pa.Array) -> np.ndarray:
-    return (column.drop_null() if column.null_count else column).to_numpy(zero_copy_only=False)
+def _columns(arrays: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The non-null values of each position of equally long arrays."""
+    flat = arrays.flatten()
+    known = np.asarray(flat.is_valid()).reshape(-1, width).T if flat.null_count else None
+    values = np.ascontiguousarray(flat.to_numpy(zero_copy_only=False).reshape(-1, width).T)
+    for i in range(width):
+        yield values[i] if known is None else values[i][known[i]]
 
 
 def _moments(x: np.ndarray, floor_at: float) -> tuple:
@@ -63,43 +71,43 @@ def _merged(a: tuple, b: tuple) -> tuple:
     return n, a[1] + step * b[0] / n, a[2] + b[2] + step * step * a[0] * b[0] / n, low, high, a[5] + b[5], a[6] + b[6], a[7] + b[7]
 
 
-def _counted(batches: Iterator[pa.RecordBatch], shift: int, wanted: dict[int, np.ndarray] | None, parent_shift: int,
+def _counted(batches: Iterator[pa.RecordBatch], first: int, width: int, shift: int, wanted: dict[int, np.ndarray] | None, parent_shift: int,
              floor_at: float) -> Iterator[pa.RecordBatch]:
-    """Counts by prefix of each column's values, those of the wanted parents only; the first pass adds moments."""
+    """Counts by prefix of each column's values, those of the wanted parents only; the first pass adds moments.
+
+    A row holds the values of `width` columns, from the one in place `first` on.
+    """
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     moments: dict[int, tuple] = {}
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        column, prefix, n = [], [], []
+        columns, rows = [[], [], []], 0
         for c, parts in held.items():
             keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            column.append(np.full(len(keys), c))
-            prefix.append(keys)
-            n.append(np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64))
-        none = [[None] * len(c) for c in column]
-        rows = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (column, prefix, n)]
-        gap = sum(map(len, none))
-        own = [moments[c] for c in sorted(moments)]
-        types = [pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64(), pa.float64(), pa.float64()]
-        columns = [[*rows[0].tolist(), *sorted(moments)], [*rows[1].tolist(), *[None] * len(own)], [*rows[2].tolist(), *[m[0] for m in own]],
-                   *[[*[None] * gap, *[m[i] for m in own]] for i in range(1, 8)]]
-        names = [f.split()[0] for f in _PARTS.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            for own, x in zip(columns, (np.full(len(keys), c, np.int32), keys, np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64))):
+                own.append(x)
+            rows += len(keys)
+        if rows:
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in columns], *[pa.nulls(rows, t) for t in _TYPES[3:]]], names=_NAMES)
+        own = [(c, None, *m) for c, m in moments.items()]
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own), _TYPES)], names=_NAMES)
 
     for batch in batches:
-        for c in range(batch.num_columns):
-            if wanted is not None and c not in wanted:
-                continue
-            x = _values(batch.column(c))
-            if not len(x):
+        for c, x in enumerate(_columns(batch.column(0), width), start=first):
+            if not len(x) or wanted is not None and c not in wanted:
                 continue
             if wanted is None:
                 own = _moments(x, floor_at)
                 moments[c] = _merged(moments[c], own) if c in moments else own
             bits = ordered_bits(x)
             if wanted is not None:
-                bits = bits[np.isin(bits >> parent_shift, wanted[c])]
+                parent, own = bits >> parent_shift, wanted[c]
+                keep = parent == own[0]
+                for w in own[1:]:
+                    keep |= parent == w
+                bits = bits[keep]
             # Few bits sort fast.
             prefix = (bits >> shift).astype(np.int16) if shift == 64 - _BITS else bits >> shift
             keys, counts = np.unique(prefix, return_counts=True)
@@ -123,7 +131,7 @@ def _located(counts: DataFrame, targets: list[tuple[int, int, int]], parent_shif
         "column", "parent", "rank", "prefix", (F.col("rank") - F.col("upto") + F.col("n")).alias("inside"), "n").collect()
 
 
-def radix_stats(df: DataFrame, columns: Sequence[str], probs: Sequence[float], floor_at: float) -> tuple[dict[int, dict], dict[tuple[int, float], float]]:
+def radix_stats(df: DataFrame, columns: Sequence[str], probs: Sequence[float], floor_at: float, chunk: int) -> tuple[dict[int, dict], dict[tuple[int, float], float]]:
     """Moments by column position, and linearly interpolated quantiles by (position, probability).
 
     Reads the columns three times, four where very many values share 32 bits. Nulls take no part, NaN
@@ -131,11 +139,14 @@ def radix_stats(df: DataFrame, columns: Sequence[str], probs: Sequence[float], f
     the number of columns. Runs when called.
     """
     spark = df.sparkSession
-    values = df.selectExpr(*[f"CAST({quoted(c)} AS DOUBLE) AS c{i}" for i, c in enumerate(columns)])
+    # A chunk of columns a scan: each reads its own columns only, and few enough for generated code.
+    starts = range(0, len(columns), chunk)
+    values = {i: df.select(F.expr(array(f"CAST({quoted(c)} AS DOUBLE)" for c in columns[i:i + chunk])).alias("v")) for i in starts}
 
     def counted(shift: int, wanted=None, parent_shift: int = 64) -> DataFrame:
         path = scratch_path(spark, "radix")
-        values.mapInArrow(partial(_counted, shift=shift, wanted=wanted, parent_shift=parent_shift, floor_at=floor_at), _PARTS).write.parquet(path)
+        union_all([v.mapInArrow(partial(_counted, first=i, width=min(chunk, len(columns) - i), shift=shift, wanted=wanted, parent_shift=parent_shift,
+                                        floor_at=floor_at), _PARTS) for i, v in values.items()]).write.parquet(path)
         return spark.read.schema(_PARTS).parquet(path)
 
     shift = 64 - _BITS

@@ -93,20 +93,19 @@ def column_stats(df: DataFrame, columns: Sequence[str], quantile: str = "radix",
                  chunk: int = CHUNK, accuracy: int = ACCURACY) -> DataFrame:
     """Nine statistics per column.
 
-    `radix`, the default, reads all columns at once, three times as a rule, and runs when called: its
-    quartiles are exact and the same for any partitioning. `approx` and `exact` are lazy plans of
-    `chunk` columns per aggregate; each chunk scans its own columns only, so a columnar source is
-    read once in total.
+    `radix`, the default, reads the columns three times as a rule and runs when called: its quartiles
+    are exact and the same for any partitioning. `approx` and `exact` are lazy plans. All take `chunk`
+    columns at a time; each chunk scans its own columns only, so a columnar source is read once a pass.
     """
     if quantile == "radix":
-        return _radix_frame(df, list(columns))
+        return _radix_frame(df, list(columns), chunk)
     chunks = [list(columns[i:i + chunk]) for i in range(0, len(columns), chunk)]
     return union_all([
         _named(long_stats(_positions(df, names), quantile, accuracy), names) for names in chunks])
 
 
-def _radix_frame(df: DataFrame, columns: list[str]) -> DataFrame:
-    moments, quartiles = radix_stats(df, columns, QUARTILES, POSITIVE_FLOOR)
+def _radix_frame(df: DataFrame, columns: list[str], chunk: int) -> DataFrame:
+    moments, quartiles = radix_stats(df, columns, QUARTILES, POSITIVE_FLOOR, chunk)
     rows = []
     for i, name in enumerate(columns):
         m = moments.get(i)
