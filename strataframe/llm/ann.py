@@ -4,6 +4,7 @@ lists chosen by distance ratio."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 from math import ceil
 
@@ -13,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.llm.common import written
-from strataframe.llm.topk import best_rows
-from strataframe.llm.vectors import answers, distinct_vectors, unpack
+from strataframe.llm.vectors import Distinct, answers, distinct_vectors, unpack
 
 _FOUND = "_qgid long, _gid long, _score double"
 
@@ -93,105 +93,140 @@ class CentroidGraph:
         order = np.argsort(far, axis=1, kind="stable")
         return pool[rows, order], np.maximum(far[rows, order], 0)
 
+    def within(self, x: np.ndarray, ratio: float, width: int = 32, together: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, centroids): all centroids reached within `ratio` times the distance of each row's nearest one.
 
-    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All centroids and their squared distances, nearest first, of each row of x."""
-        far = np.maximum(2 - 2 * (x.astype(np.float32) @ self.centroids.T), 0)
-        order = np.argsort(far, axis=1, kind="stable")
-        return order, np.take_along_axis(far, order, axis=1)
+        The search finds the nearest; from there the walk goes on, however wide, through every
+        centroid inside the bound until none is left whose links were not followed.
+        """
+        n, found = len(self.centroids), []
+        for at in range(0, len(x), together):
+            part = x[at:at + together].astype(np.float32)
+            pool, away = self.search(part, width)
+            far = np.full((len(part), n), np.inf, np.float32)
+            np.put_along_axis(far, pool, away.astype(np.float32), axis=1)
+            walked = np.zeros(far.shape, bool)
+            while True:
+                inside = far <= np.float32(ratio) ** 2 * far.min(axis=1, keepdims=True)
+                inside[np.arange(len(part)), far.argmin(axis=1)] = True
+                rows, here = np.nonzero(inside & ~walked)
+                if not len(rows):
+                    break
+                walked[rows, here] = True
+                new = np.unique(rows[:, None] * n + self.links[here])
+                new = new[np.isinf(far.ravel()[new])]
+                for i in range(0, len(new), 65_536):
+                    r, c = np.divmod(new[i:i + 65_536], n)
+                    far[r, c] = np.maximum(2 - 2 * np.einsum("ij,ij->i", part[r], self.centroids[c]), 0)
+            rows, here = np.nonzero(inside)
+            found.append((rows + at, here))
+        return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
+    def homes(self, x: np.ndarray, ratio: float, most: int, width: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, whether each is a home) of each row: its nearest one and up to `most` within the ratio."""
+        lists, far = self.search(x, width)
+        inside = np.sqrt(far) <= ratio * np.sqrt(far[:, :1])
+        inside[:, 0] = True
+        inside[:, most:] = False
+        return lists, inside
 
-def _listed(batches: Iterator[pa.RecordBatch], graph, width: int | None, ratio: float, most: int | None, together: int) -> Iterator[pa.RecordBatch]:
-    """(_list, _gid, _x): a row for each bundle of `together` lists with a centroid within the ratio of the nearest one's distance.
 
-    The graph finds the `width` nearest centroids; without a width all are ranked.
-    """
+def _listed(batches: Iterator[pa.RecordBatch], graph, ratio: float, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """(_list, _gid, _x): a row for each list of a vector; up to `most` homes or, without it, all lists within the ratio."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             x = unit(unpack(part.column("_x"), "<f8"))
-            lists, far = graph.value.search(x, width) if width else graph.value.ranked(x)
-            chosen = np.sqrt(far) <= ratio * np.sqrt(far[:, :1])
-            chosen[:, 0] = True
             if most:
-                chosen[:, most:] = False
-            rows, places = np.nonzero(chosen)
-            rows, bundles = np.unique(np.stack([rows, lists[rows, places] // together]), axis=1)
-            index = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bundles, pa.int64()), part.column("_gid").take(index), part.column("_x").take(index)],
-                names=["_list", "_gid", "_x"])
+                lists, inside = graph.value.homes(x, ratio, most)
+                rows, places = np.nonzero(inside)
+                chosen = lists[rows, places]
+            else:
+                rows, chosen = graph.value.within(x, ratio)
+            # A query may have many lists, so its vector is repeated in pieces.
+            for i in range(0, len(rows), 8192):
+                index = pa.array(rows[i:i + 8192], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(chosen[i:i + 8192], pa.int64()), part.column("_gid").take(index), part.column("_x").take(index)],
+                    names=["_list", "_gid", "_x"])
 
 
-def measured_reach(graph: CentroidGraph, points: np.ndarray, k: int, width: int, ratio: float, most: int,
-                   asked: int = 256, share: float = 0.995) -> float:
-    """The ratio that reaches `share` of the true neighbours, by brute force over the sampled vectors.
+def measured_reach(graph: CentroidGraph, points: np.ndarray, k: int, ratio: float, most: int, recall: float, asked: int = 512) -> float:
+    """The ratio that reaches `recall` of the true neighbours, by brute force for `asked` of the sampled vectors.
 
     In the whole table neighbours are nearer than in a sample of it, so there it reaches no fewer.
     """
     asked, k = min(asked, len(points)), min(k, len(points) - 1)
     if k < 1:
-        return 0.0
-    score = points[:asked] @ points.T
-    score[np.arange(asked), np.arange(asked)] = -np.inf
-    best = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    away = np.sqrt(np.maximum(2 - 2 * (points[:asked].astype(np.float32) @ graph.centroids.T), 0))
+        return 1.0
     needed = []
-    for near, row in zip(best, away):
-        lists, far = graph.search(points[near], width)
-        inside = np.sqrt(far) <= ratio * np.sqrt(far[:, :1])
-        inside[:, 0] = True
-        inside[:, most:] = False
-        needed.append(np.where(inside, row[lists], np.inf).min(axis=1) / max(row.min(), 1e-6))
-    return float(np.quantile(np.concatenate(needed), share, method="higher"))
+    for at in range(0, asked, 64):
+        here = points[at:min(at + 64, asked)]
+        score = here @ points.T
+        score[np.arange(len(here)), np.arange(at, at + len(here))] = -np.inf
+        best = np.argpartition(-score, k - 1, axis=1)[:, :k].ravel()
+        away = np.sqrt(np.maximum(2 - 2 * (here.astype(np.float32) @ graph.centroids.T), 0))
+        lists, inside = graph.homes(points[best], ratio, most)
+        row = np.repeat(np.arange(len(here)), k)
+        needed.append(np.where(inside, away[row[:, None], lists], np.inf).min(axis=1) / np.maximum(away.min(axis=1), 1e-6)[row])
+    return max(1.0, float(np.quantile(np.concatenate(needed), recall, method="higher")))
 
 
-def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosine of one vector and each row in double precision, each row's sum in the same order."""
-    return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
+def cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Cosine of each pair of rows in double precision, each sum in the same order.
+
+    Very large and very small components are scaled first, so that squares neither overflow nor vanish.
+    """
+    largest = np.abs(rows).max(axis=1), np.abs(queries).max(axis=1)
+    odd = np.any([(m >= 1e100) | (m <= 1e-100) for m in largest], axis=0)
+    if odd.any():
+        queries, rows = queries.copy(), rows.copy()
+        queries[odd] /= largest[1][odd, None]
+        rows[odd] /= largest[0][odd, None]
+    return (rows * queries).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((queries * queries).sum(axis=1)))
 
 
 def _search(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """The k best rows of one block of a list for each query that chose the list."""
     order = np.argsort(right["_gid"].to_numpy())
     names, docs = right["_gid"].to_numpy()[order], unpack(right["_x"], "<f8")
     out = []
     if len(names) and left.num_rows:
         docs = docs[order]
-        scaled = unit(docs)
-        asked = unpack(left["_qx"], "<f8")
-        quick = unit(asked) @ scaled.T
-        for name, query, row in zip(left["_qgid"].to_pylist(), asked, quick):
-            best = best_rows(row, k)
+        scaled, asked, queries = unit(docs), unpack(left["_qx"], "<f8"), left["_qgid"].to_numpy()
+        k = min(k, len(docs))
+        for at in range(0, len(asked), 256):
+            quick = unit(asked[at:at + 256]) @ scaled.T
+            least = -np.partition(-quick, k - 1, axis=1)[:, k - 1:k]
             # The product of matrices rounds by position; what is near the border is measured anew.
-            best = np.flatnonzero(row >= row[best].min() - 1e-9) if len(best) == k else best
-            scale = np.abs(docs[best]).max(axis=1, keepdims=True)
-            score = cosines(query / np.abs(query).max(), docs[best] / scale)
-            plain = cosines(query, docs[best])
-            score = np.where(np.isfinite(plain) & (scale[:, 0] < 1e100) & (scale[:, 0] > 1e-100), plain, score)
-            top = best_rows(score, k)
-            out.append((np.full(len(top), name), names[best[top]], score[top]))
-    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 3
-    return pa.table({"_qgid": pa.array(columns[0].astype(np.int64)), "_gid": pa.array(columns[1].astype(np.int64)), "_score": pa.array(columns[2], pa.float64())})
+            rows, best = np.nonzero(quick >= least - 1e-9)
+            for i in range(0, len(rows), 65_536):
+                r, b = rows[i:i + 65_536], best[i:i + 65_536]
+                out.append((at + r, b, cosines(asked[at + r], docs[b])))
+    if not out:
+        return pa.table({"_qgid": pa.array([], pa.int64()), "_gid": pa.array([], pa.int64()), "_score": pa.array([], pa.float64())})
+    rows, best, score = (np.concatenate(c) for c in zip(*out))
+    by = np.lexsort((best, -score, rows))
+    first = np.searchsorted(rows[by], rows[by], side="left")
+    top = by[np.arange(len(by)) - first < k]
+    return pa.table({"_qgid": pa.array(queries[rows[top]]), "_gid": pa.array(names[best[top]]), "_score": pa.array(score[top])})
 
 
-def approximate_neighbours(df: DataFrame, queries: Column | str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-                           sample_rows: int = 32_768, list_rows: int = 128, max_lists: int = 4096, copies: int = 4,
-                           boundary: float = 1.1, reach: float = 1.5, probes: int | None = None, block_rows: int = 16_384) -> DataFrame:
-    """(query_id, rank, vec_id, score): near rows of each query row by cosine, nearest first.
+@dataclass(frozen=True)
+class Index:
+    """`lists` (_list, _gid, _x): each vector in its homes. `asked` (_list, _gid, _x): each query in the lists it searches."""
 
-    Centroids come from `sample_rows` vectors, those with the smallest hashed ids; one for each
-    `list_rows` vectors, `max_lists` at most. A vector goes to the list of its nearest centroid and,
-    near a boundary, to up to `copies` lists whose centroids are within `boundary` times that
-    distance. A query searches all lists within `reach` times its nearest centroid's distance, or more
-    if the sample's own neighbours lie further, however many the table has; only `probes`, if given,
-    bounds them. Neighbouring short lists are searched
-    together, so that a query is sent once to all of them; long ones are cut into blocks of
-    `block_rows`, each a task's work.
+    data: Distinct
+    lists: DataFrame
+    asked: DataFrame
+    leaves: int
+    reach: float
 
-    `queries` is a condition on `_id`. Vectors that are null, zero, of odd length, or hold null or
-    non-finite components take no part. Ties go to the smaller id; rows that share the query's id
-    count as its own; repeated rows ask each; equal vectors are indexed and searched once.
-    """
+
+def posting_lists(df: DataFrame, queries: Column | str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
+                  sample_rows: int = 131_072, list_rows: int = 128, max_lists: int = 16_384, copies: int = 4,
+                  boundary: float = 1.1, recall: float = 0.93) -> Index:
+    """The lists of all vectors, and those that each query chooses; parameters as in `approximate_neighbours`."""
     spark = df.sparkSession
     data = distinct_vectors(df, id_col, vector_col, k + 1)
     n = data.vectors.count()
@@ -199,20 +234,42 @@ def approximate_neighbours(df: DataFrame, queries: Column | str, k: int = 5, id_
     points = unit(unpack(sample["_x"], "<f8")) if n else np.ones((1, 1))
     leaves = max(1, min(max_lists, ceil(n / list_rows), len(points) // 4))
     centroids = CentroidGraph(balanced_centroids(points, leaves))
-    reach = max(reach, measured_reach(centroids, points, k, 32, boundary, copies))
+    reach = measured_reach(centroids, points, k, boundary, copies, recall)
     graph = spark.sparkContext.broadcast(centroids)
     shape = "_list long, _gid long, _x binary"
-    together = max(1, block_rows * leaves // max(1, n * copies))
-    listed = partial(_listed, graph=graph, together=together)
-    own = partial(listed, width=32, ratio=boundary, most=copies)
-    near = partial(listed, width=2 * probes if probes else None, ratio=reach, most=probes)
-    lists = written(data.vectors.mapInArrow(own, shape), "lists")
-    asked = data.members.filter(queries).select("_gid").distinct().join(data.vectors, "_gid")
-    asked = asked.mapInArrow(near, shape)
+    lists = written(data.vectors.mapInArrow(partial(_listed, graph=graph, ratio=boundary, most=copies), shape), "lists")
+    chosen = data.members.filter(queries).select("_gid").distinct().join(data.vectors, "_gid")
+    asked = written(chosen.mapInArrow(partial(_listed, graph=graph, ratio=reach), shape), "asked")
+    return Index(data, lists, asked, len(centroids.centroids), reach)
+
+
+def approximate_neighbours(df: DataFrame, queries: Column | str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
+                           block_rows: int = 16_384, **index) -> DataFrame:
+    """(query_id, rank, vec_id, score): near rows of each query row by cosine, nearest first.
+
+    Centroids come from `sample_rows` vectors, those with the smallest hashed ids; one for each
+    `list_rows` vectors, `max_lists` at most. A vector goes to the list of its nearest centroid and,
+    near a boundary, to up to `copies` lists whose centroids are within `boundary` times that
+    distance. A query walks the graph of centroids and searches every list within a ratio of its
+    nearest centroid's distance, however many those are; brute force over the sample sets the ratio
+    so that `recall` of the sample's own neighbours lie within it. Lists, and the queries of a list,
+    are cut into blocks of `block_rows`; a block of each is a task's work.
+
+    `queries` is a condition on `_id`. Vectors that are null, zero, of odd length, or hold null or
+    non-finite components take no part. Ties go to the smaller id; rows that share the query's id
+    count as its own; repeated rows ask each; equal vectors are indexed and searched once.
+    """
+    made = posting_lists(df, queries, k, id_col, vector_col, **index)
+    rows = made.lists
+    asked = made.asked.select("_list", F.col("_gid").alias("_qgid"), F.col("_x").alias("_qx"))
     # One row a centroid, at most `max_lists` twice over.
-    sizes = F.broadcast(lists.groupBy("_list").agg(F.ceil(F.count("*") / block_rows).alias("_blocks")))
-    own = lists.join(sizes, "_list").withColumn("_b", F.pmod(F.xxhash64("_gid"), F.col("_blocks"))).drop("_blocks")
-    asked = asked.select("_list", F.col("_gid").alias("_qgid"), F.col("_x").alias("_qx")).join(sizes, "_list").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1).cast("array<long>"))).drop("_blocks")
-    found = asked.groupBy("_list", "_b").cogroup(own.groupBy("_list", "_b")).applyInArrow(
-        lambda key, left, right: _search(left, right, k + 1), _FOUND)
-    return answers(found, data, queries, k)
+    size = F.ceil(F.count("*") / block_rows).cast("int")
+    sizes = F.broadcast(rows.groupBy("_list").agg(size.alias("_rows")).join(asked.groupBy("_list").agg(size.alias("_asked")), "_list"))
+    rows, asked = rows.join(sizes, "_list"), asked.join(sizes, "_list")
+    rows = (rows.withColumn("_b", F.pmod(F.xxhash64("_gid"), "_rows").cast("int"))
+            .withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_asked") - 1))).drop("_rows", "_asked"))
+    asked = (asked.withColumn("_q", F.pmod(F.xxhash64("_qgid"), "_asked").cast("int"))
+             .withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1))).drop("_rows", "_asked"))
+    block = ["_list", "_b", "_q"]
+    found = asked.groupBy(*block).cogroup(rows.groupBy(*block)).applyInArrow(lambda key, left, right: _search(left, right, k + 1), _FOUND)
+    return answers(found, made.data, queries, k)

@@ -14,7 +14,7 @@ from strataframe.llm.common import id_bucket
 from strataframe.llm.lmscore import Trie, score_documents, tokens
 from strataframe.llm.packing import Shard, pack_documents
 from strataframe.llm.queries import ASKED, BYTE_BPE, ORACLE, QUERIES
-from strataframe.llm.ann import approximate_neighbours
+from strataframe.llm.ann import CentroidGraph, approximate_neighbours, balanced_centroids, posting_lists
 from strataframe.llm.simhash import connected, link_fingerprints, near, simhash_groups
 from strataframe.llm.topk import exact_top_k
 
@@ -309,8 +309,7 @@ def test_recall(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     ids = rows["vec_id"].to_numpy()
     got = defaultdict(set)
-    # Short lists and few probes, so that most of the table is not searched.
-    for r in approximate_neighbours(df, ASKED, list_rows=16, probes=64).collect():
+    for r in approximate_neighbours(df, ASKED).collect():
         got[r["query_id"]].add(r["vec_id"])
     hits = total = 0
     for q in np.flatnonzero(ids % 50 == 0):
@@ -327,8 +326,8 @@ def test_recall_with_many_lists(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     got = defaultdict(set)
-    # About 1,000 lists, of which 64 held too few of the neighbours; bundles of one list, so that only chosen lists are searched.
-    for r in approximate_neighbours(df, ASKED, list_rows=4, block_rows=16).collect():
+    # About 1,000 lists, cut into blocks, as are their queries.
+    for r in approximate_neighbours(df, ASKED, list_rows=4, block_rows=16, recall=0.999).collect():
         got[r["query_id"]].add(r["vec_id"])
     hits = 0
     for q in range(0, 4000, 50):
@@ -338,6 +337,40 @@ def test_recall_with_many_lists(spark):
     assert hits / 400 >= 0.99
 
 
+def test_queries_search_chosen_lists_only(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(64, 32))[rng.integers(0, 64, 20_000)] + 0.3 * rng.normal(size=(20_000, 32))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    made = posting_lists(df, ASKED)
+    sizes = {r["_list"]: r["count"] for r in made.lists.groupBy("_list").count().collect()}
+    pairs = sum(sizes.get(r["_list"], 0) for r in made.asked.collect())
+    # Rows compared, copies in several lists included, against those of brute force.
+    assert pairs < 0.3 * 400 * 20_000
+    got = defaultdict(set)
+    for r in approximate_neighbours(df, ASKED).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 20_000, 50):
+        score = x @ x[q]
+        score[q] = -2
+        hits += len(set(np.argsort(-score)[:5].tolist()) & got[q])
+    print(f"share of rows compared {pairs / 400 / 20_000:.3f}, reach {made.reach:.3f}, recall {hits / 2000:.3f}")
+    assert hits / 2000 >= 0.9
+
+
+def test_graph_walk_finds_what_lies_within_the_ratio():
+    rng = np.random.default_rng(3)
+    points, asked = (rng.normal(size=(n, 24)) for n in (6000, 200))
+    points, asked = (p / np.linalg.norm(p, axis=1, keepdims=True) for p in (points, asked))
+    graph = CentroidGraph(balanced_centroids(points, 700))
+    rows, lists = graph.within(asked, 1.2)
+    far = np.sqrt(np.maximum(2 - 2 * asked @ graph.centroids.T.astype(float), 0))
+    true = far <= 1.2 * far.min(axis=1, keepdims=True)
+    assert len(rows) == len(set(zip(rows.tolist(), lists.tolist())))
+    assert true[rows, lists].mean() > 0.98 and true[rows, lists].sum() > 0.98 * true.sum()
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
