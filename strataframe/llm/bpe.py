@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -15,11 +16,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from strataframe.llm.common import ship, slices, texts
 
-# Distinct words a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+# Distinct words a worker remembers, and their characters, before it makes room; words learned at a time.
+REMEMBERED, CHARACTERS, AT_ONCE = 300_000, 8_000_000, 65_536
 
 
 def byte_alphabet() -> list[str]:
@@ -29,6 +31,18 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def recent() -> regex.Pattern:
+    """A character that Unicode 3.2 had not assigned.
+
+    Libraries follow different later versions, so they compose, lower and class such characters
+    differently; what was assigned by then has not changed since.
+    """
+    new = [unicodedata.ucd_3_2_0.category(chr(c)) == "Cn" for c in range(0x110000)]
+    edges = np.flatnonzero(np.diff(np.array([False, *new, False]).astype(np.int8)))
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2])) + "]")
+
+
 class WordBpe:
     """Vocabulary, merges and text rules of one tokenizer file, with word ends and a splitting pattern."""
 
@@ -55,6 +69,8 @@ class WordBpe:
             self.inside[ord(c)] = self.number.get(c, -1)
             self.final[ord(c)] = self.number.get(c + self.end, -1)
         self.cache: dict[str, bytes] = {}
+        self.held = 0
+        self.path, self.library = path, None
 
     def _order(self, merges: list) -> None:
         """Numbers tokens so that each merge makes a number above both of its parts' ranks."""
@@ -260,10 +276,25 @@ class WordBpe:
         return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.alphabet)
                 for w in self.pattern.findall(text)]
 
-    def learn(self, new: set[str]) -> None:
-        """Adds the ids of new space-delimited chunks to the cache."""
-        chunks = list(new)
-        joined = " ".join(chunks)
+    def library_ids(self, chunk: str) -> bytes:
+        """Ids by the tokenizers library."""
+        if self.library is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, np.int32).tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        """Adds the ids of new space-delimited chunks to the cache; the library's, where versions of Unicode matter."""
+        chunks, joined = new, " ".join(new)
+        if not joined.isascii() and recent().search(joined):
+            odd = {c for c in new if not c.isascii() and recent().search(c)}
+            self.cache.update((c, self.library_ids(c)) for c in odd)
+            chunks = [c for c in new if c not in odd]
+            joined = " ".join(chunks)
+        if not chunks:
+            return
         if self.split_special and self.split_special.search(joined):
             split = [self.words_of(c) for c in chunks]
         else:
@@ -284,16 +315,20 @@ class WordBpe:
 
     def remember(self, chunks: set[str]) -> None:
         """Learns what is new; what was known before and is not asked for makes room when there is too much."""
-        new = {c for c in chunks if c not in self.cache}
-        if len(new) + len(self.cache) > REMEMBERED:
-            self.cache = {c: self.cache[c] for c in chunks - new}
-        if new:
-            # Nothing made here refers to itself, and looking for cycles in it takes long.
-            gc.disable()
-            try:
-                self.learn(new)
-            finally:
-                gc.enable()
+        new = [c for c in chunks if c not in self.cache]
+        if not new:
+            return
+        self.held += sum(map(len, new))
+        if len(new) + len(self.cache) > REMEMBERED or self.held > CHARACTERS:
+            self.cache = {c: self.cache[c] for c in chunks if c in self.cache}
+            self.held = sum(map(len, chunks))
+        # Nothing made here refers to itself, and looking for cycles in it takes long.
+        gc.disable()
+        try:
+            for at in range(0, len(new), AT_ONCE):
+                self.learn(new[at:at + AT_ONCE])
+        finally:
+            gc.enable()
 
     def encode_batch(self, values: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of four bytes."""
@@ -302,12 +337,15 @@ class WordBpe:
         together: set[str] = set()
         for text in values:
             together.update(text.split(" "))
-        if len(together) <= REMEMBERED:
+        many = len(together) > REMEMBERED or sum(map(len, together)) > CHARACTERS
+        if many:
+            del together
+        else:
             self.remember(together)
         out = []
         for text in values:
             chunks = text.split(" ")
-            if len(together) > REMEMBERED:
+            if many:
                 self.remember(set(chunks))
             out.append(b"".join(map(self.cache.__getitem__, chunks)))
         return out
@@ -368,7 +406,8 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str, ids_col: str) -> Iter
 def encode_bpe(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every row, by the word-end tokenizer file at `path` on each executor.
 
-    Special tokens in a text give their ids. Null and empty texts have no ids; repeated rows keep a
+    Special tokens in a text give their ids; runs between spaces that hold a character newer than
+    Unicode 3.2 are encoded by the tokenizers library, whatever its version of Unicode. Null and empty texts have no ids; repeated rows keep a
     row each; other columns are not read. One pass, no shuffle; a worker remembers a bounded number
     of words, and time is near linear in the length of a text even if it is one word.
     """

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm.samples import ODD, SF
-from strataframe.llm.bpe import decode_bpe, encode_bpe, load
+from strataframe.llm.bpe import WordBpe, decode_bpe, encode_bpe, load
 from strataframe.llm.common import id_bucket
 from strataframe.llm.langid import fit_dictionaries, identify_language
 from strataframe.llm.pii import KINDS, detect_pii, luhn, mod97, redact_pii
@@ -47,6 +47,28 @@ def test_bpe_of_any_text(text):
     assert ids == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("context", ["a%sb", "%s", "e%s"])
+def test_bpe_of_every_code_point(context):
+    # Planes 3 and up hold few characters; beyond the assigned ones a sample of them is enough.
+    points = [*range(1, 0xD800), *range(0xE000, 0x20000), *range(0x20000, 0x110000, 61), *range(0x2A6D0, 0x2A710), *range(0xE0100, 0xE01F0)]
+    bpe = load(WORD_BPE)
+    for at in range(0, len(points), 20_000):
+        cases = [context % chr(c) for c in points[at:at + 20_000]]
+        expected = [e.ids for e in LIBRARY.encode_batch(cases, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<i4").tolist() for x in bpe.encode_batch(cases)] == expected
+
+
+def test_bpe_makes_room(monkeypatch):
+    text = ["one two thr\u0899ee four", "two five six seven", "one " * 5 + "eight nine \U0001fae0 ten"]
+    expected = [LIBRARY.encode(t, add_special_tokens=False).ids for t in text]
+    for words, characters, at_once in ((300, 10, 2), (3, 1000, 1), (10, 30, 3)):
+        for name, value in zip(("REMEMBERED", "CHARACTERS", "AT_ONCE"), (words, characters, at_once)):
+            monkeypatch.setattr(f"strataframe.llm.bpe.{name}", value)
+        bpe = WordBpe(WORD_BPE)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<i4").tolist() for x in bpe.encode_batch(text)] == expected
+
+
 @given(st.lists(st.text("etaoinshrdlu", min_size=1, max_size=30), min_size=1, max_size=20))
 @settings(max_examples=60, deadline=None)
 def test_speculation_changes_nothing(words):
