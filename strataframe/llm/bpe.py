@@ -32,15 +32,13 @@ def byte_alphabet() -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def recent() -> regex.Pattern:
-    """A character that Unicode 3.2 had not assigned.
+def recent() -> np.ndarray:
+    """For each code point, whether Unicode 3.2 had not assigned it.
 
     Libraries follow different later versions, so they compose, lower and class such characters
     differently; what was assigned by then has not changed since.
     """
-    new = [unicodedata.ucd_3_2_0.category(chr(c)) == "Cn" for c in range(0x110000)]
-    edges = np.flatnonzero(np.diff(np.array([False, *new, False]).astype(np.int8)))
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2])) + "]")
+    return np.array([unicodedata.ucd_3_2_0.category(chr(c)) == "Cn" for c in range(0x110000)])
 
 
 class WordBpe:
@@ -288,11 +286,14 @@ class WordBpe:
     def learn(self, new: list[str]) -> None:
         """Adds the ids of new space-delimited chunks to the cache; the library's, where versions of Unicode matter."""
         chunks, joined = new, " ".join(new)
-        if not joined.isascii() and recent().search(joined):
-            odd = {c for c in new if not c.isascii() and recent().search(c)}
-            self.cache.update((c, self.library_ids(c)) for c in odd)
-            chunks = [c for c in new if c not in odd]
-            joined = " ".join(chunks)
+        if not joined.isascii():
+            at = np.flatnonzero(recent()[np.frombuffer(joined.encode("utf-32-le"), "<u4")])
+            if len(at):
+                ends = np.cumsum([len(c) + 1 for c in new])
+                odd = set(np.searchsorted(ends, at, side="right").tolist())
+                self.cache.update((new[i], self.library_ids(new[i])) for i in odd)
+                chunks = [c for i, c in enumerate(new) if i not in odd]
+                joined = " ".join(chunks)
         if not chunks:
             return
         if self.split_special and self.split_special.search(joined):
