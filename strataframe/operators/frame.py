@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from strataframe.functions.scalar import in_time_slots
 from strataframe.functions.text import project, quoted
 from strataframe.schema import natural_key
+from strataframe.session import scratch_path
 
 
 def select_ordered(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -68,14 +70,35 @@ def row_batches(df: DataFrame, position: str, batch_size: int, n_rows: int | Non
     })
 
 
+def prefix_sums(df: DataFrame, order_col: str, value_col: str, name: str = "before", blocks: int = 200) -> DataFrame:
+    """`df` with `name`, the sum of `value_col` over all rows that come earlier in order of `order_col`.
+
+    Two levels: the order is cut into at most `blocks` ranges, sums run inside each, and the totals of
+    the ranges before it are added, so that no task orders the whole table. A row's range depends on
+    its value alone, so any cut gives the same sums. Nulls come first and null values count as zero;
+    rows of equal order follow each other in any order. `df` is evaluated three times.
+    """
+    kind = df.schema[order_col].dataType
+    cut = df.select(order_col).repartitionByRange(blocks, order_col).groupBy(F.spark_partition_id()).agg(F.min(order_col).alias("m"))
+    starts = [F.lit(r["m"]).cast(kind) for r in cut.collect() if r["m"] is not None]
+    block = F.size(F.filter(F.array(*starts), lambda start: start <= F.col(order_col))) if starts else F.lit(0)
+    placed = df.withColumn("_block", block)
+    totals = {r["_block"]: r["t"] or 0 for r in placed.groupBy("_block").agg(F.sum(value_col).alias("t")).collect()}
+    before = list(accumulate((totals.get(i, 0) for i in range(len(starts))), initial=0))
+    earlier = Window.partitionBy("_block").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(value_col).over(earlier), F.lit(0))
+    return placed.withColumn(name, inside + F.array(*map(F.lit, before))[F.col("_block")]).drop("_block")
+
+
 def scan_until(df: DataFrame, batch_col: str, max_rows: int) -> DataFrame:
     """Whole batches in order until more than `max_rows` rows are read; the last one is kept whole.
 
-    Only the table of batch sizes is ordered in one place, never the rows.
+    The table of batch sizes is written once, and its prefix sums are made block by block; rows are
+    never ordered. Rows without a batch count as the first one and are left out.
     """
-    sizes = df.groupBy(batch_col).agg(F.count("*").alias("_n"))
-    earlier = Window.orderBy(batch_col).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    kept = sizes.withColumn("_before", before).filter(F.col("_before") <= max_rows)
+    path = scratch_path(df.sparkSession, "sizes")
+    df.groupBy(batch_col).agg(F.count("*").alias("_n")).write.parquet(path)
+    sizes = df.sparkSession.read.parquet(path)
+    kept = prefix_sums(sizes, batch_col, "_n", "_before").filter(F.col("_before") <= max_rows)
     # The kept batches come first in order, so the last of them is a filter that the scan can use.
     return df.filter(F.col(batch_col) <= kept.agg(F.max(batch_col)).scalar())

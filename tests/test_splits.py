@@ -1,8 +1,10 @@
+import datetime as dt
+
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from strataframe.operators.frame import row_batches, scan_until
+from strataframe.operators.frame import prefix_sums, row_batches, scan_until
 from strataframe.operators.splits import (
     assign_shard_exact, batch_plan, batches, holdout_split, shuffled_position, split_counts)
 from strataframe.sources.shards import (
@@ -25,6 +27,24 @@ def test_scan_until_keeps_the_crossing_batch(spark):
     assert scan_until(rows, "batch_id", 1000).count() == 100
 
 
+@pytest.mark.parametrize("blocks", [1, 3, 40])
+def test_prefix_sums_by_blocks(spark, blocks):
+    days = [None, *(dt.datetime(2020, 1, 1) + dt.timedelta(hours=7 * i) for i in range(57))]
+    rows = [(d, None if i % 9 == 4 else i * i % 13) for i, d in enumerate(days)]
+    for kind in ("timestamp", "timestamp_ntz", "string", "double"):
+        value = F.col("d").cast(kind) if kind != "double" else F.unix_micros(F.col("d").cast("timestamp")).cast("double")
+        df = spark.createDataFrame(rows[::-1], "d timestamp_ntz, n long").select(value.alias("d"), "n").repartition(5)
+        got = prefix_sums(df, "d", "n", blocks=blocks).orderBy("d").collect()
+        assert [r["before"] for r in got] == [sum(n or 0 for _, n in rows[:i]) for i in range(len(rows))]
+    assert prefix_sums(df.limit(0), "d", "n", blocks=blocks).collect() == []
+
+
+def test_scan_until_orders_nothing_in_one_task(spark):
+    plan = prefix_sums(ids(spark, 100).withColumn("n", F.lit(1)), "id", "n")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "SinglePartition" not in plan
+    assert scan_until(ids(spark, 100).filter("id < 0"), "id", 10).count() == 0
+
+
 def test_holdout_orders(spark):
     rows = row_batches(ids(spark, 120), "id", 10)
 
