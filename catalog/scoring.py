@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.registry import query, rounded, table
-from strataframe.operators.scoring import LinearModel, fit_linear, score, score_many
+from strataframe.operators.scoring import (
+    LinearModel, RidgeChoice, fit_linear, fit_linear_cv, score, score_many)
 
 LEVELS = 64
 
@@ -74,3 +75,32 @@ def fitted(spark, sf_dir):
     return rounded(lines.select(
         "l_orderkey", "l_linenumber", "l_partkey", F.lit(slope).alias("slope"), F.lit(intercept).alias("intercept"),
         (F.lit(slope) * F.col("l_quantity") + intercept).alias("fitted")))
+
+
+RIDGES = (0.0, 50.0, 2_000_000.0)
+
+
+@query("fit_linear_cv", f"""
+WITH r AS (SELECT CAST(l_quantity AS DOUBLE) AS a, l_discount * 100 AS b, l_extendedprice / 10000 AS y, l_tax * 100 AS z,
+                  CAST('0x' || substr(md5('42:' || CAST(l_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 3 AS fold FROM lineitem),
+t AS (SELECT g.fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, avg(z) AS mz, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb,
+             covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS by_,
+             covar_pop(a, z) * count(*) AS az, covar_pop(b, z) * count(*) AS bz
+      FROM (SELECT unnest([0, 1, 2]) AS fold) g JOIN r ON r.fold <> g.fold GROUP BY g.fold),
+p AS (SELECT *, (aa + ridge) * (bb + ridge) - ab * ab AS d FROM t, (SELECT unnest({list(RIDGES)}::DOUBLE[]) AS ridge)),
+w AS (SELECT *, (ay * (bb + ridge) - by_ * ab) / d AS ya, (by_ * (aa + ridge) - ay * ab) / d AS yb,
+             (az * (bb + ridge) - bz * ab) / d AS za, (bz * (aa + ridge) - az * ab) / d AS zb FROM p),
+e AS (SELECT ridge, y, z, y - my - ya * (a - ma) - yb * (b - mb) AS ey, z - mz - za * (a - ma) - zb * (b - mb) AS ez
+      FROM r JOIN w USING (fold)),
+s AS (SELECT ridge, avg(ey * ey) AS ye, 1 - avg(ey * ey) / var_pop(y) AS yr, avg(ez * ez) AS ze, 1 - avg(ez * ez) / var_pop(z) AS zr
+      FROM e GROUP BY ridge),
+c AS (SELECT ridge, (yr + zr) = max(yr + zr) OVER () AS chosen, ye, yr, ze, zr FROM s)
+SELECT ridge, 'y' AS "column", round(ye, 6) AS mse, round(yr, 6) AS r2, chosen FROM c
+UNION ALL SELECT ridge, 'z', round(ze, 6), round(zr, 6), chosen FROM c""")
+def chosen(spark, sf_dir):
+    """Three penalties, three folds by order key, errors from the sums of one pass."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_quantity AS a", "l_discount * 100 AS b", "l_extendedprice / 10000 AS y", "l_tax * 100 AS z")
+    found = fit_linear_cv(lines, ["a", "b"], ["y", "z"], RIDGES, "l_orderkey", folds=3)
+    scores = spark.createDataFrame(found.scores, RidgeChoice.SCHEMA)
+    return rounded(scores.withColumn("chosen", F.col("ridge") == found.ridge))

@@ -15,7 +15,8 @@ from strataframe.operators.frame import sort_by_id
 from strataframe.operators.metrics import (
     broken_columns, column_mask, huber_loss, long_pairs, r2_by_column, r2_summary)
 from strataframe.operators.post import collect_constants, override_closed_form, post_process
-from strataframe.operators.scoring import LinearModel, PredictFn, fit_linear, score, score_many
+from strataframe.operators.scoring import (
+    LinearModel, PredictFn, RidgeChoice, fit_linear, fit_linear_cv, score, score_many)
 from strataframe.schema import CLOSED_FORM, ProfileSchema
 from strataframe.sources.files import is_complete, write_csv
 from strataframe.sources.runs import load_predictions, load_scores
@@ -42,6 +43,16 @@ def fit_phase(packed: DataFrame, schema: ProfileSchema, ridge: float = 1.0) -> L
     return fit_linear(packed, _flat_inputs(schema), _flat_labels(schema), ridge)
 
 
+def choose_phase(packed: DataFrame, schema: ProfileSchema, ridges: Sequence[float], out: str,
+                 folds: int = 5, seed: int = 42) -> RidgeChoice:
+    """Ridge baseline with the best of several penalties; their errors by label go to `ridge_scores` below `out`."""
+    found = fit_linear_cv(packed, _flat_inputs(schema), _flat_labels(schema), ridges, schema.id_col, folds, seed)
+    names = dict(zip(_flat_labels(schema), schema.label_columns))
+    rows = [(ridge, names[label], mse, r2, ridge == found.ridge) for ridge, label, mse, r2 in found.scores]
+    save_manifest(packed.sparkSession.createDataFrame(rows, f"{RidgeChoice.SCHEMA}, chosen boolean"), f"{out}/ridge_scores")
+    return found
+
+
 def predict_packed(packed: DataFrame, predict: PredictFn, schema: ProfileSchema) -> DataFrame:
     """(sample_id, every label) for a packed table."""
     return score(packed, predict, _flat_inputs(schema), schema.label_columns, schema.id_col)
