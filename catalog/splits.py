@@ -112,3 +112,16 @@ WHERE split = 'train' AND shard IN (SELECT shard FROM picked)""")
 def sampled(spark, sf_dir):
     path = _exported(spark, sf_dir, "sampled")
     return read_shards(spark, path, "train", 3, seed=7).select("shard", "o_orderkey")
+
+
+@query("export_shards_exact", f"""
+WITH {BY_NUMBER}, n AS (
+  SELECT split, o_orderkey, row_number() OVER (PARTITION BY split ORDER BY {MD5}, o_orderkey) - 1 AS position,
+         count(*) OVER (PARTITION BY split) AS n FROM s)
+SELECT split, CAST(position * CASE split WHEN 'train' THEN 8 ELSE 2 END // n AS INTEGER) AS shard, o_orderkey FROM n""")
+def exported_exact(spark, sf_dir):
+    """Shards that differ by one row at most."""
+    path = scratch_path(spark, "exact")
+    rows = holdout_split(_batched(spark, sf_dir), 5).select("o_orderkey", "split")
+    export_shards(rows, path, "o_orderkey", COUNTS, rows_per_file=500, balance="exact")
+    return scan_parquet(spark, path).select("split", "shard", "o_orderkey")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from strataframe.operators.post import collect_constants
-from strataframe.plans.infer import ensemble_phase, fit_phase, load_model, save_model, submit_run, validate_phase
+from strataframe.plans.infer import (
+    choose_phase, ensemble_phase, fit_phase, load_model, save_model, submit_run, validate_phase)
 from strataframe.plans.prepare import export_phase, generate_phase, split_phase, statistics_phase
 from strataframe.schema import ATMOSPHERE, UNUSED_LABELS
 from strataframe.session import build_session
@@ -48,7 +49,8 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     export.add_argument("--order", choices=("numeric", "lexicographic"), default="numeric")
     export.add_argument("--seed", type=int, default=42)
     fit = phase("fit", "ridge baseline on the training shards")
-    fit.add_argument("--ridge", type=float, default=1.0)
+    fit.add_argument("--ridge", type=float, nargs="+", default=[1.0], help="several: the best is chosen by cross-validation")
+    fit.add_argument("--folds", type=int, default=5)
     validate = phase("validate", "evaluation table and scores of a run; keeps the best")
     validate.add_argument("--monitor", choices=("val_r2", "r2_broken", "val_loss"), default="val_r2")
     validate.add_argument("--mode", choices=("max", "min"), default="max")
@@ -94,7 +96,11 @@ def main(argv: list[str] | None = None) -> None:
         export_phase(spark, args.out, args.dataset, schema, args.num_val, args.order, seed=args.seed, overwrite=args.overwrite)
     elif args.phase == "fit":
         train = read_shards(spark, f"{args.out}/{args.dataset}/shards", "train")
-        save_model(spark, fit_phase(train, schema, args.ridge), f"{args.run}/model")
+        if len(args.ridge) > 1:
+            model = choose_phase(train, schema, args.ridge, args.run, args.folds).model
+        else:
+            model = fit_phase(train, schema, args.ridge[0])
+        save_model(spark, model, f"{args.run}/model")
     elif args.phase == "validate":
         rows = read_shards(spark, f"{args.out}/{args.dataset}/shards", "val")
         model = load_model(spark, f"{args.run}/model")

@@ -234,7 +234,7 @@ def export_phase(spark: SparkSession, out: str, dataset: str, schema: ProfileSch
     test = scan_parquet(spark, f"{out}/{dataset}/processed_test").withColumn("split", F.lit("test"))
     rows = train.select(*columns, "split").unionByName(test, allowMissingColumns=True)
     sizes = export_shards(rows, f"{out}/{dataset}/shards", schema.id_col, shards, seed,
-                          if_exists="overwrite" if overwrite else "skip")
+                          if_exists="overwrite" if overwrite else "skip", balance="exact")
     save_manifest(spark.createDataFrame(list(sizes.items()), "split string, n long"),
                   f"{out}/{dataset}/data_size")
     return sizes

@@ -9,7 +9,7 @@ from strataframe.__main__ import parse, read_weights
 from strataframe.functions.scaling import collect_stats
 from strataframe.operators.stats import column_stats, quality_check
 from strataframe.plans.infer import (
-    ensemble_phase, fit_phase, load_model, predict_packed, save_model, submit_phase, submit_run, unpacked_labels, validate_phase)
+    choose_phase, ensemble_phase, fit_phase, load_model, predict_packed, save_model, submit_phase, submit_run, unpacked_labels, validate_phase)
 from strataframe.plans.prepare import build_dataset, export_phase, generate_phase, pack_scaled, split_phase, statistics_phase
 from strataframe.schema import ProfileSchema
 from strataframe.sources.files import write_csv
@@ -199,3 +199,16 @@ def test_build_equals_wide_features(spark, world):
     built = build_dataset(raw, lookup, column_stats(raw, SMALL.input_columns + SMALL.label_columns), SMALL)
     assert unpacked_labels(built, SMALL).columns == ["sample_id", *SMALL.label_columns]
     assert predict_packed(built, lambda x: np.zeros((len(x), 4)), SMALL).count() == N
+
+
+def test_penalty_chosen_by_folds(spark, world, tmp_path):
+    base, *_ = world
+    fit = read_shards(spark, f"{base}/v1/shards", "train")
+    found = choose_phase(fit, SMALL, [0.001, 1e5], str(tmp_path), folds=3)
+    assert found.ridge == 0.001
+    rows = spark.read.parquet(f"{tmp_path}/ridge_scores").collect()
+    assert {(r["ridge"], r["column"]) for r in rows} == {(p, c) for p in (0.001, 1e5) for c in SMALL.label_columns}
+    assert all(r["chosen"] == (r["ridge"] == 0.001) for r in rows)
+    assert all(r["r2"] > 0.99 for r in rows if r["chosen"])
+    args = parse(["fit", "--out", "o", "--run", "r", "--ridge", "0.1", "10"])
+    assert args.ridge == [0.1, 10.0] and parse(["fit", "--out", "o", "--run", "r"]).ridge == [1.0]

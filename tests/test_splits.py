@@ -8,7 +8,7 @@ from strataframe.operators.frame import prefix_sums, row_batches, scan_until
 from strataframe.operators.splits import (
     assign_shard_exact, batch_plan, batches, holdout_split, shuffled_position, split_counts)
 from strataframe.sources.shards import (
-    export_shards, methods_from_table, methods_table, pick_shards, read_shards, scaled_row_count)
+    _exact_places, export_shards, methods_from_table, methods_table, pick_shards, read_shards, scaled_row_count)
 
 
 def ids(spark, n):
@@ -129,3 +129,33 @@ def test_counts_and_methods(spark):
     assert {tuple(r) for r in split_counts(rows).collect()} == {("train", 7), ("val", 3)}
     methods = {"standard": ["b", "a"], "robust": [], "exp": None}
     assert methods_from_table(methods_table(spark, methods)) == {"standard": ["b", "a"]}
+
+
+@pytest.mark.parametrize("rows_per_file", [37, 200, 100_000])
+def test_exact_export(spark, tmp_path, rows_per_file):
+    n = 2999
+    rows = holdout_split(row_batches(ids(spark, n), "id", 100), 5).select("sample_id", "id", "split")
+    path = str(tmp_path / "shards")
+    sizes = export_shards(rows, path, "sample_id", {"train": 7, "val": 3}, rows_per_file=rows_per_file, balance="exact")
+    back = spark.read.parquet(path)
+    assert back.count() == n == sum(sizes.values()) and back.select("id").distinct().count() == n
+    for split, shards in (("train", 7), ("val", 3)):
+        found = [r["count"] for r in back.filter(F.col("split") == split).groupBy("shard").count().collect()]
+        assert len(found) == shards and max(found) - min(found) <= 1
+    # Shards hold the shuffled order in equal runs.
+    digest = F.md5(F.concat(F.lit("42:"), "sample_id"))
+    spans = back.filter("split = 'train'").groupBy("shard").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).orderBy("shard").collect()
+    assert all(a["high"] < b["low"] for a, b in zip(spans, spans[1:]))
+
+
+def test_exact_export_shuffles_rows_once(spark):
+    rows = ids(spark, 2999).withColumn("split", F.lit("train"))
+    placed, parts = _exact_places(rows, "sample_id", {"train": 4}, {"train": 2999}, 42, 200)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert parts == 16
+    # One exchange of whole rows by range; the others belong to the counts of ranges, which are broadcast.
+    wide = [line for line in plan.splitlines() if "Exchange" in line and "sample_id" not in line and "REPARTITION" in line]
+    assert len(wide) == 1, plan
+    assert "SortMergeJoin" not in plan
+    with pytest.raises(ValueError, match="balance"):
+        export_shards(rows, "unused", "sample_id", balance="even")
