@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from catalog.registry import SAMPLE_COLUMNS, SAMPLES, query, r6, rounded, samples, stats_sql, table
 from strataframe.operators.frame import row_batches
 from strataframe.operators.splits import batch_plan, holdout_split, split_counts
+from strataframe.operators.states import add_states, merge_states, read_states
 from strataframe.operators.stats import (
     MATRIX_ROWS, column_stats, describe, exp_rate, group_mean, level_stats, long_values,
     quality_report, stats_matrix)
 from strataframe.functions.scaling import STAT_NAMES
+from strataframe.session import scratch_path
 
 
 def _long_sql(column: str) -> str:
@@ -55,6 +57,28 @@ def stats_approx(spark, sf_dir):
     return rounded(found.drop("q1", "q2", "q3").join(ranks, "column"))
 
 
+@query("batch_states", f"""
+WITH {SAMPLES}, b AS (SELECT *, o_orderkey // 1000 AS batch_id FROM samples),
+v AS (SELECT DISTINCT batch_id FROM b ORDER BY batch_id DESC LIMIT 3),
+kept AS (SELECT * FROM b WHERE batch_id NOT IN (SELECT batch_id FROM v)), {stats_sql('kept', SAMPLE_COLUMNS)} """ + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", " + ", ".join(f'round({c}__{s}, 6) AS "{s}"' for s in STAT_NAMES if s not in ("q1", "q2", "q3"))
+    + ", TRUE AS q1_near, TRUE AS q2_near, TRUE AS q3_near FROM st" for c in SAMPLE_COLUMNS))
+def kept_states(spark, sf_dir):
+    """States of the even batches, then of the rest; all but the last three batches come from the states alone."""
+    path = scratch_path(spark, "states")
+    rows = row_batches(samples(spark, sf_dir), "o_orderkey", 1000)
+    add_states(rows.filter("batch_id % 2 = 0"), path, SAMPLE_COLUMNS)
+    add_states(rows, path, SAMPLE_COLUMNS)
+    last = rows.select("batch_id").distinct().orderBy(F.desc("batch_id")).limit(3)
+    states = read_states(spark, path)
+    found = merge_states(states.join(F.broadcast(last), "batch_id", "left_anti"))
+    kept = rows.join(F.broadcast(last), "batch_id", "left_anti")
+    ranks = long_values(kept, SAMPLE_COLUMNS).join(F.broadcast(found.select("column", "q1", "q2", "q3")), "column").groupBy("column").agg(*[
+        (F.avg((F.col("x") < F.col(f"q{i}")).cast("int")) <= i / 4 + 0.02).__and__(
+            F.avg((F.col("x") <= F.col(f"q{i}")).cast("int")) >= i / 4 - 0.02).alias(f"q{i}_near") for i in (1, 2, 3)])
+    return rounded(found.drop("q1", "q2", "q3").join(ranks, "column"))
+
+
 @query("column_stats_vec", f"""
 WITH x AS (SELECT 'embedding_' || (generate_subscripts(embedding, 1) - 1) AS "column",
                   CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)

@@ -39,7 +39,8 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     stats = phase("statistics", "statistics of every column")
     stats.add_argument("--num-val", type=int, default=NUM_VAL, help="batches to hold back, the same as in export")
     stats.add_argument("--order", choices=("numeric", "lexicographic"), default="numeric")
-    stats.add_argument("--quantile", choices=("radix", "approx", "exact"), default="approx")
+    stats.add_argument("--quantile", choices=("radix", "approx", "exact", "states"), default="approx",
+                       help="states: kept by batch, so that later calls read new batches only")
     generate = phase("generate", "lookup, features, scaling, packing")
     generate.add_argument("--lookup", required=True)
     generate.add_argument("--location-col", required=True, help="location id column of the lookup file")

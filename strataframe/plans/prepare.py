@@ -18,6 +18,7 @@ from strataframe.operators.frame import cast_floats, row_batches, sort_by_id
 from strataframe.operators.joins import (
     MIN_HOT_ROWS, Tier, lookup_join, prefiltered_build, tiered_lookup_join)
 from strataframe.operators.splits import holdout_split
+from strataframe.operators.states import add_states, merge_states, read_states
 from strataframe.operators.stats import CHUNK, column_stats, is_bad, quality_check, stats_matrix
 from strataframe.schema import (
     FALLBACK_DIGITS, FALLBACK_HOURS, LOOKUP_KEY, SAMPLES_PER_YEAR, TEST_YEAR, ProfileSchema,
@@ -112,13 +113,23 @@ def statistics_phase(spark: SparkSession, out: str, schema: ProfileSchema, num_v
     """Statistics of inputs and labels in long form, and the nine-row matrix beside them.
 
     With `num_val`, the last batches by `order` are held back, so that validation rows do not leak
-    in; export takes the same two.
+    in; export takes the same two. `quantile="states"` keeps a state per batch below `stats_states`: a
+    further call reads only batches that it has not seen, and another holdout reads none.
     """
     raw = scan_parquet(spark, f"{out}/raw_train")
-    if num_val:
-        raw = holdout_split(raw, num_val, order).filter(F.col("split") == "train")
     columns = schema.input_columns + schema.label_columns
-    stats = column_stats(raw, columns, quantile, chunk)
+    if quantile == "states":
+        add_states(raw, f"{out}/stats_states", columns, chunk=chunk)
+        states = read_states(spark, f"{out}/stats_states")
+        if num_val:
+            spans = raw.select(*BATCH).distinct()
+            train = holdout_split(spans, num_val, order).filter(F.col("split") == "train").select("batch_id")
+            states = states.join(train, "batch_id", "left_semi")
+        stats = merge_states(states)
+    else:
+        if num_val:
+            raw = holdout_split(raw, num_val, order).filter(F.col("split") == "train")
+        stats = column_stats(raw, columns, quantile, chunk)
     write_parquet(stats, f"{out}/stats", if_exists="overwrite")
     stats = scan_parquet(spark, f"{out}/stats")
     write_parquet(stats_matrix(stats, columns).repartition(1), f"{out}/stats_matrix", if_exists="overwrite")
