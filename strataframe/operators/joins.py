@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,17 +20,36 @@ HotKeys = list[tuple[object, int]]
 
 
 def hot_keys(df: DataFrame, on: str, min_hot_rows: int = MIN_HOT_ROWS) -> HotKeys:
-    """(key, number of parts) of the largest keys. Reads the key column, combined map-side."""
-    counts = df.groupBy(on).agg(F.count("*").alias("_n"))
-    return [(row[on], row["_parts"]) for row in _largest(counts, min_hot_rows)]
+    """(key, number of parts) of the largest keys. Reads the key column, combined map-side.
+
+    A table with no more rows than a hot key must have holds none, which its row count tells.
+    """
+    if df.count() <= min_hot_rows:
+        return []
+    found = _largest(df.groupBy(on).agg(F.count("*").alias("_n")), min_hot_rows)
+    return [(row[on], row["_parts"]) for row in found.collect()]
 
 
-def _largest(counts: DataFrame, min_hot_rows: int) -> list[Row]:
+def _largest(counts: DataFrame, min_hot_rows: int) -> DataFrame:
     """All rows of `counts` above both limits, with their number of parts."""
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
     least = F.greatest(F.lit(min_hot_rows).cast("double"), total / F.lit(MAX_HOT))
     parts = F.ceil(F.col("_n") / least).alias("_parts")
-    return counts.filter(F.col("_n") > least).select("*", parts).collect()
+    return counts.filter(F.col("_n") > least).select("*", parts)
+
+
+def _hot_keys_and_asked(df: DataFrame, key: str, ask: Callable[[DataFrame], DataFrame], asked: str,
+                        min_hot_rows: int) -> tuple[HotKeys, HotKeys]:
+    """Hot keys of the rows, and hot `asked` values of their distinct keys, from one count of the keys."""
+    if df.count() <= min_hot_rows:
+        return [], []
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    of_keys = ask(counts.filter(F.col(key).isNotNull())).groupBy(asked).agg(F.count("*").alias("_n"))
+    both = (_largest(counts, min_hot_rows).select(F.lit(True).alias("_of_rows"), key, "_parts")
+            .unionByName(_largest(of_keys, min_hot_rows).select(F.lit(False).alias("_of_rows"), asked, "_parts"), allowMissingColumns=True))
+    found = both.collect()
+    return ([(row[key], row["_parts"]) for row in found if row["_of_rows"]],
+            [(row[asked], row["_parts"]) for row in found if not row["_of_rows"]])
 
 
 def left_join_unique(df: DataFrame, right: DataFrame, on: str, spread_by: Sequence[str],
@@ -123,8 +142,8 @@ def tiered_lookup_join(df: DataFrame, lookup: DataFrame, key: str, tiers: Sequen
 
     Tiers are resolved for the distinct keys, not for the rows, and all tiers together: a key meets
     the lookup once per tier, as (tier, rounded key), and keeps its first match. The wide rows then
-    move once, in the join with the resolved keys. Hot keys, exact and rounded, are counted up front
-    in two small jobs.
+    move once, in the join with the resolved keys. Hot keys, exact and rounded, come from one count of
+    the key column, which tables below `min_hot_rows` rows do without.
     """
     values = [c for c in lookup.columns if c != key]
 
@@ -141,17 +160,21 @@ def tiered_lookup_join(df: DataFrame, lookup: DataFrame, key: str, tiers: Sequen
         return F.concat(F.lit(f"{number}:"), rounded.cast("string"))
 
     numbers = range(1, len(tiers) + 1)
-    keys = df.filter(F.col(key).isNotNull()).select(key).distinct()
-    asked = keys.select(key, F.inline(F.array(*[
-        F.struct(F.lit(n).alias("_tier"), tier_key(n).alias("_tier_key")) for n in numbers])))
+
+    def ask(keys: DataFrame) -> DataFrame:
+        return keys.select(key, F.inline(F.array(*[
+            F.struct(F.lit(n).alias("_tier"), tier_key(n).alias("_tier_key")) for n in numbers])))
+
+    hot, hot_asked = _hot_keys_and_asked(df, key, ask, "_tier_key", min_hot_rows)
+    asked = ask(df.filter(F.col(key).isNotNull()).select(key).distinct())
     sources = [(restrict(lookup) if restrict else lookup).withColumn("_tier_key", tier_key(n)).drop(key)
                for n, (_, restrict) in zip(numbers, tiers)]
     unique = unique_lookup(union_all(sources), F.col("_tier_key"), "_tier_key", values, on_duplicate, order)
-    met = left_join_unique(asked, unique, "_tier_key", [key], hot_keys(asked, "_tier_key", min_hot_rows))
+    met = left_join_unique(asked, unique, "_tier_key", [key], hot_asked)
     resolved = (met.filter(F.col("_rows").isNotNull()).groupBy(key)
                 .agg(F.min("_tier").alias("match_tier"), F.min_by(F.struct("_rows", *values), "_tier").alias("_hit"))
                 .select(key, "match_tier", "_hit.*"))
-    joined = left_join_unique(df, resolved, key, [id_col], hot_keys(df, key, min_hot_rows))
+    joined = left_join_unique(df, resolved, key, [id_col], hot)
     joined = joined.select(*df.columns, *values, "match_tier", "_rows")
     return _guarded(joined, "match_tier", key, on_miss, on_duplicate).drop("_rows")
 
