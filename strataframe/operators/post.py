@@ -30,7 +30,11 @@ def _fill(exprs: Exprs, broken: Iterable[str], means: Mapping[str, float]) -> Ex
     return {**exprs, **{c: number(means[c]) for c in broken}}
 
 
-def _clip(exprs: Exprs, columns: Iterable[str], lower: float) -> Exprs:
+def _clip(exprs: Exprs, columns: Iterable[str], lower: float, on_absent: str = "error") -> Exprs:
+    columns = list(columns)
+    absent = [c for c in columns if c not in exprs]
+    if absent and on_absent == "error":
+        raise ValueError(f"no predictions for clipped columns {absent}")
     return {**exprs, **{
         c: f"CASE WHEN {exprs[c]} IS NOT NULL THEN greatest({exprs[c]}, {number(lower)}) END"
         for c in columns if c in exprs}}
@@ -61,8 +65,12 @@ def fill_broken(df: DataFrame, broken: Iterable[str], means: Mapping[str, float]
     return project(df, _fill(_columns(df), broken, means))
 
 
-def clip_columns(df: DataFrame, columns: Iterable[str] = NON_NEGATIVE, lower: float = 0.0) -> DataFrame:
-    return project(df, _clip(_columns(df), columns, lower))
+def clip_columns(df: DataFrame, columns: Iterable[str] = NON_NEGATIVE, lower: float = 0.0,
+                 on_absent: str = "skip") -> DataFrame:
+    """No value of `columns` below `lower`; nulls stay. Absent columns are passed over, or stop the job (`error`)."""
+    if on_absent not in ("skip", "error"):
+        raise ValueError(f"on_absent is 'skip' or 'error', not {on_absent!r}")
+    return project(df, _clip(_columns(df), columns, lower, on_absent))
 
 
 def apply_weights(df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
@@ -90,7 +98,7 @@ def post_process(df: DataFrame, methods: Mapping[str, Iterable[str] | None], sta
                  id_col: str = "sample_id") -> DataFrame:
     """Reverse scaling, fill, clip, closed form, weights and column order, in that sequence.
 
-    One projection, after one join if `inputs` is given. The order of `weights` is the order of
+    Columns to clip, like weighted ones, must exist. One projection, after one join if `inputs` is given. The order of `weights` is the order of
     the result's columns.
     """
     exprs = scale_expressions(_columns(df), methods, stats, reverse=True)

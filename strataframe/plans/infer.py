@@ -17,7 +17,7 @@ from strataframe.operators.metrics import (
 from strataframe.operators.post import collect_constants, override_closed_form, post_process
 from strataframe.operators.scoring import (
     LinearModel, PredictFn, RidgeChoice, fit_linear, fit_linear_cv, score, score_many)
-from strataframe.schema import CLOSED_FORM, ProfileSchema
+from strataframe.schema import CLOSED_FORM, NON_NEGATIVE, ProfileSchema
 from strataframe.sources.files import is_complete, write_csv
 from strataframe.sources.runs import load_predictions, load_scores
 from strataframe.sources.shards import methods_from_table, save_manifest
@@ -126,6 +126,11 @@ def load_model(spark: SparkSession, path: str) -> LinearModel:
     return LinearModel(weights=np.array(rows[1:]), bias=np.array(rows[0]))
 
 
+def _clipped(schema: ProfileSchema) -> list[str]:
+    """The labels of the schema that cannot be negative."""
+    return [c for c in NON_NEGATIVE if c in set(schema.label_columns)]
+
+
 def submit_run(spark: SparkSession, out: str, dataset: str, run: str, models: Mapping[str, PredictFn],
                schema: ProfileSchema, weights: Mapping[str, float],
                mapping: Mapping[str, str] = CLOSED_FORM) -> None:
@@ -144,7 +149,7 @@ def submit_run(spark: SparkSession, out: str, dataset: str, run: str, models: Ma
     raw_test = spark.read.parquet(f"{out}/raw_test")
     for name in models:
         preds = spark.read.parquet(f"{run}/predictions").filter(F.col("model") == name).drop("model")
-        final = post_process(preds, methods, stats, broken, means, weights, raw_test, mapping=mapping, id_col=schema.id_col)
+        final = post_process(preds, methods, stats, broken, means, weights, raw_test, _clipped(schema), mapping, id_col=schema.id_col)
         write_csv(sort_by_id(final, schema.id_col), f"{run}/submission_{name}", [schema.id_col, *weights])
 
 
@@ -156,7 +161,7 @@ def submit_phase(packed_test: DataFrame, raw_test: DataFrame, predict: PredictFn
     """Predictions of one run, post-processed, sorted by id, as the submission CSV."""
     preds = predict_packed(packed_test, predict, schema)
     final = post_process(preds, methods, stats, broken, label_means, weights, raw_test,
-                         mapping=mapping, id_col=schema.id_col)
+                         _clipped(schema), mapping, id_col=schema.id_col)
     write_csv(sort_by_id(final, schema.id_col), out, [schema.id_col, *weights])
 
 

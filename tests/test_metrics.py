@@ -143,3 +143,13 @@ def test_evaluation_table(spark):
     assert table.columns == ["sample_id_label", "a_label", "a"]
     long = long_pairs(table, ["a"], "sample_id_label")
     assert {tuple(r) for r in long.collect()} == {("s1", "a", 1, 4), ("s2", "a", 2, 5)}
+
+
+def test_post_process_needs_clipped_columns(spark):
+    df = spark.createDataFrame([("s", -1.0)], "sample_id string, a double")
+    with pytest.raises(ValueError, match="absent"):
+        clip_columns(df, ["a", "absent"], on_absent="error")
+    with pytest.raises(ValueError, match="absent"):
+        post_process(df, {}, STATS, [], {}, {"a": 1.0}, clipped=["absent"])
+    with pytest.raises(ValueError, match="on_absent"):
+        clip_columns(df, ["a"], on_absent="maybe")
