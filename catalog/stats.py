@@ -58,7 +58,7 @@ def stats_approx(spark, sf_dir):
 
 
 @query("batch_states", f"""
-WITH {SAMPLES}, b AS (SELECT *, o_orderkey // 1000 AS batch_id FROM samples),
+WITH {SAMPLES}, b AS (SELECT *, o_orderkey // 250 AS batch_id FROM samples),
 v AS (SELECT DISTINCT batch_id FROM b ORDER BY batch_id DESC LIMIT 3),
 kept AS (SELECT * FROM b WHERE batch_id NOT IN (SELECT batch_id FROM v)), {stats_sql('kept', SAMPLE_COLUMNS)} """ + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", " + ", ".join(f'round({c}__{s}, 6) AS "{s}"' for s in STAT_NAMES if s not in ("q1", "q2", "q3"))
@@ -66,7 +66,7 @@ kept AS (SELECT * FROM b WHERE batch_id NOT IN (SELECT batch_id FROM v)), {stats
 def kept_states(spark, sf_dir):
     """States of the even batches, then of the rest; all but the last three batches come from the states alone."""
     path = scratch_path(spark, "states")
-    rows = row_batches(samples(spark, sf_dir), "o_orderkey", 1000)
+    rows = row_batches(samples(spark, sf_dir), "o_orderkey", 250)
     add_states(rows.filter("batch_id % 2 = 0"), path, SAMPLE_COLUMNS)
     add_states(rows, path, SAMPLE_COLUMNS)
     last = rows.select("batch_id").distinct().orderBy(F.desc("batch_id")).limit(3)
