@@ -173,15 +173,20 @@ def _raw_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lookup join, calendar columns, statistics, scaling, cast, packing: the processed table."""
+    """Lookup join, calendar columns, statistics, scaling, cast, packing: the processed table.
+
+    The lookup is by `s_id`, which belongs to one sample; single components of the vectors meet by chance
+    among ten thousand. A sample without a vector has no lookup row.
+    """
     raw = _raw_profiles(spark, sf_dir)
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), "ts")
-    lookup = table(spark, sf_dir, "embeddings").join(events, "vec_id").select(
-        F.col("embedding")[2].cast("double").alias("emb_2"), F.col("label").cast("long").alias("location"),
+    known = table(spark, sf_dir, "embeddings").filter(F.col("embedding")[2].isNotNull())
+    lookup = known.join(events, "vec_id").select(
+        (F.col("vec_id") / 100).alias("s_id"), F.col("label").cast("long").alias("location"),
         F.col("ts").alias("timestamp"), (F.col("vec_id") % 181 - 90).cast("double").alias("lat"),
         (F.col("vec_id") % 360).cast("double").alias("lon"))
     stats = column_stats(raw, DATASET.input_columns)
-    return build_dataset(raw, lookup, stats, DATASET, key="emb_2", samples_per_year=100)
+    return build_dataset(raw, lookup, stats, DATASET, key="s_id", samples_per_year=100)
 
 
 @query("build_dataset", """
