@@ -58,8 +58,9 @@ def _moments(x: np.ndarray, floor_at: float) -> tuple:
     nan = np.isnan(x)
     with np.errstate(over="ignore", invalid="ignore"):  # squares beyond all doubles are infinite, as in SQL
         squares = float(np.square(x - mean).sum()), float(np.square(x).sum())
-    high = float("nan") if nan.any() else float(x.max())
-    low = float(x[~nan].min()) if not nan.all() else float("nan")
+    # Adding zero makes both zeros alike, as in the bits: which of them is the extreme would depend on the rows' order.
+    high = float("nan") if nan.any() else float(x.max()) + 0.0
+    low = float(x[~nan].min()) + 0.0 if not nan.all() else float("nan")
     return len(x), mean, squares[0], low, high, len(positive), float(positive.sum()), squares[1]
 
 

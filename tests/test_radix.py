@@ -70,3 +70,10 @@ def test_nan_is_the_largest(spark):
     r = column_stats(df, ["x"]).first()
     assert (r["min"], r["q1"], r["q2"], r["q3"]) == (float("-inf"), 1.0, 2.0, 3.0) and math.isnan(r["max"])
     assert column_stats(df.limit(0), ["x"]).first()["q1"] is None
+
+
+def test_zeros_are_alike(spark):
+    rows = [spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1) for xs in ([-0.0, -0.0], [-0.0, 0.0], [0.0, -0.0])]
+    for df in rows:
+        r = column_stats(df, ["x"]).first()
+        assert [repr(r[c]) for c in ("min", "q1", "q2", "q3", "max")] == ["0.0"] * 5
