@@ -60,17 +60,19 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def write_parquet(df: DataFrame, path: str, if_exists: str = "skip",
-                  partition_by: Sequence[str] = (), dictionary: bool = True) -> bool:
+                  partition_by: Sequence[str] = (), dictionary: bool = True, rows_per_file: int = 0) -> bool:
     """Parquet sink. `skip` keeps finished output and replaces what a failed job left behind.
 
     Switch `dictionary` off for tables of measured values: they hardly repeat, and building
-    dictionaries for a thousand columns costs time and space. Returns whether anything was written.
+    dictionaries for a thousand columns costs time and space. A task starts another file after
+    `rows_per_file` rows, if given. Returns whether anything was written.
     """
     if if_exists not in ("skip", "overwrite"):
         raise ValueError(f"if_exists is 'skip' or 'overwrite', not {if_exists!r}")
     if if_exists == "skip" and is_complete(df.sparkSession, path):
         return False
-    (df.write.mode("overwrite").partitionBy(*partition_by)
+    limit = {"maxRecordsPerFile": rows_per_file} if rows_per_file else {}
+    (df.write.mode("overwrite").partitionBy(*partition_by).options(**limit)
      .option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path))
     return True
 

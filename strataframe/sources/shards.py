@@ -15,6 +15,9 @@ from strataframe.sources.files import is_complete, write_parquet
 SHARDS = {"train": 100, "val": 5, "test": 1}
 # Ranges of the shuffle key that are counted at most, over all splits: their counts are broadcast.
 MOST_RANGES = 1 << 20
+# Small files share a task: above FEW_TASKS tasks, there is none for fewer than TASK_ROWS rows, as each sends its
+# metrics to the driver.
+FEW_TASKS, TASK_ROWS = 256, 200_000
 
 
 def export_shards(df: DataFrame, path: str, id_col: str, shards: Mapping[str, int] = SHARDS,
@@ -24,8 +27,9 @@ def export_shards(df: DataFrame, path: str, id_col: str, shards: Mapping[str, in
     """Write `df` (with a column `split`) below split=/shard= folders; returns rows per split.
 
     One shuffle. A shard is cut into as many files as its row count needs, so no task holds a
-    whole shard; within a shard the files and their rows follow the shuffle key. Splits that
-    are not shuffled are ordered by id inside each file.
+    whole shard of more rows than a task takes; within a shard the files and their rows follow the shuffle
+    key. Many small files are written by fewer tasks, each for neighbouring ones. Splits that are not
+    shuffled are ordered by id inside each file.
 
     `balance="hash"` places a row by the hash of its id, so shards are even in expectation.
     `balance="exact"` cuts the shuffled order of a split into equal runs, so that its shards differ by
@@ -45,11 +49,13 @@ def export_shards(df: DataFrame, path: str, id_col: str, shards: Mapping[str, in
     shuffled = set(shuffled)
     place = _exact_places if balance == "exact" else _hash_places
     placed, n_parts = place(df, id_col, shards, sizes, seed, rows_per_file)
+    # A task of one part writes it whole; one of several cuts them again.
+    most_rows = rows_per_file if _tasks(n_parts, sizes) < n_parts else 0
     order = F.when(F.col("split").isin(sorted(shuffled)), F.substring(F.col("_key"), *ORDER_DIGITS[balance]))
     placed = (placed.withColumn("_order", F.coalesce(order, F.col(id_col).cast("string")))
               .sortWithinPartitions("split", "shard", "_order")
               .select(*[c for c in df.columns if c != "split"], "split", "shard"))
-    write_parquet(placed, path, "overwrite", ("split", "shard"), dictionary=False)
+    write_parquet(placed, path, "overwrite", ("split", "shard"), dictionary=False, rows_per_file=most_rows)
     return sizes
 
 
@@ -61,9 +67,20 @@ def _files(size: int, n_shards: int, rows_per_file: int) -> int:
     return max(1, ceil(size / n_shards / rows_per_file))
 
 
+def _tasks(n_parts: int, sizes: Mapping[str, int]) -> int:
+    return max(1, min(n_parts, max(FEW_TASKS, ceil(sum(sizes.values()) / TASK_ROWS))))
+
+
+def _by_task(df: DataFrame, n_parts: int, sizes: Mapping[str, int]) -> DataFrame:
+    """Rows shuffled by `_part`, each task with a run of parts, whose number is under `_task`."""
+    n_tasks = _tasks(n_parts, sizes)
+    task = F.expr(f"CAST(CAST(_part AS BIGINT) * {n_tasks} div {max(1, n_parts)} AS INT)")
+    return df.withColumn("_task", task).repartitionById(n_tasks, F.col("_task"))
+
+
 def _hash_places(df: DataFrame, id_col: str, shards: Mapping[str, int], sizes: Mapping[str, int], seed: int,
                  rows_per_file: int) -> tuple[DataFrame, int]:
-    """Rows with `shard` and `_key`, partitioned by file, and the number of partitions."""
+    """Rows with `shard` and `_key`, partitioned by runs of files, and the number of files."""
     key = shuffle_key(F.col(id_col), seed)
     shard = part = F.lit(None)
     offset = 0
@@ -79,7 +96,7 @@ def _hash_places(df: DataFrame, id_col: str, shards: Mapping[str, int], sizes: M
         part = F.when(here, (F.lit(offset) + shard_id * files + piece).cast("int")).otherwise(part)
         offset += n_shards * files
     placed = df.withColumns({"shard": shard, "_part": part, "_key": key})
-    return placed.repartitionById(max(offset, 1), F.col("_part")), offset
+    return _by_task(placed, offset, sizes), offset
 
 
 def _exact_places(df: DataFrame, id_col: str, shards: Mapping[str, int], sizes: Mapping[str, int], seed: int,
@@ -108,9 +125,8 @@ def _exact_places(df: DataFrame, id_col: str, shards: Mapping[str, int], sizes:
             chosen = F.when(F.col("split") == split, F.lit(value).cast("long")).otherwise(chosen)
         return chosen
 
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_key", id_col))
-    ranked = (df.withColumns({"_part": part, "_key": key})
-              .repartitionById(max(last, 1), F.col("_part")).withColumn("_rank", rank))
+    rank = F.row_number().over(Window.partitionBy("_task", "_part").orderBy("_key", id_col))
+    ranked = _by_task(df.withColumns({"_part": part, "_key": key}), last, sizes).withColumn("_rank", rank)
     position = F.col("_before") + F.col("_rank") - 1
     shard = F.expr("_position * _shards div _rows").cast("int")
     placed = ranked.join(F.broadcast(before), "_part").withColumns({

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strataframe.operators.frame import prefix_sums, row_batches, scan_until
 from strataframe.operators.splits import (
     assign_shard_exact, batch_plan, batches, holdout_split, shuffled_position, split_counts)
+from strataframe.sources import shards
 from strataframe.sources.shards import (
     _exact_places, export_shards, methods_from_table, methods_table, pick_shards, read_shards, scaled_row_count)
 
@@ -148,6 +149,25 @@ def test_exact_export(spark, tmp_path, rows_per_file):
     assert all(a["high"] < b["low"] for a, b in zip(spans, spans[1:]))
 
 
+@pytest.mark.parametrize("balance", ["exact", "hash"])
+def test_small_files_share_tasks(spark, tmp_path, monkeypatch, balance):
+    rows = ids(spark, 2999).withColumn("split", F.when(F.col("id") >= 2900, "val").otherwise("train")).select("sample_id", "id", "split")
+    found = {}
+    for few in (1, 1 << 20):
+        monkeypatch.setattr(shards, "FEW_TASKS", few)
+        monkeypatch.setattr(shards, "TASK_ROWS", 500)
+        path = str(tmp_path / f"{balance}{few}")
+        place = shards._exact_places if balance == "exact" else shards._hash_places
+        placed, parts = place(rows, "sample_id", {"train": 7, "val": 3}, {"train": 2900, "val": 99}, 42, 20)
+        export_shards(rows, path, "sample_id", {"train": 7, "val": 3}, rows_per_file=20, balance=balance)
+        back = spark.read.parquet(path)
+        found[few] = (placed.rdd.getNumPartitions(), {(r["split"], r["shard"], r["id"]) for r in back.collect()})
+        largest = back.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+        assert few > 1 or largest <= 20
+    assert found[1][0] == 6 and found[1 << 20][0] == parts > 140
+    assert found[1][1] == found[1 << 20][1] and len(found[1][1]) == 2999
+
+
 def test_exact_export_shuffles_rows_once(spark):
     rows = ids(spark, 2999).withColumn("split", F.lit("train"))
     placed, parts = _exact_places(rows, "sample_id", {"train": 4}, {"train": 2999}, 42, 200)
