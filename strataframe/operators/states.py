@@ -12,9 +12,13 @@ from strataframe.functions.text import array, quoted, string
 from strataframe.operators.frame import union_all
 from strataframe.operators.stats import CHUNK, NO_POSITIVE_MEAN, POSITIVE_FLOOR, QUARTILES
 from strataframe.session import hadoop_fs
+from strataframe.sources.files import is_complete
 
 # Size of the sketch in a state: about 0.7 % error in rank, some 15 kB for a full one.
 STATE_SKETCH_K = 512
+#: So many missing batches at most are listed by the driver.
+MOST_NAMED = 1000
+ADDED = "added-"
 
 
 def batch_states(df: DataFrame, columns: Sequence[str], batch: str = "batch_id",
@@ -68,34 +72,57 @@ def merge_states(states: DataFrame) -> DataFrame:
     return found.select("column", *STAT_NAMES)
 
 
-def read_states(spark: SparkSession, path: str) -> DataFrame | None:
-    """The states written so far, or None. Each batch's folder came in place as a whole."""
+def _additions(spark: SparkSession, path: str) -> tuple[list[str], bool]:
+    """Folders of the additions that came to their end, and whether there are folders of single batches, as written once."""
     fs, folder = hadoop_fs(spark, path)
-    found = fs.exists(folder) and any("=" in status.getPath().getName() for status in fs.listStatus(folder))
-    return spark.read.parquet(path) if found else None
+    names = [status.getPath().getName() for status in fs.listStatus(folder)] if fs.exists(folder) else []
+    whole = sorted(name for name in names if name.startswith(ADDED) and is_complete(spark, f"{path}/{name}"))
+    return whole, any("=" in name for name in names)
+
+
+def read_states(spark: SparkSession, path: str) -> DataFrame | None:
+    """The states written so far, or None. Additions that were stopped do not count."""
+    whole, single = _additions(spark, path)
+    parts = [spark.read.parquet(*[f"{path}/{name}" for name in whole])] if whole else []
+    if single:
+        parts.append(spark.read.option("basePath", path).parquet(f"{path}/*=*"))
+    return union_all(parts) if parts else None
 
 
 def add_states(df: DataFrame, path: str, columns: Sequence[str], batch: str = "batch_id",
                sketch_k: int = STATE_SKETCH_K, chunk: int = CHUNK) -> int:
     """Adds the states of the batches of `df` that `path` does not hold yet; returns how many.
 
-    Batches there already are not read again beyond their number, and are left as they are. A batch is a folder that is put
-    in place as a whole, so a killed run goes on with the missing ones. The list of missing batches
-    is what the driver holds: a number for each. A table made for other columns is refused.
+    Batches there already are left as they are. An addition is a folder that counts once it is whole, however
+    many batches it holds, so a killed run begins its own addition again. Up to MOST_NAMED missing
+    batches are named to the scan, so that no other is read beyond its number; of more, the scan is told the
+    first and the last, and a join leaves out those between that are there. A table made for other columns is refused.
     """
     spark = df.sparkSession
-    ids = df.select(batch).distinct()
+    missing = df.select(batch).distinct()
     known = read_states(spark, path)
     if known is not None:
         held = {row["column"] for row in known.select("column").distinct().collect()}
         if held != set(columns):
             raise ValueError(f"{path} holds states of other columns: {sorted(held ^ set(columns))[:10]}")
-        ids = ids.join(known.select(batch).distinct(), batch, "left_anti")
-    missing = [row[batch] for row in ids.collect()]
-    if None in missing:
+        known = known.select(batch).distinct()
+        missing = missing.join(known, batch, "left_anti")
+    # Nulls come first.
+    named = [row[batch] for row in missing.orderBy(batch).limit(MOST_NAMED + 1).collect()]
+    if None in named:
         raise ValueError(f"rows without {batch}")
-    if missing:
-        states = batch_states(df.filter(F.col(batch).isin(missing)), columns, batch, sketch_k, chunk)
-        (states.repartition(F.col(batch)).write.partitionBy(batch).mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").parquet(path))
-    return len(missing)
+    if not named:
+        return 0
+    n = len(named)
+    if n <= MOST_NAMED:
+        df = df.filter(F.col(batch).isin(named))
+    else:
+        found = missing.agg(F.count("*").alias("n"), F.max(batch).alias("last")).first()
+        n = found["n"]
+        if known is not None:
+            df = df.filter(F.col(batch).between(named[0], found["last"])).join(known, batch, "left_anti")
+    whole, _ = _additions(spark, path)
+    number = 1 + max((int(name.removeprefix(ADDED)) for name in whole), default=0)
+    states = batch_states(df, columns, batch, sketch_k, chunk)
+    states.repartition(F.col(batch)).write.mode("overwrite").parquet(f"{path}/{ADDED}{number:06d}")
+    return n

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataframe.functions.scaling import STAT_NAMES
+from strataframe.operators import states
 from strataframe.operators.states import add_states, batch_states, merge_states, read_states
 from strataframe.operators.stats import column_stats
 from strataframe.plans.prepare import statistics_phase
@@ -55,6 +56,35 @@ def test_states_are_added(spark, rows, tmp_path):
         add_states(rows.withColumn("batch_id", F.lit(None).cast("long")), str(tmp_path / "x"), COLUMNS)
 
 
+@pytest.mark.parametrize("most", [1, 1000])
+def test_additions_are_few_folders(spark, rows, tmp_path, monkeypatch, most):
+    """Folders grow with the additions, not with the batches; the rest of a stopped addition does not count."""
+    monkeypatch.setattr(states, "MOST_NAMED", most)
+    path = tmp_path / "states"
+    assert add_states(rows.filter("batch_id % 2 = 0"), str(path), COLUMNS) == 8
+    assert len([p for p in path.iterdir() if p.is_dir()]) == 1
+    # A run that was killed has left rows without a success mark.
+    batch_states(rows.filter("batch_id = 1"), COLUMNS).write.parquet(str(path / "added-000002"))
+    (path / "added-000002" / "_SUCCESS").unlink()
+    assert read_states(spark, str(path)).count() == 8 * len(COLUMNS)
+    changed = rows.withColumn("a", F.when(F.col("batch_id") % 2 == 0, F.lit(1e12)).otherwise(F.col("a")))
+    assert add_states(changed, str(path), COLUMNS) == 8 and add_states(changed, str(path), COLUMNS) == 0
+    assert len([p for p in path.iterdir() if p.is_dir()]) == 2
+    found = read_states(spark, str(path))
+    assert found.count() == found.select("batch_id", "column").distinct().count() == 16 * len(COLUMNS)
+    same(merge_states(found), column_stats(rows, COLUMNS, "exact"))
+    with pytest.raises(ValueError, match="without"):
+        holed = F.when(F.col("id") != 1999, F.col("batch_id") + 100)
+        add_states(rows.withColumn("batch_id", holed), str(path), COLUMNS)
+
+
+def test_folders_of_single_batches_are_read(spark, rows, tmp_path):
+    path = str(tmp_path / "states")
+    batch_states(rows.filter("batch_id < 4"), COLUMNS).write.partitionBy("batch_id").parquet(path)
+    assert add_states(rows, path, COLUMNS) == 12 and add_states(rows, path, COLUMNS) == 0
+    same(merge_states(read_states(spark, path)), column_stats(rows, COLUMNS, "exact"))
+
+
 def test_no_rows(spark, rows, tmp_path):
     path = str(tmp_path / "none")
     assert add_states(rows.limit(0), path, COLUMNS) == 0
