@@ -24,27 +24,33 @@ _DIRECTIONS, _CENTRES, _SAMPLE = 48, 128, 32
 _PIECES = pa.schema([("_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
                      ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 PIECES = "_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+_WAITING = pa.schema([*_PIECES, ("near", pa.int64()), ("rare", pa.int64()), ("place", pa.int64()), ("occurs", pa.binary())])
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window: int, groups) -> Iterator[pa.RecordBatch]:
-    """Whole windows of a document become sequences at once; its rest, if any, waits with its ids."""
+    """Whole windows of a document become sequences at once; its rest, if any, waits with its ids.
+
+    The last row holds, as bytes, in how many rests each id occurs.
+    """
     bpe, sequence = load(tokenizer), TaskContext.get().partitionId() << 32
     place = sequence
+    occurs = np.zeros(max(bpe.vocabulary, end_id + 1), np.int64)
     for batch in slices(batches, 512):
         rows = []
         for doc, text in zip(batch.column("_id").to_pylist(), batch.column("_text")):
             ids = np.append(bpe.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
             full = len(ids) // window * window
             for start in range(0, full, window):
-                rows.append((doc, start, window, len(ids), 2 * sequence, 0, ids[start:start + window].tobytes(), 0, 0, 0))
+                rows.append((doc, start, window, len(ids), 2 * sequence, 0, ids[start:start + window].tobytes(), 0, 0, 0, None))
                 sequence += 1
             if full < len(ids):
-                rows.append((doc, full, len(ids) - full, len(ids), None, None, ids[full:].tobytes(), *groups.value.of(ids[full:]), place))
+                terms, counts = np.unique(ids[full:], return_counts=True)
+                occurs[terms] += 1
+                rows.append((doc, full, len(ids) - full, len(ids), None, None, ids[full:].tobytes(), *groups.value.of(terms, counts), place, None))
                 place += 1
-        columns = list(zip(*rows)) if rows else [[]] * 10
-        yield pa.RecordBatch.from_arrays(
-            [*[pa.array(c, f.type) for c, f in zip(columns, _PIECES)], *[pa.array(c, pa.int64()) for c in columns[7:]]],
-            names=[*_PIECES.names, "near", "rare", "place"])
+        columns = list(zip(*rows)) if rows else [[]] * len(_WAITING)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WAITING)], schema=_WAITING)
+    yield pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in list(_WAITING)[:-1]], pa.array([occurs.tobytes()], pa.binary())], schema=_WAITING)
 
 
 def bm25(counts: np.ndarray, length, mean: float) -> np.ndarray:
@@ -88,10 +94,9 @@ class Groups:
             found = np.where(size > 0, sums / np.maximum(size, 1e-9), found)
         return found
 
-    def of(self, ids: np.ndarray) -> tuple[int, int]:
-        """A text's group, and its two rarest ids that others have too."""
-        terms, counts = np.unique(ids, return_counts=True)
-        near = int((self.centres @ self.direction(terms, counts, len(ids))).argmax())
+    def of(self, terms: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
+        """A text's group, and its two rarest ids that others have too, from its distinct ids and their counts."""
+        near = int((self.centres @ self.direction(terms, counts, int(counts.sum()))).argmax())
         rarity = self.shared[terms]
         first = int(rarity.argmax())
         rarity[first] = -2.0
@@ -108,11 +113,9 @@ def _sampled(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, win
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(0, np.int64)
     for batch in batches:
-        for ids in batch.column("ids"):
-            terms = np.unique(np.frombuffer(ids.as_py(), "<u4"))
-            if terms[-1] >= len(counts):
-                counts = np.concatenate([counts, np.zeros(int(terms[-1]) + 1 - len(counts), np.int64)])
-            counts[terms] += 1
+        for occurs in batch.column("occurs"):
+            own = np.frombuffer(occurs.as_py(), np.int64)
+            counts = own + counts if len(counts) else own
     terms = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(counts[terms], pa.int64())], names=["term", "n"])
 
@@ -130,7 +133,8 @@ class Shard:
         # A document's own terms are its query, all of them.
         self.doc_starts = np.searchsorted(docs, np.arange(len(ids) + 1))
         self.doc_terms = terms
-        by = np.argsort(terms, kind="stable")
+        # Sixteen bits sort by counting.
+        by = np.argsort(terms.astype(np.uint16) if terms.max() < 1 << 16 else terms, kind="stable")
         self.post_docs, self.post_weights = docs[by], weights[by]
         self.terms, starts = np.unique(terms[by], return_index=True)
         self.post_starts = np.append(starts, len(by))
@@ -143,6 +147,8 @@ class Shard:
         long = np.repeat(self.row, sizes)
         self.dense[long[long >= 0], self.post_docs[long >= 0]] = self.post_weights[long >= 0]
         self.held = np.arange(len(ids))
+        # Rows of a query are copied to one place; fresh memory would cost more than the copy.
+        self.copied = np.empty(0)
 
     def forget(self, used: np.ndarray) -> None:
         """Used documents need no more scores; once they are half of the matrix, it shrinks."""
@@ -154,12 +160,19 @@ class Shard:
         a, b = self.doc_starts[seed], self.doc_starts[seed + 1]
         at = np.searchsorted(self.terms, self.doc_terms[a:b])
         row = self.row[at]
+        dense, rare = row[row >= 0], at[row < 0]
+        size = len(dense) * len(self.held)
+        if size > len(self.copied):
+            self.copied = np.empty(size)
+        copied = self.copied[:size].reshape(len(dense), len(self.held))
         score = np.zeros(len(self.ids))
-        score[self.held] = self.dense[row[row >= 0]].sum(axis=0)
-        spans = [slice(self.post_starts[i], self.post_starts[i + 1]) for i in at[row < 0]]
-        if spans:
-            score += np.bincount(np.concatenate([self.post_docs[s] for s in spans]),
-                                 np.concatenate([self.post_weights[s] for s in spans]), minlength=len(self.ids))
+        score[self.held] = self.dense.take(dense, axis=0, out=copied, mode="clip").sum(axis=0)
+        if len(rare):
+            starts = self.post_starts[rare]
+            sizes = self.post_starts[rare + 1] - starts
+            ends = np.cumsum(sizes)
+            place = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
+            score += np.bincount(self.post_docs[place], self.post_weights[place], minlength=len(self.ids))
         return score
 
     def windows(self, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -185,15 +198,16 @@ class Shard:
             if room and left.any():
                 self.forget(left == 0)
                 score = np.where(left > 0, self.scores(seed), 0)
-                found = np.flatnonzero(score)
-                found = found[np.argsort(-score[found], kind="stable")]
-                sizes, at = left[found], 0
-                while room and (fits := sizes[at:] <= room).any():
-                    at += int(fits.argmax())
-                    take(int(found[at]), int(sizes[at]))
-                    at += 1
+                # What did not fit before does not fit any more, so the best that fits is the next in order.
+                while room:
+                    best = int(np.where(left <= room, score, 0).argmax())
+                    if left[best] > room or not score[best]:
+                        break
+                    take(best, int(left[best]))
+                    score[best] = 0
                 # The best neighbour that is left is cut to fit, then any unused document.
-                for doc in chain(found[left[found] > 0].tolist() if room else (), range(next_unused, len(left))):
+                best = int(score.argmax())
+                for doc in chain((best,) if score[best] else (), range(next_unused, len(left))):
                     if not room:
                         break
                     if left[doc]:
@@ -270,10 +284,10 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     picked = picked.mapInArrow(partial(_sampled, tokenizer=tokenizer, end_id=end_id, window=window), "ids binary").toArrow()["ids"].to_pylist()
     groups = Groups([np.frombuffer(x, "<u4") for x in picked if x], max(load(tokenizer).vocabulary, end_id + 1), k)
     run = partial(_tokenised, tokenizer=tokenizer, end_id=end_id, window=window, groups=df.sparkSession.sparkContext.broadcast(groups))
-    pieces = written(rows.mapInArrow(run, PIECES + ", near long, rare long, place long"), "pieces")
-    whole = pieces.filter("sequence_id is not null").drop("near", "rare", "place")
-    rest = pieces.filter("sequence_id is null")
-    terms = (rest.select("ids").mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow())
+    pieces = written(rows.mapInArrow(run, PIECES + ", near long, rare long, place long, occurs binary"), "pieces")
+    whole = pieces.filter("sequence_id is not null").drop("near", "rare", "place", "occurs")
+    rest = pieces.filter("sequence_id is null and occurs is null")
+    terms = (pieces.filter("occurs is not null").select("occurs").mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow())
     total = rest.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean")).first()
     counts = np.zeros(max(1, 1 + max(terms["term"].to_pylist(), default=0)))
     counts[terms["term"].to_numpy()] = terms["n"].to_numpy()

@@ -3,20 +3,24 @@
 import hashlib
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipe
 from llm.samples import ODD, SF
+from strataframe.llm import packing
 from strataframe.llm.common import id_bucket
 from strataframe.llm.langid import fit_dictionaries, identify_language
 from strataframe.llm.lmscore import score_documents
 from strataframe.llm.packing import B, K1, Shard
 from strataframe.llm.quality import fit_rules, score_quality
 from strataframe.llm.queries import ASKED, BYTE_BPE, QUERIES, WORD_BPE
+from strataframe.llm.tokens import load
 from strataframe.llm.topk import exact_top_k
 
 CLASH = ("score", "predicted", "lang_pred", "accepted", "_spans", "_redacted", "_q_text", "_q_chars", "_id", "_text", "_doc", "_key", "_fp", "spans")
@@ -128,3 +132,49 @@ def test_quality_without_labels(spark, docs):
     none = spark.read.parquet(f"{SF}/labels.parquet").limit(0)
     scored = score_quality(docs, fit_rules(docs, none, F.lit(True)))
     assert {r["score"] for r in scored.select("score").distinct().collect()} == {0.5}
+
+
+def test_windows_take_neighbours_in_order():
+    """The best unused neighbour that fits comes next; what is best of the rest is cut."""
+    rng = np.random.default_rng(9)
+    ids = [rng.zipf(1.3, rng.integers(1, 60)) % 300 for _ in range(150)]
+    idf, window = rng.random(300) + 0.1, 64
+    found = list(Shard(ids, idf, 30.0).windows(window))
+    scores, left, expected = Shard(ids, idf, 30.0), [len(x) for x in ids], []
+    while any(left):
+        seed = next(i for i, n in enumerate(left) if n)
+        pieces, room = [], window
+
+        def take(doc, n):
+            nonlocal room
+            pieces.append((doc, len(ids[doc]) - left[doc], n))
+            left[doc] -= n
+            room -= n
+
+        take(seed, min(room, left[seed]))
+        score = scores.scores(seed)
+        order = [i for i in sorted(range(len(ids)), key=lambda i: -score[i]) if left[i] and score[i]]
+        for i in order:
+            if left[i] <= room:
+                take(i, left[i])
+        for i in [*order, *range(len(ids))]:
+            if room and left[i]:
+                take(i, min(room, left[i]))
+        expected.append(pieces)
+    assert found == expected
+
+
+def test_ids_are_counted_while_they_are_made(spark, monkeypatch):
+    """Document counts come with the pieces, so ids are not read and sorted again."""
+    batch = pa.RecordBatch.from_pydict({"_id": [1, 2, 3], "_text": ["a b a", "", "a " * 3000]})
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    groups = SimpleNamespace(value=packing.Groups([], load(BYTE_BPE).vocabulary, 2))
+    made = pa.Table.from_batches(packing._tokenised(iter([batch]), BYTE_BPE, 1, 2048, groups)).to_pylist()
+    *pieces, last = made
+    expected = defaultdict(int)
+    for r in pieces:
+        assert r["occurs"] is None
+        for i in set(np.frombuffer(r["ids"], "<u4").tolist()) if r["sequence_id"] is None else ():
+            expected[i] += 1
+    assert last["_id"] is None and last["ids"] is None and expected[1] == 3
+    assert {i: n for i, n in enumerate(np.frombuffer(last["occurs"], np.int64).tolist()) if n} == expected
