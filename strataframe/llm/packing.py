@@ -37,8 +37,8 @@ def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, w
     occurs = np.zeros(max(bpe.vocabulary, end_id + 1), np.int64)
     for batch in slices(batches, 512):
         rows = []
-        for doc, text in zip(batch.column("_id").to_pylist(), batch.column("_text")):
-            ids = np.append(bpe.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
+        for doc, made in zip(batch.column("_id").to_pylist(), bpe.encode_many(t.as_py() for t in batch.column("_text"))):
+            ids = np.append(made, np.uint32(end_id)).astype("<u4", copy=False)
             full = len(ids) // window * window
             for start in range(0, full, window):
                 rows.append((doc, start, window, len(ids), 2 * sequence, 0, ids[start:start + window].tobytes(), 0, 0, 0, None))
@@ -80,7 +80,7 @@ class Groups:
 
     def direction(self, terms: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
         x = (self.idf[terms] * bm25(counts, length, self.mean)).astype(np.float32) @ _signs(len(self.idf))[terms]
-        return x / max(float(np.linalg.norm(x)), 1e-9)
+        return x / max(float(np.sqrt(x.dot(x))), 1e-9)
 
     @staticmethod
     def _centres(points: np.ndarray, k: int) -> np.ndarray:
@@ -106,7 +106,7 @@ class Groups:
 def _sampled(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window: int) -> Iterator[pa.RecordBatch]:
     bpe = load(tokenizer)
     for batch in slices(batches, 512):
-        ids = [np.append(bpe.encode(text.as_py()), np.uint32(end_id)).astype("<u4") for text in batch.column("_text")]
+        ids = [np.append(made, np.uint32(end_id)).astype("<u4", copy=False) for made in bpe.encode_many(t.as_py() for t in batch.column("_text"))]
         yield pa.RecordBatch.from_arrays([pa.array([x[len(x) // window * window:].tobytes() for x in ids], pa.binary())], names=["ids"])
 
 

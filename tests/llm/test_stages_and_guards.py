@@ -13,14 +13,14 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as pipe
 from llm.samples import ODD, SF
-from strataframe.llm import packing
+from strataframe.llm import packing, tokens
 from strataframe.llm.common import id_bucket
 from strataframe.llm.langid import fit_dictionaries, identify_language
 from strataframe.llm.lmscore import score_documents
 from strataframe.llm.packing import B, K1, Shard
 from strataframe.llm.quality import fit_rules, score_quality
 from strataframe.llm.queries import ASKED, BYTE_BPE, QUERIES, WORD_BPE
-from strataframe.llm.tokens import load
+from strataframe.llm.tokens import ByteBpe, load
 from strataframe.llm.topk import exact_top_k
 
 CLASH = ("score", "predicted", "lang_pred", "accepted", "_spans", "_redacted", "_q_text", "_q_chars", "_id", "_text", "_doc", "_key", "_fp", "spans")
@@ -178,3 +178,33 @@ def test_ids_are_counted_while_they_are_made(spark, monkeypatch):
             expected[i] += 1
     assert last["_id"] is None and last["ids"] is None and expected[1] == 3
     assert {i: n for i, n in enumerate(np.frombuffer(last["occurs"], np.int64).tolist()) if n} == expected
+
+
+def test_distinct_words_are_encoded_once(monkeypatch):
+    """Documents are cut into words together; only new words meet the tokenizer, and no document does on its own."""
+    met, words = [], ByteBpe._encode_words
+    monkeypatch.setattr(ByteBpe, "_encode_words", lambda self, new: met.extend(new.to_pylist()) or words(self, new))
+    texts = ["a blank, a word", "another word, a blank", "", "word"] * 50
+    batch = pa.RecordBatch.from_pydict({"_id": list(range(len(texts))), "_text": texts})
+    expected = [Tokenizer.from_file(BYTE_BPE).encode(t).ids + [1] for t in texts]
+    load.cache_clear()
+    load(BYTE_BPE)
+    monkeypatch.setattr(ByteBpe, "encode", None)
+    made = pa.Table.from_batches(packing._sampled(iter([batch, batch]), BYTE_BPE, 1, 2048))["ids"].to_pylist()
+    assert [np.frombuffer(x, "<u4").tolist() for x in made] == expected * 2
+    assert sorted(met) == sorted({b"a", b" a", b" blank", b",", b" word", b"another", b"word"})
+
+
+@pytest.mark.parametrize("at_once,remembered", [(1 << 21, 300_000), (40, 12)])
+def test_ids_of_many_texts(monkeypatch, at_once, remembered):
+    monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+    monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+    parts = ["'", "'s", "'ll", "'re", "'ve", "'d", "s", "l", "re", " ", "  ", "\t", "\n", "\u00a0", "\u3000", "\x85", "\x1c", "\u200b", "\u180e", "a", "Z", "é",
+             "中", "1", "٣", "²", "Ⅷ", "!", "-", "\U0001f642", "\u0301", "\x00", "\U0001d4b3", "<|endoftext|>", "<|", "’", "ſ", "x" * 30]
+    rng = np.random.default_rng(11)
+    texts = ["", *["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(4000)], *ODD, ""]
+    texts = [t or "" for t in texts]
+    load.cache_clear()
+    made = list(load(BYTE_BPE).encode_many(iter(texts)))
+    assert {x.dtype for x in made} == {np.dtype(np.uint32)}
+    assert [x.tolist() for x in made] == [e.ids for e in Tokenizer.from_file(BYTE_BPE).encode_batch(texts, add_special_tokens=False)]
